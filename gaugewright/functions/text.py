@@ -10,6 +10,9 @@ from .fixed_values import NUMBER_FORMS, WHITE_SPACE
 SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE) + "]"
 
 
+WHITE_SPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
+
+
 def whole_text(forms: list[str]) -> str:
     """Pattern for texts that are one of ``forms`` once surrounding white space is ignored."""
     return rf"^{SPACE_CLASS}*(?:{'|'.join(forms)}){SPACE_CLASS}*\z"
@@ -35,11 +38,16 @@ def has_outer_space(c: Column) -> Column:
     return F.substring(c, 1, 1).isin(ends) | F.right(c, F.lit(1)).isin(ends)
 
 
-def number_of(c: Column) -> Column:
-    """Text to double, NULL where it does not read as a number.
+def number_sql(c: str) -> str:
+    """SQL text turning a text into a double, NULL where it does not read as a number.
 
     The pattern keeps out texts the cast alone would take ('1d', '1f', 'NaN').
     """
+    return f"CASE WHEN {c} RLIKE r'{NUMBER_PATTERN}' THEN try_cast(btrim({c}, '{WHITE_SPACE_SQL}') AS DOUBLE) END"
+
+
+def number_of(c: Column) -> Column:
+    """``number_sql`` for a column."""
     return F.when(c.rlike(NUMBER_PATTERN), strip(c).try_cast("double"))
 
 

@@ -24,7 +24,17 @@ from pyspark.sql.window import Window
 from ..functions.text import number_of, percent, rounded
 from ..plans.materialize import materialize
 from .quantiles import order_statistics
-from .semantics import ColumnEvidence, column_evidence, kind_of, moment_aggregates, normalize_missing, present, quoted
+from .semantics import (
+    ColumnEvidence,
+    aggregate,
+    column_evidence,
+    kind_of,
+    moment_aggregates,
+    normalize_missing,
+    present,
+    present_sql,
+    quoted,
+)
 
 # Quartiles of a column with up to this many distinct values are taken in one aggregate that holds
 # its distinct values; beyond it they are found by narrowing (see quantiles.py).
@@ -56,7 +66,7 @@ def completeness(df: DataFrame) -> DataFrame:
     """Rows, filled and missing cells per column, from one aggregate."""
     fields = df.schema.fields
     counts = [
-        F.count(present(quoted(f.name), kind_of(f.dataType))).alias(f"n_{i}") for i, f in enumerate(fields)
+        F.count(present(f.name, kind_of(f.dataType))).alias(f"n_{i}") for i, f in enumerate(fields)
     ]
     one_row = df.agg(F.count(F.lit(1)).alias("total_rows"), *counts)
     per_column = F.explode(
@@ -72,18 +82,6 @@ def completeness(df: DataFrame) -> DataFrame:
     )
 
 
-def digest(c: Column) -> Column:
-    """SHA-256 of texts too long to be a key themselves, else NULL."""
-    return F.when(F.length(c) > LONGEST_VALUE, F.unhex(F.sha2(c, 256)))
-
-
-def shown(c: Column) -> Column:
-    """Texts as shown in a distribution: long ones cut."""
-    return F.when(
-        F.length(c) > LONGEST_VALUE, F.concat(F.left(c, F.lit(KEPT_CHARACTERS)), F.lit("..."))
-    ).otherwise(c)
-
-
 # Key columns of the histogram, by storage class of the profiled column.
 KEYS = {
     "integer": ["int_value"],
@@ -100,17 +98,20 @@ def _storage_class(e: ColumnEvidence) -> str:
     return "numeric_text" if e.kind == "decimal" or e.is_numeric_text else "text"
 
 
-def _key_columns(e: ColumnEvidence, names: list[str]) -> list[Column]:
-    c = present(quoted(e.name), e.kind)
-    text = F.initcap(c.cast("string")) if e.kind == "boolean" else c.cast("string")
-    long_text = e.kind == "string"
+def _key_columns(e: ColumnEvidence, names: list[str]) -> list[str]:
+    """SQL text of the key columns of one profiled column."""
+    c = present_sql(e.name, e.kind)
+    text = f"initcap(CAST({c} AS STRING))" if e.kind == "boolean" else f"CAST({c} AS STRING)"
+    is_long = f"length({c}) > {LONGEST_VALUE}"
     made = {
         "int_value": c,
-        "double_value": e.as_double(),
-        "text_value": shown(text) if long_text else text,
-        "text_digest": digest(text) if long_text else F.lit(None),
+        "double_value": e.double_sql(),
+        "text_value": f"CASE WHEN {is_long} THEN concat(left({c}, {KEPT_CHARACTERS}), '...') ELSE {c} END",
+        "text_digest": f"CASE WHEN {is_long} THEN unhex(sha2({c}, 256)) END",
     }
-    return [made[n].cast(KEY_TYPES[n]) for n in names]
+    if e.kind != "string":
+        made |= {"text_value": text, "text_digest": "NULL"}
+    return [f"CAST({made[n]} AS {KEY_TYPES[n]})" for n in names]
 
 
 def class_histograms(df: DataFrame, evidence: list[ColumnEvidence]) -> dict[str, DataFrame]:
@@ -123,21 +124,18 @@ def class_histograms(df: DataFrame, evidence: list[ColumnEvidence]) -> dict[str,
         members = [e for e in evidence if e.kind != "complex" and _storage_class(e) == storage_class]
         if not members:
             continue
-        columns = []
-        for e in members:
-            columns.append(F.lit(e.position).alias(f"position_{e.position}"))
-            columns += [k.alias(f"{n}_{e.position}") for n, k in zip(names, _key_columns(e, names))]
         fields = ["position", *names]
-        groups = ", ".join(
-            "(" + ", ".join(f"{n}_{e.position}" for n in fields) + f") AS c{e.position}" for e in members
-        )
-        long_form = df.sparkSession.sql(
-            f"SELECT {', '.join(fields)} FROM {{wide}} "
-            f"UNPIVOT INCLUDE NULLS (({', '.join(fields)}) FOR source IN ({groups}))",
-            wide=df.select(columns),
-        )
-        histograms[storage_class] = (
-            long_form.filter(F.col(names[0]).isNotNull()).groupBy(*fields).agg(F.count(F.lit(1)).alias("count"))
+        columns, groups = [], []
+        for e in members:
+            made = [f"{n}_{e.position}" for n in fields]
+            columns += [f"{k} AS {n}" for n, k in zip(made, [str(e.position), *_key_columns(e, names)])]
+            groups.append(f"({', '.join(made)}) AS c{e.position}")
+        histograms[storage_class] = df.sparkSession.sql(
+            f"SELECT {', '.join(fields)}, count(*) AS count "
+            f"FROM (SELECT {', '.join(columns)} FROM {{table}}) "
+            f"UNPIVOT INCLUDE NULLS (({', '.join(fields)}) FOR source IN ({', '.join(groups)})) "
+            f"WHERE {names[0]} IS NOT NULL GROUP BY {', '.join(fields)}",
+            table=df,
         )
     return histograms
 
@@ -277,8 +275,8 @@ def scan(df: DataFrame) -> tuple[list[ColumnEvidence], dict[int, Moments]]:
     numeric_texts = [e for e in evidence if e.is_numeric_text and e.has_statistics]
     if numeric_texts:
         branches = [
-            df.agg(*[a.alias(n) for n, a in moment_aggregates(e.as_double()).items()]).withColumn(
-                "position", F.lit(e.position)
+            aggregate(df, [f"{a} AS {n}" for n, a in moment_aggregates(e.double_sql()).items()]).selectExpr(
+                f"{e.position} AS position", "*"
             )
             for e in numeric_texts
         ]
@@ -497,7 +495,7 @@ def shape(df: DataFrame) -> DataFrame:
     for s in stats:
         c = quoted(s["column_name"])
         kind = kinds[s["column_name"]]
-        x = number_of(c) if kind == "string" else present(c, kind).cast("double")
+        x = number_of(c) if kind == "string" else present(s["column_name"], kind).cast("double")
         low, high = s["q1"] - 1.5 * s["iqr"], s["q3"] + 1.5 * s["iqr"]
         counts.append(F.count_if((x < low) | (x > high)).alias(f"o_{s['position']}"))
     found = clean.agg(*counts).first().asDict()

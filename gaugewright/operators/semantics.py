@@ -23,7 +23,7 @@ from ..functions.fixed_values import (
     MISSING_TOKENS,
     ORDINAL_WORDS,
 )
-from ..functions.text import NUMBER_PATTERN, SPACE_CLASS, number_of, text_start, whole_text
+from ..functions.text import NUMBER_PATTERN, SPACE_CLASS, number_sql, text_start, whole_text
 
 # Columns handled by one aggregate of the evidence job.
 COLUMNS_PER_BRANCH = {"number": 4, "text": 2, "plain": 32, "sketch": 100}
@@ -61,26 +61,40 @@ def kind_of(dtype: T.DataType) -> str:
     return "complex"
 
 
+def named(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(named(name))
+
+
+def present_sql(name: str, kind: str) -> str:
+    """SQL text of the value, or NULL where it counts as missing (NULL, and NaN in floats)."""
+    c = named(name)
+    return f"CASE WHEN NOT isnan({c}) THEN {c} END" if kind == "float" else c
+
 
+def present(name: str, kind: str) -> Column:
+    return F.expr(present_sql(name, kind))
 
-def present(c: Column, kind: str) -> Column:
-    """The value, or NULL where it counts as missing (NULL, and NaN in floats)."""
-    if kind == "float":
-        return F.when(~F.isnan(c), c)
-    return c
+
+def word_list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
     """Replace missing-value tokens in string columns by NULL. Exact match, no trimming."""
-    columns = []
-    for field in df.schema.fields:
-        c = quoted(field.name)
-        if kind_of(field.dataType) == "string":
-            c = F.when(~c.isin(MISSING_TOKENS), c)
-        columns.append(c.alias(field.name))
-    return df.select(columns)
+    tokens = word_list(MISSING_TOKENS)
+    return df.selectExpr(
+        *[
+            f"CASE WHEN {named(f.name)} NOT IN {tokens} THEN {named(f.name)} END AS {named(f.name)}"
+            if kind_of(f.dataType) == "string"
+            else named(f.name)
+            for f in df.schema.fields
+        ]
+    )
 
 
 @dataclass(frozen=True)
@@ -158,67 +172,78 @@ class ColumnEvidence:
             "DECIMAL/CONTINUOUS_NUMERIC",
         )
 
+    def double_sql(self) -> str:
+        """SQL text of the column as a double, for statistics."""
+        if self.kind == "string":
+            return number_sql(named(self.name))
+        return f"CAST({present_sql(self.name, self.kind)} AS DOUBLE)"
+
     def as_double(self) -> Column:
-        """The column as a double, for statistics."""
-        c = quoted(self.name)
-        return number_of(c) if self.kind == "string" else present(c, self.kind).cast("double")
+        return F.expr(self.double_sql())
 
 
-def _text_flags(c: Column) -> Column:
+def _text_flags(c: str) -> str:
     """One bit per rule a text meets; bit_and over a column leaves the rules all texts meet.
 
     Cheap tests come first: the patterns run only on texts that start like a number or a date,
     the vocabularies only on texts no longer than their longest word.
     """
 
-    def bit(test: Column, value: int) -> Column:
-        return F.when(test, F.lit(value)).otherwise(F.lit(0))
+    def bit(test: str, value: int) -> str:
+        return f"(CASE WHEN {test} THEN {value} ELSE 0 END)"
 
-    numeric_start = c.rlike(rf"^{SPACE_CLASS}*[+\-.\diI]")
-    forms = (
-        bit(c.rlike(whole_text(DATE_FORMS)), _DATE_BIT)
-        .bitwiseOR(bit(c.rlike(text_start(DATETIME_FORMS)), _DATETIME_BIT))
-        .bitwiseOR(bit(c.rlike(NUMBER_PATTERN), _NUMBER_BIT))
+    forms = " | ".join(
+        [
+            bit(f"{c} RLIKE r'{whole_text(DATE_FORMS)}'", _DATE_BIT),
+            bit(f"{c} RLIKE r'{text_start(DATETIME_FORMS)}'", _DATETIME_BIT),
+            bit(f"{c} RLIKE r'{NUMBER_PATTERN}'", _NUMBER_BIT),
+        ]
     )
-    lowered = F.lower(c)
     every_word = sorted({word for words in ORDINAL_WORDS.values() for word in words})
-    vocabularies = F.lit(0)
-    for i, words in enumerate(ORDINAL_WORDS.values()):
-        vocabularies = vocabularies.bitwiseOR(bit(lowered.isin(words), _FIRST_VOCABULARY_BIT << i))
-    short = F.length(c) <= max(len(word) for word in every_word)
-    flags = (
-        bit(c.isin(BOOLEAN_WORDS), _BOOLEAN_BIT)
-        .bitwiseOR(F.when(numeric_start, forms).otherwise(F.lit(0)))
-        .bitwiseOR(F.when(short & lowered.isin(every_word), vocabularies).otherwise(F.lit(0)))
+    vocabularies = " | ".join(
+        bit(f"lower({c}) IN {word_list(words)}", _FIRST_VOCABULARY_BIT << i)
+        for i, words in enumerate(ORDINAL_WORDS.values())
+    )
+    longest = max(len(word) for word in every_word)
+    return (
+        f"CASE WHEN {c} IS NOT NULL THEN {bit(f'{c} IN {word_list(BOOLEAN_WORDS)}', _BOOLEAN_BIT)}"
+        rf" | (CASE WHEN {c} RLIKE r'^{SPACE_CLASS}*[+\-.\diI]' THEN {forms} ELSE 0 END)"
+        f" | (CASE WHEN length({c}) <= {longest} AND lower({c}) IN {word_list(every_word)}"
+        f" THEN {vocabularies} ELSE 0 END) END"
     )
-    return F.when(c.isNotNull(), flags)
 
 
-def _branch_columns(i: int, name: str, kind: str, moments: bool) -> tuple[list[Column], Column]:
+def moment_aggregates(x: str) -> dict[str, str]:
+    """SQL text of the moments of a double."""
+    return {
+        "low": f"min({x})", "high": f"max({x})", "mean": f"avg({x})",
+        "variance": f"var_samp({x})", "skew": f"skewness({x})", "kurt": f"kurtosis({x})",
+    }
+
+
+def _branch_columns(i: int, name: str, kind: str, moments: bool) -> tuple[list[str], str]:
     """Aggregates of one column and the struct that carries them."""
-    c = present(quoted(name), kind)
-    aggregates = {"filled": F.count(c)}
+    c = present_sql(name, kind)
+    aggregates = {"filled": f"count({c})"}
     if kind == "string":
-        aggregates["flags"] = F.bit_and(_text_flags(c))
+        aggregates["flags"] = f"bit_and({_text_flags(c)})"
     elif kind in ("integer", "decimal", "float"):
-        x = c.cast("double")
-        aggregates["zero_one"] = F.bool_and(x.isin(0.0, 1.0))
+        x = f"CAST({c} AS DOUBLE)"
+        aggregates["zero_one"] = f"bool_and({x} IN (0D, 1D))"
         if kind != "integer":
-            aggregates["whole"] = F.bool_and(c % 1 == 0)
+            aggregates["whole"] = f"bool_and(({c}) % 1 = 0)"
         if moments:
             aggregates |= moment_aggregates(x)
-    parts = [F.lit(i).alias("position")]
-    for field, dtype in BRANCH_FIELDS.items():
-        value = F.col(f"{field}_{i}") if field in aggregates else F.lit(None)
-        parts.append(value.cast(dtype).alias(field))
-    return [a.alias(f"{field}_{i}") for field, a in aggregates.items()], F.struct(*parts)
+    parts = [f"{i} AS position"] + [
+        f"CAST({f'{field}_{i}' if field in aggregates else 'NULL'} AS {dtype}) AS {field}"
+        for field, dtype in BRANCH_FIELDS.items()
+    ]
+    return [f"{a} AS {field}_{i}" for field, a in aggregates.items()], f"struct({', '.join(parts)})"
 
 
-def moment_aggregates(x: Column) -> dict[str, Column]:
-    return {
-        "low": F.min(x), "high": F.max(x), "mean": F.avg(x),
-        "variance": F.var_samp(x), "skew": F.skewness(x), "kurt": F.kurtosis(x),
-    }
+def aggregate(df: DataFrame, aggregates: list[str]) -> DataFrame:
+    """One row of aggregates given as SQL text."""
+    return df.agg(*[F.expr(a) for a in aggregates])
 
 
 BRANCH_FIELDS = {
@@ -250,18 +275,18 @@ def column_facts(df: DataFrame, moments: bool) -> tuple[int, dict[int, dict]]:
                 a, struct = _branch_columns(i, field.name, kind_of(field.dataType), moments)
                 aggregates += a
                 structs.append(struct)
-            branches.append(df.agg(*aggregates).select(F.inline(F.array(*structs))))
+            branches.append(aggregate(df, aggregates).selectExpr(f"inline(array({', '.join(structs)}))"))
     sketched = [i for i, f in enumerate(df.schema.fields) if kind_of(f.dataType) != "complex"]
     size = COLUMNS_PER_BRANCH["sketch"]
     sketches = []
     for start in range(0, len(sketched), size):
         members = sketched[start : start + size]
         counts = [
-            F.approx_count_distinct(present(quoted(df.columns[i]), kind_of(df.schema[i].dataType))).alias(f"d_{i}")
+            f"approx_count_distinct({present_sql(df.columns[i], kind_of(df.schema[i].dataType))}) AS d_{i}"
             for i in members
         ]
-        pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"d_{i}").alias("distinct")) for i in members])
-        sketches.append(df.agg(*counts).select(F.inline(pairs)))
+        pairs = ", ".join(f"struct({i} AS position, d_{i} AS distinct)" for i in members)
+        sketches.append(aggregate(df, counts).selectExpr(f"inline(array({pairs}))"))
     total = df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(-1).alias("position"), F.col("total").alias("distinct"))
 
     everything = reduce(
@@ -304,12 +329,12 @@ def _with_exact_details(df: DataFrame, found: list[ColumnEvidence]) -> list[Colu
         few = (e.is_numeric_text or e.kind in ("decimal", "float")) and 0 < e.approx_distinct <= EXACT_BELOW
         if not (few or e.is_numeric_text):
             continue
-        x = e.as_double()
+        x = e.double_sql()
         # The estimate bounds the set: at most a few dozen values per column.
-        distinct = F.size(F.collect_set(x + F.lit(0.0))) if few else F.first(F.lit(None).cast("int"))
+        distinct = f"size(collect_set({x} + 0D))" if few else "first(CAST(NULL AS INT))"
         branches.append(
-            df.agg(F.bool_and(x % 1 == 0).alias("whole"), distinct.alias("distinct")).withColumn(
-                "position", F.lit(e.position)
+            aggregate(df, [f"bool_and({x} % 1 = 0) AS whole", f"{distinct} AS distinct"]).selectExpr(
+                f"{e.position} AS position", "*"
             )
         )
     if not branches:
