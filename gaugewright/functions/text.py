@@ -80,14 +80,25 @@ def clean_label(c: Column, longest: int = 35) -> Column:
     return F.when(c.isNull() | (c == ""), F.lit("N/A")).otherwise(cut(label, longest))
 
 
+def fixed(c: Column, digits: int, suffix: str = "") -> Column:
+    """A number with a fixed count of decimals, rounded half to even."""
+    return F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", rounded(c, digits))
+
+
+def plain_number(d: Column) -> Column:
+    """A double as text, without an exponent up to 1e16."""
+    plain = F.regexp_replace(d.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((F.abs(d) >= 1e7) & (F.abs(d) < 1e16), plain).otherwise(d.cast("string"))
+
+
 def format_size(size: Column) -> Column:
     """Bytes as text in steps of 1024 from B to PB; NULL gives '-'."""
     value = size.cast("double")
-    text = F.format_string("%.2f PB", value / F.lit(float(1024**5)))
+    text = fixed(value / F.lit(float(1024**5)), 2, " PB")
     for power, unit in reversed(list(enumerate(["KB", "MB", "GB", "TB"], start=1))):
         text = F.when(
             value < F.lit(float(1024 ** (power + 1))),
-            F.format_string(f"%.2f {unit}", value / F.lit(float(1024**power))),
+            fixed(value / F.lit(float(1024**power)), 2, f" {unit}"),
         ).otherwise(text)
     text = F.when(value < 1024.0, F.format_string("%d B", value.cast("long"))).otherwise(text)
     return F.when(value.isNull(), F.lit("-")).otherwise(text)
@@ -97,7 +108,7 @@ def format_numeric(c: Column) -> Column:
     """Two decimals for decimal texts, with a trailing unit kept; NULL or '' gives '-'."""
     number = F.regexp_extract(c, r"^(-?\d+\.\d+)\s*", 1)
     unit = F.regexp_extract(c, r"^-?\d+\.\d+\s*([A-Za-z%]+.*)\z", 1)
-    shown = F.format_string("%.2f", number.try_cast("double"))
+    shown = fixed(number.try_cast("double"), 2)
     return (
         F.when(c.isNull() | (c == ""), F.lit("-"))
         .when(c.rlike(r"^-?\d+\.\d+\z"), shown)
@@ -135,8 +146,8 @@ def short_count(c: Column) -> Column:
     """Counts with an M or K suffix from a million and a thousand up."""
     value = c.cast("double")
     return (
-        F.when(value >= 1e6, F.format_string("%.2fM", value / 1e6))
-        .when(value >= 1e3, F.format_string("%.1fK", value / 1e3))
+        F.when(value >= 1e6, F.concat(plain_number(rounded(value / 1e6, 2)), F.lit("M")))
+        .when(value >= 1e3, F.concat(plain_number(rounded(value / 1e3, 1)), F.lit("K")))
         .otherwise(F.format_string("%d", value.cast("bigint")))
     )
 
@@ -155,8 +166,18 @@ def size_text(size: Column) -> Column:
     """Bytes in MB, or GB from 1024 MB up, with two decimals."""
     megabytes = size.cast("double") / F.lit(float(1024**2))
     return F.when(
-        megabytes >= 1024.0, F.format_string("%.2f GB", megabytes / F.lit(1024.0))
-    ).otherwise(F.format_string("%.2f MB", megabytes))
+        megabytes >= 1024.0, fixed(megabytes / F.lit(1024.0), 2, " GB")
+    ).otherwise(fixed(megabytes, 2, " MB"))
+
+
+def footprint_text(size: Column) -> Column:
+    """Bytes in MB, or GB from 1024 MB up, rounded to two decimals without trailing zeros."""
+    megabytes = size.cast("double") / F.lit(float(1024**2))
+    return (
+        F.when(megabytes >= 1024.0, F.concat(plain_number(rounded(megabytes / F.lit(1024.0), 2)), F.lit(" GB")))
+        .when(megabytes > 0, F.concat(plain_number(rounded(megabytes, 2)), F.lit(" MB")))
+        .otherwise(F.lit("0.00 MB"))
+    )
 
 
 def pages_to_mb(pages: Column, page_kb: int = 8) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.fixed_values import RANGE_MINUTES
 from ..functions.status import is_user_schema, status_band
-from ..functions.text import ratio, rounded, short_count, size_text
+from ..functions.text import footprint_text, ratio, rounded, short_count
 from .storage import total_bytes
 from .trends import metric_trend
 
@@ -114,7 +114,7 @@ def storage_kpi(tables: DataFrame) -> DataFrame:
         .groupBy("server")
         .agg(F.sum(total_bytes()).cast("bigint").alias("total_bytes"), F.count(F.lit(1)).alias("table_count"))
     )
-    return sums.withColumn("size_text", size_text(F.col("total_bytes")))
+    return sums.withColumn("size_text", footprint_text(F.col("total_bytes")))
 
 
 def storage_total(tables: DataFrame, database: str | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def storage_total(tables: DataFrame, database: str | None = None) -> DataFrame:
     if database:
         kept = kept.filter(F.lower("database_name") == database.lower())
     sums = kept.agg(F.coalesce(F.sum(total_bytes()), F.lit(0)).cast("bigint").alias("total_bytes"))
-    return sums.withColumn("size_text", size_text(F.col("total_bytes")))
+    return sums.withColumn("size_text", footprint_text(F.col("total_bytes")))
 
 
 def storage_growth(snapshots: DataFrame, time: str = "snapshot_ts") -> DataFrame:

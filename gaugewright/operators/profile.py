@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import number_of, percent, rounded
+from ..functions.text import number_of, percent, plain_number, rounded
 from ..plans.materialize import materialize
 from .quantiles import order_statistics
 from .semantics import (
@@ -159,12 +159,6 @@ def value_histogram(df: DataFrame) -> DataFrame:
     )
 
 
-def _double_text(d: Column) -> Column:
-    """A double as text, without an exponent up to 1e16."""
-    plain = F.regexp_replace(d.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.when((F.abs(d) >= 1e7) & (F.abs(d) < 1e16), plain).otherwise(d.cast("string"))
-
-
 def top_values(histograms: dict[str, DataFrame], k: int = TOP_VALUES) -> DataFrame:
     """The k most frequent values per column; ties go to the smaller value.
 
@@ -173,7 +167,7 @@ def top_values(histograms: dict[str, DataFrame], k: int = TOP_VALUES) -> DataFra
     parts = []
     for storage_class, histogram in histograms.items():
         names = KEYS[storage_class]
-        text = {"integer": F.col(names[0]).cast("string"), "float": _double_text(F.col(names[0]))}
+        text = {"integer": F.col(names[0]).cast("string"), "float": plain_number(F.col(names[0]))}
         order = Window.partitionBy("position").orderBy(F.desc("count"), *names)
         parts.append(
             histogram.withColumn("rank", F.row_number().over(order))

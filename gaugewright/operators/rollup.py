@@ -143,8 +143,8 @@ def distribution_rows(profiles: DataFrame, categories: list[str] | None = None)
 
 
 def run_totals(runs: DataFrame) -> DataFrame:
-    """Tables profiled and failed in a run log."""
-    return runs.agg(
-        F.count_if(F.col("error").isNull()).alias("tables_profiled"),
-        F.count_if(F.col("error").isNotNull()).alias("tables_failed"),
+    """Tables profiled and failed in a run log; a table that succeeded in a later run counts as profiled."""
+    tables = runs.groupBy("table_key", "version", "row_limit").agg(F.bool_or(F.col("error").isNull()).alias("done"))
+    return tables.agg(
+        F.count_if("done").alias("tables_profiled"), F.count_if(~F.col("done")).alias("tables_failed")
     )

@@ -174,11 +174,11 @@ SELECT {_SERVER.format('user_id')} AS server, ts, event_type AS metric, value FR
 SELECT {_SERVER.format('user_id')} AS server, {_DATABASE.format('user_id')} AS database_name,
  CASE event_type WHEN 'click' THEN 'commits' WHEN 'view' THEN 'rollbacks' WHEN 'purchase' THEN 'blocks_read'
  WHEN 'signup' THEN 'blocks_hit' ELSE 'deadlocks' END AS metric,
- CAST(sum(CAST(value * 100 AS bigint)) AS bigint) AS value FROM events GROUP BY user_id, event_type""",
+ CAST(sum(CAST(floor(value * 100) AS bigint)) AS bigint) AS value FROM events GROUP BY user_id, event_type""",
     "backups": f"""
 SELECT {_SERVER.format('o_custkey')} AS server, concat('db', CAST(o_custkey % 500 AS string)) AS database_name,
  o_orderdate AS finish_ts, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'L' ELSE 'I' END AS backup_type,
- CAST(o_totalprice AS bigint) AS bytes FROM orders""",
+ CAST(floor(o_totalprice) AS bigint) AS bytes FROM orders""",
     "backup_databases": f"""
 SELECT DISTINCT {_SERVER.format('c_custkey')} AS server, concat('db', CAST(c_custkey % 700 AS string)) AS database_name FROM customer""",
     "columns": f"""
@@ -225,7 +225,7 @@ SELECT {_place('user_id')}, user_id AS session_id, CAST(sum(CASE WHEN event_type
  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS files FROM events GROUP BY user_id""",
     "storage_snapshots": f"""
 SELECT {_SERVER.format('o_custkey')} AS server, {_DATABASE.format('o_custkey')} AS database_name,
- CAST(year(o_orderdate) AS int) AS snapshot_year, CAST(sum(CAST(o_totalprice AS bigint)) AS bigint) * 1024 AS bytes, count(*) AS table_count
+ CAST(year(o_orderdate) AS int) AS snapshot_year, CAST(sum(CAST(floor(o_totalprice) AS bigint)) AS bigint) * 1024 AS bytes, count(*) AS table_count
  FROM orders GROUP BY o_custkey % 4, o_custkey % 8, year(o_orderdate)""",
 }
 

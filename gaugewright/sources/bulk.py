@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from hashlib import sha256
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,10 @@ class TableKey:
     version: str = ""
     row_limit: int = 0
 
+    @property
+    def digest(self) -> str:
+        return sha256(repr((self.name, self.version, self.row_limit)).encode()).hexdigest()[:32]
+
 
 def _profile_one(key: TableKey, load: Callable[[], DataFrame], folder: str) -> tuple:
     try:
@@ -45,12 +50,11 @@ def _profile_one(key: TableKey, load: Callable[[], DataFrame], folder: str) -> t
             F.lit(key.name).alias("table_key"), F.lit(key.version).alias("version"),
             F.lit(key.row_limit).cast("bigint").alias("row_limit"), "*",
         )
-        path = f"{folder}/profiles"
-        out.coalesce(1).write.mode("append").parquet(path)
-        spark = df.sparkSession
+        # A folder per key, so threads do not share an output folder and a repeated run replaces its own.
+        path = f"{folder}/profiles/key={key.digest}"
+        out.coalesce(1).write.mode("overwrite").parquet(path)
         done = (
-            spark.read.parquet(path)
-            .filter((F.col("table_key") == key.name) & (F.col("version") == key.version) & (F.col("row_limit") == key.row_limit))
+            df.sparkSession.read.parquet(path)
             .agg(F.max("total_rows"), F.count(F.lit(1)), F.sum("missing_count"))
             .first()
         )
@@ -88,14 +92,11 @@ def profile_many(
 def cached_profile(spark: SparkSession, key: TableKey, folder: str) -> DataFrame | None:
     """The stored profile of a table, or None where there is none for this version and limit."""
     try:
-        found = spark.read.parquet(f"{folder}/profiles").filter(
-            (F.col("table_key") == key.name) & (F.col("version") == key.version) & (F.col("row_limit") == key.row_limit)
-        )
+        return spark.read.parquet(f"{folder}/profiles/key={key.digest}")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return None
-    return None if found.isEmpty() else found
 
 
 def collect_all(
