@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import number_of, percent, plain_number, rounded
 from ..plans.materialize import materialize
-from .quantiles import order_statistics
+from .quantiles import order_statistics, value_bin
 from .semantics import (
     ColumnEvidence,
     aggregate,
@@ -304,38 +304,59 @@ def _quartiles(
         values = histograms[storage_class].select(
             "position", F.col(KEYS[storage_class][0]).cast("double").alias("value"), "count"
         )
-        direct = [i for i in members if i not in wide]
+        direct = [r for r in ranks if r[0] in members and r[0] not in wide]
         if direct:
-            parts.append(
-                _ranked_quartiles(
-                    values.filter(F.col("position").isin(direct)),
-                    spark.createDataFrame(
-                        [r for r in ranks if r[0] in direct],
-                        "position int, low array<bigint>, high array<bigint>, part array<double>",
-                    ),
-                )
-            )
+            parts.append(_ranked_quartiles(values, direct, moments))
         narrowed = [r for r in ranks if r[0] in wide and r[0] in members]
         if narrowed:
             parts.append(_narrowed_quartiles(values, narrowed))
     return _union(parts)
 
 
-def _ranked_quartiles(values: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Quartiles from running counts; a column has at most DIRECT_QUANTILE_LIMIT values here."""
-    upto = F.sum("count").over(Window.partitionBy("position").orderBy("value"))
-    running = values.withColumn("upto", upto).join(F.broadcast(ranks), "position")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("count")), F.col("value")))
+def _ranked_quartiles(values: DataFrame, ranks: list[tuple], moments: dict[int, Moments]) -> DataFrame:
+    """Quartiles of columns with up to DIRECT_QUANTILE_LIMIT values, as one plan.
 
-    picked = running.groupBy("position").agg(
-        F.array(*[at(F.col("low")[i]) for i in range(3)]).alias("a"),
-        F.array(*[at(F.col("high")[i]) for i in range(3)]).alias("b"),
-        F.first("part").alias("part"),
+    Values are counted in BINS bins between the column's known ends; only the bins that hold a wanted
+    rank are then sorted. All broadcast sides have a few rows per column.
+    """
+    spark = values.sparkSession
+    ends = spark.createDataFrame(
+        [(r[0], moments[r[0]].min, moments[r[0]].max) for r in ranks], "position int, low double, high double"
+    )
+    wanted = spark.createDataFrame(
+        [
+            (i, 2 * q + side, rank, part[q])
+            for i, low, high, part in ranks
+            for q in range(3)
+            for side, rank in enumerate((low[q], high[q]))
+        ],
+        "position int, slot int, rank bigint, part double",
     )
-    interpolated = [F.col("a")[i] + (F.col("b")[i] - F.col("a")[i]) * F.col("part")[i] for i in range(3)]
-    return picked.select("position", F.array(*interpolated).alias("quartiles"))
+    binned = values.join(F.broadcast(ends), "position").select(
+        "position", "value", "count", value_bin(F.col("value"), F.col("low"), F.col("high")).alias("bin")
+    )
+    upto = F.sum("n").over(Window.partitionBy("position").orderBy("bin"))  # at most BINS rows per column
+    picked = (
+        binned.groupBy("position", "bin").agg(F.sum("count").alias("n"))
+        .withColumn("below", upto - F.col("n"))
+        .join(F.broadcast(wanted), "position")
+        .filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
+        .select("position", "bin", "slot", "rank", "part", "below")
+    )
+    inside = F.col("below") + F.sum("count").over(Window.partitionBy("position", "slot").orderBy("value"))
+    found = (
+        binned.join(F.broadcast(picked), ["position", "bin"])
+        .withColumn("upto", inside)
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
+        .groupBy("position")
+        .agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("value", "part")))).alias("at"))
+    )
+
+    def quartile(q: int) -> Column:
+        a, b = F.element_at("at", F.lit(2 * q)), F.element_at("at", F.lit(2 * q + 1))
+        return a["value"] + (b["value"] - a["value"]) * a["part"]
+
+    return found.select("position", F.array(*[quartile(q) for q in range(3)]).alias("quartiles"))
 
 
 def _narrowed_quartiles(values: DataFrame, ranks: list[tuple]) -> DataFrame:

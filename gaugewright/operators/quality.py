@@ -5,6 +5,7 @@ Issues are found on the raw table, before missing tokens are removed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,19 @@ LONGEST_KEY = 100
 _OUTER_SPACE = ", ".join(f"'{WHITE_SPACE_SQL[i:i + 6]}'" for i in range(0, len(WHITE_SPACE_SQL), 6))
 
 
-def _tests(df: DataFrame) -> list[tuple[int, str, str, str, str]]:
-    """(position, issue type, offending test, its example value, precondition on counts) as SQL text."""
+@dataclass(frozen=True)
+class IssueTest:
+    """An issue a column can have, as SQL text."""
+
+    position: int
+    issue: str
+    offends: str  # test on a row
+    example: str  # offending value as text
+    unless: str = "bool_or(false)"  # aggregate test that rules the issue out
+
+
+def issue_tests(df: DataFrame) -> list[IssueTest]:
+    """The issues to look for, from names and declared types."""
     tests = []
     for i, field in enumerate(df.schema.fields):
         c, kind = named(field.name), kind_of(field.dataType)
@@ -31,16 +43,14 @@ def _tests(df: DataFrame) -> list[tuple[int, str, str, str, str]]:
             missing = f"({present_sql(field.name, kind)}) IS NULL"
             if kind == "string":
                 missing += f" OR {c} RLIKE r'{BLANK_PATTERN}'"
-            example = c if kind == "string" else "CAST(NULL AS STRING)"
-            tests.append((i, "IDENTIFIER_NULL", missing, example, "false"))
+            tests.append(IssueTest(i, "IDENTIFIER_NULL", missing, c if kind == "string" else "CAST(NULL AS STRING)"))
         if kind == "string":
             outer = f"substring({c}, 1, 1) IN ({_OUTER_SPACE}) OR right({c}, 1) IN ({_OUTER_SPACE})"
-            tests.append((i, "LEADING_TRAILING_SPACES", outer, c, "false"))
+            tests.append(IssueTest(i, "LEADING_TRAILING_SPACES", outer, c))
+            numeric = f"{c} RLIKE r'{NUMBER_PATTERN}'"
+            stripped = f"btrim({c}, '{WHITE_SPACE_SQL}')"
             # Mixed only where some, not all, values are numeric.
-            tests.append(
-                (i, "MIXED_NUMERIC_TEXT", f"{c} RLIKE r'{NUMBER_PATTERN}'", f"btrim({c}, '{WHITE_SPACE_SQL}')",
-                 f"count({c}) = count_if({c} RLIKE r'{NUMBER_PATTERN}')")
-            )
+            tests.append(IssueTest(i, "MIXED_NUMERIC_TEXT", numeric, stripped, f"count({c}) = count_if({numeric})"))
     return tests
 
 
@@ -56,7 +66,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
     Counts come from aggregates over the whole table; examples are the smallest offending values,
     of which a task sends at most five per column and issue.
     """
-    tests = _tests(df)
+    tests = issue_tests(df)
     if not tests:
         return df.sparkSession.createDataFrame([], _NO_ISSUES)
 
@@ -65,17 +75,19 @@ def quality_issues(df: DataFrame) -> DataFrame:
         members = list(enumerate(tests))[start : start + COLUMNS_PER_BRANCH]
         aggregates = ["count(*) AS total"]
         structs = []
-        for k, (i, issue, test, _, excluded) in members:
-            aggregates += [f"count_if({test}) AS n_{k}", f"{excluded if excluded != 'false' else 'bool_or(false)'} AS x_{k}"]
-            structs.append(f"struct({i} AS position, '{issue}' AS issue_type, n_{k} AS affected_count, x_{k} AS excluded)")
+        for k, t in members:
+            aggregates += [f"count_if({t.offends}) AS n_{k}", f"{t.unless} AS x_{k}"]
+            structs.append(
+                f"struct({t.position} AS position, '{t.issue}' AS issue_type, n_{k} AS affected_count, x_{k} AS excluded)"
+            )
         branches.append(
             aggregate(df, aggregates).selectExpr("total", f"inline(array({', '.join(structs)}))")
         )
     counts = reduce(DataFrame.unionByName, branches).filter("affected_count > 0 AND NOT coalesce(excluded, false)")
 
     offenders = ", ".join(
-        f"CASE WHEN {test} THEN struct({i} AS position, '{issue}' AS issue_type, {example} AS value) END"
-        for i, issue, test, example, _ in tests
+        f"CASE WHEN {t.offends} THEN struct({t.position} AS position, '{t.issue}' AS issue_type, {t.example} AS value) END"
+        for t in tests
     )
     smallest = Window.partitionBy("position", "issue_type").orderBy("value")
     examples = (

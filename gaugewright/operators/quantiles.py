@@ -22,7 +22,7 @@ def _log_scale(v: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
-def _bin(v: Column, low: Column, high: Column) -> Column:
+def value_bin(v: Column, low: Column, high: Column) -> Column:
     """Bin 0..BINS-1 of v between low and high; a bin never decreases as v grows."""
     width = high - low
     place = F.when(width > 0, F.floor((v - low) / F.when(width > 0, width).otherwise(1.0) * F.lit(float(BINS))))
@@ -62,7 +62,7 @@ def order_statistics(values: DataFrame, targets: list[tuple[int, int]]) -> dict[
             .filter(F.col("value").between(F.col("low"), F.col("high")))
             .groupBy(
                 "key", "rank", "below",
-                _bin(scale(F.col("value")), scale(F.col("low")), scale(F.col("high"))).alias("bin"),
+                value_bin(scale(F.col("value")), scale(F.col("low")), scale(F.col("high"))).alias("bin"),
             )
             .agg(F.sum("count").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         )
