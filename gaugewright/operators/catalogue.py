@@ -127,8 +127,9 @@ def code_dependencies(objects: DataFrame, tables: DataFrame) -> DataFrame:
     code = objects.filter(
         is_user_schema(F.col("schema_name")) & F.col("object_type").isin("PROCEDURE", "FUNCTION") & ~F.col("is_extension")
     ).select(*OBJECT, "object_type", F.lower("body").alias("body"))
-    words = code.withColumn(
-        "word", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(\w+)"), F.lit(1))))
+    words = code.select(
+        *OBJECT, "object_type",
+        F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(\w+)"), F.lit(1)))).alias("word"),
     )
     targets = (
         tables.filter(is_user_schema(F.col("schema_name")))
@@ -141,8 +142,10 @@ def code_dependencies(objects: DataFrame, tables: DataFrame) -> DataFrame:
         .distinct()
     )
     one_word = F.col("name").rlike(r"^\w+\z")
-    simple = words.drop("body").join(targets.filter(one_word), [*DATABASE, "word"])
-    others = words.join(targets.filter(~one_word), [*DATABASE, "word"]).filter(
+    simple = words.join(targets.filter(one_word), [*DATABASE, "word"])
+    # Bodies are fetched only for the objects that mention the first word of such a name.
+    candidates = words.join(targets.filter(~one_word), [*DATABASE, "word"])
+    others = candidates.join(code.select(*OBJECT, "body"), OBJECT).filter(
         F.expr(r"body RLIKE concat(r'(?<!\w)\Q', name, r'\E(?!\w)')")
     )
     found = simple.select(*OBJECT, "object_type", "referenced_object").unionByName(

@@ -134,9 +134,50 @@ def apply_date_rules(df: DataFrame, rules: dict[str, DateRule]) -> DataFrame:
         elif rule.method == "forward":
             if not (rule.partition_by and rule.order_by):
                 raise ValueError("carrying values forward needs partition_by and order_by")
-            w = Window.partitionBy(*rule.partition_by).orderBy(*rule.order_by)
-            fill = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            out = carry_forward(out, name, rule.partition_by, rule.order_by)
+            continue
         else:
             raise ValueError(f"unknown date rule {rule.method}")
         out = out.withColumn(name, F.coalesce(c, fill.cast(df.schema[name].dataType)))
     return out
+
+
+CARRY_BUCKETS = 4096
+
+
+def carry_forward(df: DataFrame, column: str, keys: tuple[str, ...], order_by: tuple[str, ...]) -> DataFrame:
+    """Fill missing values with the last one before them, per key in the given order.
+
+    A key's rows are cut into buckets of the first order column, so a key holding a large share of
+    the table is not sorted in one task: values are carried within a bucket, and the last value of
+    each bucket is carried over to the ones after it.
+    """
+    first = order_by[0]
+    place = F.col(named(first))
+    if kind_of(df.schema[first].dataType) in ("timestamp", "date"):
+        place = F.unix_micros(place.cast("timestamp"))
+    place = place.cast("double")
+    ends = df.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
+    width = ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / CARRY_BUCKETS or 1.0
+    bucket = F.coalesce(F.floor((place - F.lit(ends["low"] or 0.0)) / F.lit(width)), F.lit(-1))
+    marked = df.withColumn("__bucket", bucket)
+    value = F.col(named(column))
+    lasts = marked.groupBy(*keys, "__bucket").agg(
+        F.max_by(value, F.when(value.isNotNull(), F.struct(*[F.col(named(c)) for c in order_by]))).alias("__last")
+    )
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(
+        *[F.col(named(k)).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__at"),
+        F.last("__last", ignorenulls=True).over(before).alias("__carried"),
+    )
+    same = F.col("__bucket") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(named(k)).eqNullSafe(F.col(f"__key_{i}"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    filled = marked.withColumn("__inside", F.last(value, ignorenulls=True).over(inside)).join(carried, same)
+    return filled.select(
+        *[
+            F.coalesce(value, "__inside", "__carried").alias(c) if c == column else F.col(named(c))
+            for c in df.columns
+        ]
+    )

@@ -47,12 +47,13 @@ def transactions(trx: DataFrame, sessions: DataFrame, as_of: str, n: int = 100)
     """Oldest transactions with their age and their session's user."""
     now = as_of_like(trx, "start_ts", as_of)
     oldest = trx.filter(F.col("start_ts") <= now).orderBy("start_ts", *DATABASE, "trx_id").limit(n)
-    users = sessions.select("server", "session_id", "user_id", "state")
-    # The left side is n rows.
-    return F.broadcast(oldest).join(users, ["server", "session_id"], "left").select(
-        *[oldest[c] for c in DATABASE], "trx_id", "session_id", "user_id", "state", "rows_locked",
-        F.timestamp_diff("SECOND", oldest["start_ts"], now).alias("age_seconds"),
-        F.floor(F.timestamp_diff("SECOND", oldest["start_ts"], now) / 60).cast("bigint").alias("age_minutes"),
+    keys = ["server", "session_id"]
+    # n rows at most on the broadcast side; only their sessions are kept.
+    users = sessions.select(*keys, "user_id", "state").join(F.broadcast(oldest.select(*keys).distinct()), keys)
+    age = F.timestamp_diff("SECOND", "start_ts", now)
+    return oldest.join(users, keys, "left").select(
+        *DATABASE, "trx_id", "session_id", "user_id", "state", "rows_locked",
+        age.alias("age_seconds"), F.floor(age / 60).cast("bigint").alias("age_minutes"),
     )
 
 

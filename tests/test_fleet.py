@@ -146,3 +146,15 @@ def test_slow_statement_texts_are_not_shuffled_with_the_sums(spark):
 def test_every_derived_fact_has_keys(spark):
     for name, sql in DERIVED.items():
         assert "AS server" in sql, name
+
+
+def test_all_reports_run_on_empty_facts(spark, tmp_path):
+    from gaugewright.operators.fleet import REPORTS, reports
+    from gaugewright.sources.bulk import collect_all
+
+    facts = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+    ready = reports(facts, "2024-01-01 00:00:00")
+    assert set(REPORTS) < set(ready)
+    errors = [r for r in collect_all(spark, ready, str(tmp_path), threads=8).collect() if r["error"]]
+    assert errors == []
+    assert set(reports({"tables": facts["tables"]})) >= {"table_storage"} and "fk_graph" not in reports({"tables": facts["tables"]})

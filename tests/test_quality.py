@@ -147,3 +147,26 @@ def test_quality_overview_mixes_cells_and_issues(rows):
     df = rows([("a ", None), ("1", 2)], "t string, x_id int")
     got = {r["label"]: r["value"] for r in R.quality_overview(P.profile(df), Q.quality_issues(df)).collect()}
     assert got == {"Complete Data Cells": 3, "Missing Cells": 1, "Confirmed Inconsistencies": 2, "Potential Anomalies": 1}
+
+
+def test_carrying_forward_over_a_hot_key(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("k"), F.col("id").alias("o"),
+        F.when(F.col("id") % 50 < 3, F.date_add(F.lit(date(2020, 1, 1)), F.col("id").cast("int"))).alias("d"),
+    )
+    got = I.apply_date_rules(df.repartition(16), {"d": I.DateRule("forward", partition_by=("k",), order_by=("o",))})
+    last, want = {}, {}
+    for r in df.orderBy("o").collect():
+        last[r["k"]] = r["d"] or last.get(r["k"])
+        want[r["o"]] = last[r["k"]]
+    assert {r["o"]: r["d"] for r in got.collect()} == want
+
+
+def test_table_report(rows):
+    from gaugewright.operators.report import table_report
+
+    report = table_report(rows([("a ", 1.5), ("b", None), ("b", None)], "t string, x double"))
+    s = report["summary"].first()
+    assert (s["total_rows"], s["missing_cells"], s["duplicate_groups"], s["inconsistencies"]) == (3, 2, 1, 1)
+    assert report["affected_columns"].first()["column_name"] == "t"
+    assert all(df.columns for df in report.values())
