@@ -178,8 +178,13 @@ def top_values(histograms: dict[str, DataFrame], k: int = TOP_VALUES) -> DataFra
 
 
 def distinct_values(histograms: dict[str, DataFrame]) -> DataFrame:
-    """(position, unique_count)."""
-    return _union([h.groupBy("position").agg(F.count(F.lit(1)).alias("unique_count")) for h in histograms.values()])
+    """(position, unique_count).
+
+    Reading the counts, all positive, keeps them in the plan, so the histogram's shuffle is shared
+    with the other results taken from it.
+    """
+    unique = F.count_if(F.col("count") > 0).alias("unique_count")
+    return _union([h.groupBy("position").agg(unique) for h in histograms.values()])
 
 
 def distribution(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:

@@ -332,7 +332,7 @@ def kpi_deadlocks(spark, folder):
 
 _POINTS = f"""(SELECT server, metric, {_BUCKET} AS bucket, count(*) AS samples, {rnd('avg(value)', 1)} AS value, {rnd('sum(value)', 2)} AS total
  FROM fact_metric_samples WHERE {_DAY} GROUP BY server, metric, {_BUCKET})"""
-_TREND = f"""(SELECT server, metric, arg_max(value, bucket) AS current, {rnd('avg(value)', 1)} AS avg, max(value) AS peak, min(value) AS min, arg_min(value, bucket) AS start,
+_TREND = f"""(SELECT server, metric, arg_max(value, bucket) AS current, {rnd('CAST(sum(CAST(value AS DECIMAL(28,2))) AS DOUBLE) / count(value)', 1)} AS avg, max(value) AS peak, min(value) AS min, arg_min(value, bucket) AS start,
  strftime(TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR + to_hours(2 * arg_min(bucket, {{'v': -value, 'b': bucket}})), '%H:%M') AS peak_time FROM {_POINTS} p GROUP BY server, metric)"""
 _CHANGE = f"(SELECT *, CASE WHEN start > 0 THEN {rnd('(current - start) / greatest(1.0, start) * 100.0', 1)} ELSE 0.0 END AS pct_change FROM {_TREND} t)"
 
