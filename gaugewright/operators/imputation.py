@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
-from .profile import profile
+from .profile import LONGEST_VALUE, profile
 from .semantics import kind_of, named, normalize_missing, present
 
 NUMERIC = ["NUMERICAL_DISCRETE", "NUMERICAL_CONTINUOUS"]
@@ -49,16 +49,25 @@ def recommend(profiles: DataFrame, bulk: bool = False) -> DataFrame:
 
 
 def mode_value(df: DataFrame, column: str) -> Any:
-    """Most frequent filled value of a column (the smallest on ties), whole, however long."""
+    """Most frequent filled value of a column (the smallest on ties), whole, however long.
+
+    Long texts are counted by their digest, and the winner's text is read afterwards.
+    """
     kind = kind_of(df.schema[column].dataType)
+    value = df.select(present(column, kind).alias("value")).filter(F.col("value").isNotNull())
+    is_long = F.length("value") > LONGEST_VALUE if kind == "string" else F.lit(False)
+    digest = F.when(is_long, F.sha2("value", 256)) if kind == "string" else F.lit(None).cast("string")
     counted = (
-        df.select(present(column, kind).alias("value"))
-        .filter(F.col("value").isNotNull())
-        .groupBy("value")
+        value.select(F.when(~is_long, F.col("value")).alias("short"), digest.alias("digest"))
+        .groupBy("short", "digest")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    best = counted.orderBy(F.desc("count"), "value").first()
-    return best["value"] if best else None
+    best = counted.orderBy(F.desc("count"), F.col("short").asc_nulls_last(), "digest").first()
+    if best is None:
+        return None
+    if best["digest"] is None:
+        return best["short"]
+    return value.filter(is_long & (digest == best["digest"])).first()["value"]
 
 
 def apply_imputation(

@@ -14,7 +14,7 @@ while the counts stay those of the whole texts.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +40,9 @@ from .semantics import (
 # its distinct values; beyond it they are found by narrowing (see quantiles.py).
 DIRECT_QUANTILE_LIMIT = 1_000_000
 
+# Columns counted by one histogram.
+COLUMNS_PER_HISTOGRAM = 32
+
 LONGEST_VALUE, KEPT_CHARACTERS = 100, 97
 TOP_VALUES = 10
 QUARTILES = (0.25, 0.5, 0.75)
@@ -114,30 +117,44 @@ def _key_columns(e: ColumnEvidence, names: list[str]) -> list[str]:
     return [f"CAST({made[n]} AS {KEY_TYPES[n]})" for n in names]
 
 
-def class_histograms(df: DataFrame, evidence: list[ColumnEvidence]) -> dict[str, DataFrame]:
-    """(position, key columns, count) for every filled value, one table per storage class.
+@dataclass(frozen=True)
+class Histogram:
+    """(position, key columns, count) for every filled value of some columns of one storage class."""
+
+    storage_class: str
+    positions: list[int]
+    counts: DataFrame
+
+    @property
+    def keys(self) -> list[str]:
+        return KEYS[self.storage_class]
+
+
+def histograms_of(df: DataFrame, evidence: list[ColumnEvidence]) -> list[Histogram]:
+    """The values of a table with their counts, a group of columns at a time.
 
-    Each table reads only the columns of its class, and its keys are no wider than they need to be.
+    Each group reads only its columns, and its keys are no wider than its storage class needs.
     """
-    histograms = {}
+    found = []
     for storage_class, names in KEYS.items():
-        members = [e for e in evidence if e.kind != "complex" and _storage_class(e) == storage_class]
-        if not members:
-            continue
-        fields = ["position", *names]
-        columns, groups = [], []
-        for e in members:
-            made = [f"{n}_{e.position}" for n in fields]
-            columns += [f"{k} AS {n}" for n, k in zip(made, [str(e.position), *_key_columns(e, names)])]
-            groups.append(f"({', '.join(made)}) AS c{e.position}")
-        histograms[storage_class] = df.sparkSession.sql(
-            f"SELECT {', '.join(fields)}, count(*) AS count "
-            f"FROM (SELECT {', '.join(columns)} FROM {{table}}) "
-            f"UNPIVOT INCLUDE NULLS (({', '.join(fields)}) FOR source IN ({', '.join(groups)})) "
-            f"WHERE {names[0]} IS NOT NULL GROUP BY {', '.join(fields)}",
-            table=df,
-        )
-    return histograms
+        every = [e for e in evidence if e.kind != "complex" and _storage_class(e) == storage_class]
+        for start in range(0, len(every), COLUMNS_PER_HISTOGRAM):
+            members = every[start : start + COLUMNS_PER_HISTOGRAM]
+            fields = ["position", *names]
+            columns, groups = [], []
+            for e in members:
+                made = [f"{n}_{e.position}" for n in fields]
+                columns += [f"{k} AS {n}" for n, k in zip(made, [str(e.position), *_key_columns(e, names)])]
+                groups.append(f"({', '.join(made)}) AS c{e.position}")
+            counts = df.sparkSession.sql(
+                f"SELECT {', '.join(fields)}, count(*) AS count "
+                f"FROM (SELECT {', '.join(columns)} FROM {{table}}) "
+                f"UNPIVOT INCLUDE NULLS (({', '.join(fields)}) FOR source IN ({', '.join(groups)})) "
+                f"WHERE {names[0]} IS NOT NULL GROUP BY {', '.join(fields)}",
+                table=df,
+            )
+            found.append(Histogram(storage_class, [e.position for e in members], counts))
+    return found
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -149,42 +166,41 @@ def value_histogram(df: DataFrame) -> DataFrame:
     evidence, _ = column_evidence(df)
     return _union(
         [
-            h.select(
+            h.counts.select(
                 "position",
-                *[(F.col(n) if n in KEYS[k] else F.lit(None).cast(t)).alias(n) for n, t in KEY_TYPES.items()],
+                *[(F.col(n) if n in h.keys else F.lit(None).cast(t)).alias(n) for n, t in KEY_TYPES.items()],
                 "count",
             )
-            for k, h in class_histograms(df, evidence).items()
+            for h in histograms_of(df, evidence)
         ]
     )
 
 
-def top_values(histograms: dict[str, DataFrame], k: int = TOP_VALUES) -> DataFrame:
+def top_values(histograms: list[Histogram], k: int = TOP_VALUES) -> DataFrame:
     """The k most frequent values per column; ties go to the smaller value.
 
     The rank filter becomes a group limit before the shuffle, so each task sends at most k rows a column.
     """
     parts = []
-    for storage_class, histogram in histograms.items():
-        names = KEYS[storage_class]
-        text = {"integer": F.col(names[0]).cast("string"), "float": plain_number(F.col(names[0]))}
-        order = Window.partitionBy("position").orderBy(F.desc("count"), *names)
+    for h in histograms:
+        text = {"integer": F.col(h.keys[0]).cast("string"), "float": plain_number(F.col(h.keys[0]))}
+        order = Window.partitionBy("position").orderBy(F.desc("count"), *h.keys)
         parts.append(
-            histogram.withColumn("rank", F.row_number().over(order))
+            h.counts.withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= k)
-            .select("position", "rank", text.get(storage_class, F.col("text_value")).alias("value"), "count")
+            .select("position", "rank", text.get(h.storage_class, F.col("text_value")).alias("value"), "count")
         )
     return _union(parts)
 
 
-def distinct_values(histograms: dict[str, DataFrame]) -> DataFrame:
+def distinct_values(histograms: list[Histogram]) -> DataFrame:
     """(position, unique_count).
 
     Reading the counts, all positive, keeps them in the plan, so the histogram's shuffle is shared
     with the other results taken from it.
     """
     unique = F.count_if(F.col("count") > 0).alias("unique_count")
-    return _union([h.groupBy("position").agg(unique) for h in histograms.values()])
+    return _union([h.counts.groupBy("position").agg(unique) for h in histograms])
 
 
 def distribution(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
@@ -196,7 +212,7 @@ def distribution(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
         "position int, column_name string, category string, total_rows bigint",
     )
     return (
-        top_values(class_histograms(clean, evidence), k)
+        top_values(histograms_of(clean, evidence), k)
         .join(F.broadcast(names), "position")
         .select(
             "column_name", "category", "rank", "value", "count",
@@ -220,7 +236,7 @@ def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
             [(e.name, e.approx_distinct) for e in evidence], "column_name string, unique_count bigint"
         )
     names = spark.createDataFrame([(e.position, e.name) for e in evidence], "position int, column_name string")
-    counts = distinct_values(class_histograms(clean, evidence))
+    counts = distinct_values(histograms_of(clean, evidence))
     return names.join(counts, "position", "left").select(
         "column_name", F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count")
     )
@@ -289,12 +305,11 @@ def scan(df: DataFrame) -> tuple[list[ColumnEvidence], dict[int, Moments]]:
 
 
 def _quartiles(
-    histograms: dict[str, DataFrame], evidence: list[ColumnEvidence], moments: dict[int, Moments]
+    histograms: list[Histogram], evidence: list[ColumnEvidence], moments: dict[int, Moments]
 ) -> DataFrame | None:
     """(position, quartiles), exact and linearly interpolated, from the histograms."""
     if not moments:
         return None
-    spark = next(iter(histograms.values())).sparkSession
     wide = {e.position for e in evidence if e.position in moments and e.approx_distinct > DIRECT_QUANTILE_LIMIT}
     ranks = []
     for i, m in moments.items():
@@ -302,13 +317,11 @@ def _quartiles(
         ranks.append((i, [math.floor(x) for x in at], [math.ceil(x) for x in at], [x - math.floor(x) for x in at]))
 
     parts = []
-    for storage_class in ("integer", "float", "numeric_text"):
-        members = [e.position for e in evidence if e.position in moments and _storage_class(e) == storage_class]
+    for h in histograms:
+        members = [i for i in h.positions if i in moments]
         if not members:
             continue
-        values = histograms[storage_class].select(
-            "position", F.col(KEYS[storage_class][0]).cast("double").alias("value"), "count"
-        )
+        values = h.counts.select("position", F.col(h.keys[0]).cast("double").alias("value"), "count")
         direct = [r for r in ranks if r[0] in members and r[0] not in wide]
         if direct:
             parts.append(_ranked_quartiles(values, direct, moments))
@@ -401,12 +414,12 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         "total_rows bigint, non_null_count bigint, missing_count bigint, approx_distinct bigint, is_complex boolean, "
         "min double, max double, mean double, variance double, skewness double, kurtosis double",
     )
-    histograms = class_histograms(clean, evidence)
+    histograms = histograms_of(clean, evidence)
     if not approximate and any(
         e.position in moments and e.approx_distinct > DIRECT_QUANTILE_LIMIT for e in evidence
     ):
         # Narrowing reads the histogram several times.
-        histograms = {k: materialize(h) for k, h in histograms.items()}
+        histograms = [replace(h, counts=materialize(h.counts)) for h in histograms]
     quartiles = _sketched_quartiles(clean, evidence, moments) if approximate else _quartiles(histograms, evidence, moments)
 
     # One row per column on every side.

@@ -17,7 +17,7 @@ from ..functions.text import BLANK_PATTERN, NUMBER_PATTERN, WHITE_SPACE_SQL, per
 from .semantics import aggregate, is_identifier_name, kind_of, named, normalize_missing, present, present_sql
 
 EXAMPLES = 5
-COLUMNS_PER_BRANCH = 8
+TESTS_PER_BRANCH = 8
 LONGEST_KEY = 100
 
 _OUTER_SPACE = ", ".join(f"'{WHITE_SPACE_SQL[i:i + 6]}'" for i in range(0, len(WHITE_SPACE_SQL), 6))
@@ -60,57 +60,60 @@ _NO_ISSUES = (
 )
 
 
+def _affected(df: DataFrame, tests: list[IssueTest]) -> dict[int, tuple[int, int]]:
+    """(offending rows, all rows) per test that found an issue, from aggregates over the whole table."""
+    branches = []
+    for start in range(0, len(tests), TESTS_PER_BRANCH):
+        members = list(enumerate(tests))[start : start + TESTS_PER_BRANCH]
+        aggregates, structs = ["count(*) AS total"], []
+        for k, t in members:
+            aggregates += [f"count_if({t.offends}) AS n_{k}", f"{t.unless} AS x_{k}"]
+            structs.append(f"struct({k} AS test, n_{k} AS affected, x_{k} AS excluded)")
+        branches.append(aggregate(df, aggregates).selectExpr("total", f"inline(array({', '.join(structs)}))"))
+    counts = reduce(DataFrame.unionByName, branches).filter("affected > 0 AND NOT coalesce(excluded, false)")
+    return {r["test"]: (r["affected"], r["total"]) for r in counts.collect()}
+
+
 def quality_issues(df: DataFrame) -> DataFrame:
     """One row per column and issue: blank identifiers, outer white space, numbers mixed with text.
 
-    Counts come from aggregates over the whole table; examples are the smallest offending values,
-    of which a task sends at most five per column and issue.
+    Counts come first, at most three per column. Examples are the smallest offending values; only
+    columns with an issue are read for them, and a task sends at most five values per issue.
     """
+    spark = df.sparkSession
     tests = issue_tests(df)
-    if not tests:
-        return df.sparkSession.createDataFrame([], _NO_ISSUES)
-
-    branches = []
-    for start in range(0, len(tests), COLUMNS_PER_BRANCH):
-        members = list(enumerate(tests))[start : start + COLUMNS_PER_BRANCH]
-        aggregates = ["count(*) AS total"]
-        structs = []
-        for k, t in members:
-            aggregates += [f"count_if({t.offends}) AS n_{k}", f"{t.unless} AS x_{k}"]
-            structs.append(
-                f"struct({t.position} AS position, '{t.issue}' AS issue_type, n_{k} AS affected_count, x_{k} AS excluded)"
-            )
-        branches.append(
-            aggregate(df, aggregates).selectExpr("total", f"inline(array({', '.join(structs)}))")
-        )
-    counts = reduce(DataFrame.unionByName, branches).filter("affected_count > 0 AND NOT coalesce(excluded, false)")
+    affected = _affected(df, tests) if tests else {}
+    if not affected:
+        return spark.createDataFrame([], _NO_ISSUES)
+
+    rows = []
+    for k, (count, total) in affected.items():
+        t = tests[k]
+        severity, message, recommendation = ISSUE_TEXTS[t.issue]
+        rows.append((k, t.position, df.columns[t.position], t.issue, severity, count, total, message, recommendation))
+    issues = spark.createDataFrame(
+        rows,
+        "test int, position int, column_name string, issue_type string, severity string, affected_count bigint, "
+        "total bigint, message string, recommendation string",
+    )
 
+    found = [(k, tests[k]) for k in affected]
     offenders = ", ".join(
-        f"CASE WHEN {t.offends} THEN struct({t.position} AS position, '{t.issue}' AS issue_type, {t.example} AS value) END"
-        for t in tests
+        f"CASE WHEN {t.offends} THEN struct({k} AS test, {t.example} AS value) END" for k, t in found
     )
-    smallest = Window.partitionBy("position", "issue_type").orderBy("value")
+    smallest = Window.partitionBy("test").orderBy("value")
     examples = (
-        df.selectExpr(f"inline(filter(array({offenders}), x -> x.value IS NOT NULL))")
+        df.filter(" OR ".join(f"({t.offends})" for _, t in found))
+        .selectExpr(f"inline(filter(array({offenders}), x -> x.value IS NOT NULL))")
         .withColumn("rank", F.row_number().over(smallest))
         .filter(F.col("rank") <= EXAMPLES)
-        .groupBy("position", "issue_type")
+        .groupBy("test")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("examples"))
     )
-    texts = df.sparkSession.createDataFrame(
-        [(k, *v) for k, v in ISSUE_TEXTS.items()],
-        "issue_type string, severity string, message string, recommendation string",
-    )
-    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, column_name string")
-    return (
-        counts.join(examples, ["position", "issue_type"], "left")
-        .join(F.broadcast(texts), "issue_type")
-        .join(F.broadcast(names), "position")
-        .select(
-            "position", "column_name", "issue_type", "severity", "affected_count",
-            percent(F.col("affected_count"), F.col("total")).alias("affected_percentage"),
-            "message", F.coalesce("examples", F.array(F.lit("NULL"))).alias("examples"), "recommendation",
-        )
+    return issues.join(examples, "test", "left").select(
+        "position", "column_name", "issue_type", "severity", "affected_count",
+        percent(F.col("affected_count"), F.col("total")).alias("affected_percentage"),
+        "message", F.coalesce("examples", F.array(F.lit("NULL"))).alias("examples"), "recommendation",
     )
 
 

@@ -202,3 +202,11 @@ def test_completeness_is_one_aggregate(spark, tmp_path):
 def test_outliers(rows):
     s = P.shape(rows([(float(v),) for v in [*range(1, 20), 500.5]], "x double")).first()
     assert (s["outlier_count"], s["skew_direction"], s["skew_severity"]) == (1, "right", "high")
+
+
+def test_wide_table(spark, monkeypatch):
+    monkeypatch.setattr(P, "COLUMNS_PER_HISTOGRAM", 7)
+    df = spark.range(50).select(*[(F.col("id") * i).alias(f"n{i}") for i in range(1, 20)], *[F.lit(f"x{i}").alias(f"t{i}") for i in range(9)])
+    found = by_name(df)
+    assert len(found) == 28 and found["n19"]["statistics"]["max"] == 931.0 and found["t8"]["unique_count"] == 1
+    assert all(found[f"n{i}"]["statistics"]["median"] == 24.5 * i for i in range(1, 20))
