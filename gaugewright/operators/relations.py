@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lists import DATABASE, TABLE, name_lists, ordered_list
+from .lists import DATABASE, TABLE, joined, name_lists, ordered_set
 from .storage import user_tables
 
 CHILD = [*DATABASE, "child_schema", "child_table"]
@@ -43,14 +43,10 @@ def foreign_keys(fk: DataFrame) -> DataFrame:
 
 
 def fk_graph(fk: DataFrame) -> DataFrame:
-    """One edge per constraint with its columns in order. Copies of a row are dropped first."""
-    return (
-        foreign_keys(fk)
-        .groupBy(*CHILD, "parent_schema", "parent_table", "constraint_name")
-        .agg(
-            ordered_list("position", "child_column").alias("child_columns"),
-            ordered_list("position", "parent_column").alias("parent_columns"),
-        )
+    """One edge per constraint with its columns in order."""
+    return fk.groupBy(*CHILD, "parent_schema", "parent_table", "constraint_name").agg(
+        joined(ordered_set("position", "child_column")).alias("child_columns"),
+        joined(ordered_set("position", "parent_column")).alias("parent_columns"),
     )
 
 
@@ -64,23 +60,27 @@ INDEX = [*TABLE, "index_name"]
 
 def indexes(index_columns: DataFrame) -> DataFrame:
     """One row per index with its columns in order."""
-    rows = index_columns.select(
-        *INDEX, "position", "column_name", "is_unique", "is_primary", "is_disabled", "index_type", "index_bytes"
-    ).distinct()
-    return rows.groupBy(*INDEX).agg(
-        ordered_list("position", "column_name").alias("column_list"),
-        F.count(F.lit(1)).alias("column_count"),
+    grouped = index_columns.groupBy(*INDEX).agg(
+        ordered_set("position", "column_name").alias("__columns"),
         F.bool_or("is_unique").alias("is_unique"),
         F.bool_or("is_primary").alias("is_primary"),
         F.bool_or("is_disabled").alias("is_disabled"),
         F.max("index_type").alias("index_type"),
         F.max("index_bytes").cast("bigint").alias("index_bytes"),
     )
+    return grouped.select(
+        *INDEX, joined(F.col("__columns")).alias("column_list"), F.size("__columns").cast("bigint").alias("column_count"),
+        "is_unique", "is_primary", "is_disabled", "index_type", "index_bytes",
+    )
+
+
+def _column_lists(index_columns: DataFrame) -> DataFrame:
+    return index_columns.groupBy(*INDEX).agg(joined(ordered_set("position", "column_name")).alias("column_list"))
 
 
 def primary_keys(index_columns: DataFrame) -> DataFrame:
     """Primary key columns in order."""
-    return indexes(index_columns.filter("is_primary")).select(*INDEX, "column_list")
+    return _column_lists(index_columns.filter("is_primary"))
 
 
 def tables_without_pk(tables: DataFrame, index_columns: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def tables_without_pk(tables: DataFrame, index_columns: DataFrame) -> DataFrame:
 
 def unique_constraints(index_columns: DataFrame) -> DataFrame:
     """Unique indexes that are not primary keys, with their columns in order."""
-    return indexes(index_columns.filter("is_unique AND NOT is_primary")).select(*INDEX, "column_list")
+    return _column_lists(index_columns.filter("is_unique AND NOT is_primary"))
 
 
 def index_column_list(index_columns: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def duplicate_indexes(index_columns: DataFrame) -> DataFrame:
     row says how many indexes of the table begin with that list and go on. Both are counted before
     anything is joined, so a table with very many indexes yields no more rows than it has column lists.
     """
-    every = indexes(index_columns).select(*INDEX, "column_list")
+    every = _column_lists(index_columns)
     signature = [*TABLE, "column_list"]
     duplicated = name_lists(every, signature, "index_name", "index_list").filter("item_count > 1").select(
         *signature, F.lit("duplicate").alias("kind"), F.col("item_count").alias("index_count"),

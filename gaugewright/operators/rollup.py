@@ -1,6 +1,8 @@
 """Table-level roll-ups of column profiles, issues and duplicates.
 
-Inputs are already one row per column, so these are all small.
+Inputs are already one row per column, so these are all small. ``profiles`` may be anything that has
+the columns a roll-up reads: for missing cells and duplicates the result of ``completeness`` will do,
+for category counts that of ``semantic_category``.
 """
 
 from __future__ import annotations

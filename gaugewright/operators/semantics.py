@@ -7,6 +7,7 @@ whatever the table's size; the type rules then run on those rows.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -357,6 +358,14 @@ def semantic_category(df: DataFrame) -> DataFrame:
     )
 
 
+def semantic_categories(tables: dict[str, DataFrame], threads: int = 4) -> DataFrame:
+    """``semantic_category`` of several tables, their jobs submitted side by side."""
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        found = list(pool.map(semantic_category, tables.values()))
+    named_parts = [part.select(F.lit(n).alias("table_name"), "*") for n, part in zip(tables, found)]
+    return reduce(DataFrame.unionByName, named_parts)
+
+
 def identifier_names(df: DataFrame) -> DataFrame:
     """One row per column: is its name that of an identifier? Looks at the schema only."""
     rows = [(name, is_identifier_name(name)) for name in df.columns]

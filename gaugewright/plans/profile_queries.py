@@ -284,13 +284,8 @@ TYPED = {
 
 @query("semantic_category", "B2 B3 B4 B5 B6 B7 B8 B9", _types_sql(TYPED))
 def semantic_category(spark, folder):
-    out = None
-    for name in TYPED:
-        part = S.semantic_category(table(spark, folder, name)).select(
-            F.lit(name).alias("table_name"), "column_name", "physical_type", "category"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    tables = {name: table(spark, folder, name) for name in TYPED}
+    return S.semantic_categories(tables).drop("position")
 
 
 @query("physical_type", "B3 D5", "SELECT column_name, CASE physical_type WHEN 'INTEGER' THEN 'LongType' WHEN 'DECIMAL/CONTINUOUS_NUMERIC' THEN 'DoubleType' WHEN 'TIMESTAMP' THEN 'TimestampType' ELSE 'StringType' END AS spark_type FROM ("
@@ -478,7 +473,7 @@ _DUPS = "SELECT count(*) AS row_count FROM dirty_customer GROUP BY cust_id, c_na
 
 def _inputs(spark, folder, name="dirty_customer"):
     df = table(spark, folder, name)
-    return df, P.profile(df)
+    return df, P.completeness(S.normalize_missing(df))
 
 
 @query("rollup_table_summary", "F1", f"""
@@ -515,12 +510,12 @@ SELECT 'Unique Records' AS label, (SELECT count(*) FROM documents) - extra AS va
 UNION ALL SELECT 'Duplicate Extra Records', extra FROM (SELECT CAST(coalesce(sum(row_count - 1), 0) AS BIGINT) AS extra FROM ({_TEXT_GROUPS}) g) d""")
 def rollup_dups(spark, folder):
     texts = source(spark, folder, "documents").select("text")
-    return R.unique_vs_duplicate(P.profile(texts), Q.duplicates(texts))
+    return R.unique_vs_duplicate(P.completeness(texts), Q.duplicates(texts))
 
 
 @query("rollup_categories", "F5", f"SELECT category, count(*) AS column_count FROM ({_types_sql({'lineitem': TYPED['lineitem']})}) t GROUP BY category")
 def rollup_categories(spark, folder):
-    return R.category_counts(P.profile(source(spark, folder, "lineitem")))
+    return R.category_counts(S.semantic_category(source(spark, folder, "lineitem")))
 
 
 @query("rollup_numeric", "F6", f"SELECT column_name, mean, median, stddev, min, max FROM ({_stats_sql('lineitem', LINEITEM_NUMBERS)}) s")
