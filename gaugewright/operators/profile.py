@@ -28,6 +28,7 @@ from .semantics import (
     ColumnEvidence,
     aggregate,
     column_evidence,
+    declared_columns,
     kind_of,
     moment_aggregates,
     normalize_missing,
@@ -211,8 +212,13 @@ def distribution(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
         [(e.position, e.name, e.semantic_category, e.total) for e in evidence],
         "position int, column_name string, category string, total_rows bigint",
     )
+    histograms = histograms_of(clean, evidence)
+    if not histograms:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, category string, rank int, value string, count bigint, percentage double"
+        )
     return (
-        top_values(histograms_of(clean, evidence), k)
+        top_values(histograms, k)
         .join(F.broadcast(names), "position")
         .select(
             "column_name", "category", "rank", "value", "count",
@@ -227,18 +233,23 @@ def mode(df: DataFrame) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct filled values per column: exact from the histogram, or sketched in one pass."""
+    """Distinct filled values per column: exact from the histogram, or sketched in one pass. NULL for complex columns."""
     clean = normalize_missing(df)
-    evidence, _ = column_evidence(clean)
     spark = df.sparkSession
     if approximate:
-        return spark.createDataFrame(
-            [(e.name, e.approx_distinct) for e in evidence], "column_name string, unique_count bigint"
-        )
-    names = spark.createDataFrame([(e.position, e.name) for e in evidence], "position int, column_name string")
-    counts = distinct_values(histograms_of(clean, evidence))
-    return names.join(counts, "position", "left").select(
-        "column_name", F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count")
+        evidence, _ = column_evidence(clean)
+        rows = [(e.name, None if e.kind == "complex" else e.approx_distinct) for e in evidence]
+        return spark.createDataFrame(rows, "column_name string, unique_count bigint")
+    columns = declared_columns(clean)
+    names = spark.createDataFrame(
+        [(e.position, e.name, e.kind == "complex") for e in columns], "position int, column_name string, is_complex boolean"
+    )
+    histograms = histograms_of(clean, columns)
+    if not histograms:
+        return names.select("column_name", F.lit(None).cast("bigint").alias("unique_count"))
+    counted = F.coalesce("unique_count", F.lit(0).cast("bigint"))
+    return names.join(distinct_values(histograms), "position", "left").select(
+        "column_name", F.when(~F.col("is_complex"), counted).alias("unique_count")
     )
 
 

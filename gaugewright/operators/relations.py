@@ -121,7 +121,7 @@ def duplicate_indexes(index_columns: DataFrame) -> DataFrame:
     """
     every = _column_lists(index_columns)
     signature = [*TABLE, "column_list"]
-    duplicated = name_lists(every, signature, "index_name", "index_list").filter("item_count > 1").select(
+    duplicated = name_lists(every, signature, "index_name", "index_list", least=2).select(
         *signature, F.lit("duplicate").alias("kind"), F.col("item_count").alias("index_count"),
         "list_part", "index_list", F.lit(None).cast("string").alias("longer_example"),
     )

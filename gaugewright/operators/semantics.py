@@ -323,6 +323,13 @@ def column_evidence(df: DataFrame, moments: bool = False) -> tuple[list[ColumnEv
     return _with_exact_details(df, found), facts
 
 
+def declared_columns(df: DataFrame) -> list[ColumnEvidence]:
+    """Columns by declared type alone, without reading the table."""
+    return [
+        ColumnEvidence(i, f.name, kind_of(f.dataType), 0, 0, 0, 0, False, False) for i, f in enumerate(df.schema.fields)
+    ]
+
+
 def _with_exact_details(df: DataFrame, found: list[ColumnEvidence]) -> list[ColumnEvidence]:
     """A second pass over only the columns the first one left open (few-valued floats, numeric texts)."""
     branches = []

@@ -210,3 +210,13 @@ def test_wide_table(spark, monkeypatch):
     found = by_name(df)
     assert len(found) == 28 and found["n19"]["statistics"]["max"] == 931.0 and found["t8"]["unique_count"] == 1
     assert all(found[f"n{i}"]["statistics"]["median"] == 24.5 * i for i in range(1, 20))
+
+
+def test_table_of_complex_columns_only(rows):
+    df = rows([([1],), (None,)], "a array<int>")
+    assert P.distribution(df).count() == 0 and P.unique_counts(df).first()["unique_count"] is None
+    assert P.profile(df).first()["missing_count"] == 1
+
+
+def test_unique_counts_of_numeric_texts(rows):
+    assert P.unique_counts(rows([("1",), ("1.0",), ("NULL",)], "t string")).first()["unique_count"] == 2
