@@ -197,23 +197,6 @@ def profile_value_histogram(spark, folder):
     return P.value_histogram(df).drop("text_digest")
 
 
-@query("profile_table", "D6 E1")
-def profile_table(spark, folder):
-    """The whole profile of the largest table, flattened."""
-    p = I.recommend(P.profile(source(spark, folder, "lineitem")))
-    return p.select(
-        "position", "column_name", "spark_type", "physical_type", "category", "total_rows", "non_null_count",
-        "missing_count", "missing_percentage", "unique_count",
-        F.col("statistics.mean").alias("mean"), F.col("statistics.median").alias("median"),
-        F.get("distribution", F.lit(0))["value"].alias("mode"), "recommended_method",
-    )
-
-
-@query("profile_documents", "D6 B9")
-def profile_documents(spark, folder):
-    return P.profile(source(spark, folder, "documents")).drop("statistics", "distribution")
-
-
 # --- typing -------------------------------------------------------------------------------------------
 
 def _text_type_sql(name: str, c: str, is_identifier: bool) -> tuple[str, str]:
@@ -255,18 +238,22 @@ def _number_type_sql(c: str, declared: str, is_identifier: bool) -> tuple[str, s
     return physical, category
 
 
+def _column_type_sql(name: str, c: str, declared: str) -> tuple[str, str]:
+    """(physical type, category) of a column given as a declared class, with '!' for names of identifiers."""
+    is_identifier, declared = declared.startswith("!"), declared.lstrip("!")
+    if declared == "text":
+        return _text_type_sql(name, c, is_identifier)
+    if declared == "time":
+        return ("CASE WHEN count(*) >= 0 THEN 'TIMESTAMP' END",) * 2
+    return _number_type_sql(c, declared, is_identifier)
+
+
 def _types_sql(tables: dict[str, dict[str, str]]) -> str:
-    """Columns given as name -> declared class, with '!' for names of identifiers."""
+    """The types of all columns of some tables."""
     parts = []
     for name, columns in tables.items():
         for c, declared in columns.items():
-            is_id, declared = declared.startswith("!"), declared.lstrip("!")
-            if declared == "text":
-                physical, category = _text_type_sql(name, c, is_id)
-            elif declared == "time":
-                physical = category = "CASE WHEN count(*) >= 0 THEN 'TIMESTAMP' END"
-            else:
-                physical, category = _number_type_sql(c, declared, is_id)
+            physical, category = _column_type_sql(name, c, declared)
             parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, {physical} AS physical_type, {category} AS category FROM {name}")
     return union_of(parts)
 
@@ -282,6 +269,52 @@ TYPED = {
 }
 
 
+_LABELS = "CASE {0} WHEN 'INTEGER' THEN 'LongType' WHEN 'DECIMAL/CONTINUOUS_NUMERIC' THEN 'DoubleType' WHEN 'TIMESTAMP' THEN 'TimestampType' ELSE 'StringType' END"
+
+
+def _profile_sql(name: str, columns: dict[str, str], figures: bool) -> str:
+    """A whole profile, column by column."""
+    parts = []
+    for i, (c, declared) in enumerate(columns.items()):
+        physical, category = _column_type_sql(name, c, declared)
+        missing = f"count(*) - count({c})"
+        shown = (
+            f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, {_LABELS.format(physical)} AS spark_type, {physical} AS physical_type,"
+            f" {category} AS category, count(*) AS total_rows, count({c}) AS non_null_count, {missing} AS missing_count,"
+            f" {pct(missing, 'count(*)')} AS missing_percentage, count(DISTINCT {c}) AS unique_count"
+        )
+        if figures:
+            number = declared.lstrip("!") in ("integer", "float")
+            mean = rnd(f"avg(CAST({c} AS DOUBLE))", 4) if number else "CAST(NULL AS DOUBLE)"
+            median = rnd(f"quantile_cont(CAST({c} AS DOUBLE), 0.5)", 4) if number else "CAST(NULL AS DOUBLE)"
+            shown += (
+                f", {mean} AS mean, {median} AS median, (SELECT CAST({c} AS VARCHAR) FROM {name} GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode,"
+                " 'None (Complete)' AS recommended_method"
+            )
+        parts.append(f"{shown} FROM {name}")
+    return union_of(parts)
+
+
+DOCUMENTS = {"doc_id": "!integer", "text": "text", "lang": "text", "source": "text", "n_chars": "integer"}
+
+
+@query("profile_table", "D6 E1", _profile_sql("lineitem", TYPED["lineitem"], True))
+def profile_table(spark, folder):
+    """The whole profile of the largest table, flattened."""
+    p = I.recommend(P.profile(source(spark, folder, "lineitem")))
+    return p.select(
+        "position", "column_name", "spark_type", "physical_type", "category", "total_rows", "non_null_count",
+        "missing_count", "missing_percentage", "unique_count",
+        F.col("statistics.mean").alias("mean"), F.col("statistics.median").alias("median"),
+        F.get("distribution", F.lit(0))["value"].alias("mode"), "recommended_method",
+    )
+
+
+@query("profile_documents", "D6 B9", _profile_sql("documents", DOCUMENTS, False))
+def profile_documents(spark, folder):
+    return P.profile(source(spark, folder, "documents")).drop("statistics", "distribution")
+
+
 @query("semantic_category", "B2 B3 B4 B5 B6 B7 B8 B9", _types_sql(TYPED))
 def semantic_category(spark, folder):
     tables = {name: table(spark, folder, name) for name in TYPED}
