@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming.monitors import run_available, stream_quality, stream_trend
@@ -15,6 +15,11 @@ def events_stream(spark, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
+def utc_text(pattern: str) -> Column:
+    """The window start in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp("window_start", F.current_timezone()), pattern)
+
+
 _START = "time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00')"
 _CLOSED = f"{_START} + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
@@ -28,7 +33,7 @@ def trend_on_stream(spark, folder):
         "ts", F.col("event_type").alias("metric"), "value",
     )
     found = run_available(stream_trend(samples, "2 hours"))
-    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    return found.withColumn("window_start", utc_text("yyyy-MM-dd HH:mm"))
 
 
 _DAY = "date_trunc('day', ts)"
@@ -51,4 +56,4 @@ def quality_on_stream(spark, folder):
         F.when(F.col("event_id") % 11 == 0, F.concat(label, F.lit("\t"))).otherwise(label).alias("label"),
     )
     found = run_available(stream_quality(dirty, "ts", "1 day"))
-    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    return found.withColumn("window_start", utc_text("yyyy-MM-dd"))

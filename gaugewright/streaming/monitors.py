@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions.text import percent, rounded
 from ..operators.quality import issue_tests
@@ -21,8 +22,12 @@ SERIES = ["server", "metric"]
 
 
 def windowed(df: DataFrame, time: str, width: str, watermark: str) -> DataFrame:
-    """Add a tumbling ``window``; watermarks need an instant, so times without a zone become one first."""
-    stamped = df.withColumn(time, F.col(time).cast("timestamp"))
+    """Add a tumbling ``window``; watermarks need an instant, so times without a zone are taken as UTC."""
+    instant = F.col(time).cast("timestamp")
+    if isinstance(df.schema[time].dataType, TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(time)))
+    stamped = df.withColumn(time, instant)
     return stamped.withWatermark(time, watermark).withColumn("window", F.window(time, width))
 
 
