@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec
+from . import containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, sentencepiece_codec, toxicity
+from .text import fold
+from .words import small
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -44,3 +46,107 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def token_digests(docs: DataFrame) -> DataFrame:
     out = sentencepiece_codec.encode_decode(docs, piece_model())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op1_embedding_forest")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector, among vectors of its label."""
+    return embedding_forest.near_duplicate_vectors(read(spark, folder, "embeddings"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four folds of five."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
+    model = toxicity.train(docs.join(small(labels), "doc_id"))
+    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three folds of four."""
+    docs = read(spark, folder, "documents")
+    model = language_id.train(docs.where(fold("doc_id", 4) != 2))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_interpolated_lm")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, by a model of six folds of seven."""
+    held_out = fold("doc_id", 7) == 2
+    docs = read(spark, folder, "documents")
+    return interpolated_lm.score(docs, ~held_out).withColumn("held_out", held_out)
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page. The number in a page's path names the document that its article shows; that labels the training pages."""
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    number = F.expr("try_cast(nullif(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/([0-9]+)', 1), '') AS bigint)")
+    model = html_extraction.train(pages.withColumn("article_id", number), read(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), "text"))
+    return html_extraction.extract(pages, model)
+
+
+_WORDS = r"string_split(trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+_SHINGLES = """
+{name}_words AS (SELECT {id}, """ + _WORDS + """ AS w FROM {table}),
+{name}_sets AS (
+  SELECT DISTINCT {id}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
+  FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_words WHERE w[1] <> '')
+)"""
+_DOC_SETS = _SHINGLES.format(name="doc", id="doc_id", table="documents", text="text")
+_ITEM_SETS = _SHINGLES.format(name="item", id="item_id", table="benchmark", text="text")
+
+
+@query(
+    "op2_containment",
+    f"""WITH {_DOC_SETS}, {_ITEM_SETS},
+    sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_sets GROUP BY ALL),
+    found AS (SELECT doc_id, item_id, count(*) AS n_found FROM doc_sets JOIN item_sets USING (shingle) GROUP BY ALL)
+    SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+    FROM found JOIN sizes USING (item_id) WHERE n_found / n_shingles >= 0.8 - 1e-12""",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that each document contains."""
+    return containment.contained_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query(
+    "op8_jaccard_join",
+    f"""WITH RECURSIVE {_DOC_SETS},
+    sizes AS (SELECT doc_id, count(*) AS n, min(shingle) AS low, string_agg(shingle, '|' ORDER BY shingle) AS whole FROM doc_sets GROUP BY ALL),
+    classes AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM sizes),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM doc_sets a JOIN doc_sets b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    pairs AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE both >= 0.8 * (x.n + y.n - both) - 1e-9),
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    roots AS (SELECT a, least(a, min(b)) AS low FROM reach GROUP BY a),
+    degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(low, d.doc_id) AS group_id, coalesce(low, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN classes USING (doc_id) LEFT JOIN roots r ON r.a = d.doc_id LEFT JOIN degrees g ON g.a = d.doc_id""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, links and group of every document by word 5-grams at a Jaccard similarity of 0.8."""
+    return jaccard_join.near_duplicates(read(spark, folder, "documents"))
+
+
+@query(
+    "op10_line_spread",
+    f"""WITH cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    spread AS (
+      SELECT trim(line) AS body, min(struct_pack(d := doc_id, p := pos)) AS first FROM cut WHERE trim(line) <> ''
+      GROUP BY 1 HAVING count(DISTINCT source) >= {line_spread.MIN_SITES}
+    ),
+    marked AS (SELECT doc_id, pos, line, body IS NOT NULL AND first <> struct_pack(d := doc_id, p := pos) AS gone FROM cut LEFT JOIN spread ON trim(line) = body),
+    kept AS (
+      SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(k.text) AS text_sha256
+    FROM documents d LEFT JOIN kept k USING (doc_id)""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines on ten sites or more leave every document but the first that has them."""
+    out = line_spread.remove_spread_lines(read(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
