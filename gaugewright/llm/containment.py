@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .words import SHINGLE, shingle_hashes, shingles, small, words
+from .words import SHINGLE, each, shingle_hashes, shingles, small, words
 
 THRESHOLD = 0.8
 
@@ -22,7 +22,7 @@ THRESHOLD = 0.8
 def item_sketches(items: DataFrame, threshold: float, size: int, item_id: str, item_text: str) -> DataFrame:
     """(item, least, hash): the sketch of each item, and the least number of shingles of a document for its partition."""
     found = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("found"))
-    hashes = found.select("item", F.array_sort(F.array_distinct(shingle_hashes(F.col("found"), size))).alias("hashes")).where(F.size("hashes") > 0)
+    hashes = found.where(F.size("found") > 0).select("item", F.array_sort(F.array_distinct(shingle_hashes(F.col("found"), size))).alias("hashes"))
     sized = hashes.withColumn("smallest", F.pow(F.lit(2.0), F.floor(F.log2(F.size("hashes").cast("double")) + 1e-9)).cast("bigint"))
     missing = F.floor((F.col("smallest") * 2 - 1) * (1.0 - threshold) + 1e-9).cast("int")
     return sized.select(
@@ -49,10 +49,11 @@ def contained_items(
     )
     pairs = materialize(hashed.join(sketches, "hash").where(F.col("n") >= F.col("least")).select("doc", "item").distinct())
     wanted = small(pairs.select("doc").distinct())
-    body = docs.join(wanted, "doc", "left_semi").select("doc", shingles(words(F.col("text")), size).alias("own"))
-    asked = materialize(items.select("item", F.explode(shingles(words(F.col("body")), size)).alias("shingle")).distinct())
+    body = docs.join(wanted, "doc", "left_semi").select("doc", words(F.col("text")).alias("found")).select("doc", shingles(F.col("found"), size).alias("own"))
+    sets = items.select("item", words(F.col("body")).alias("found")).select("item", shingles(F.col("found"), size).alias("shingles"))
+    asked = materialize(each(sets, "item", "shingles", "shingle").distinct())
     # the candidates' shingles that are of any item, then of the item of a candidate pair
-    held = body.select("doc", F.explode("own").alias("shingle")).join(small(asked), "shingle").distinct()
+    held = each(body, "doc", "own", "shingle").join(small(asked), "shingle").distinct()
     counts = held.join(pairs, ["doc", "item"], "left_semi").groupBy("doc", "item").agg(F.count("*").alias("n_found"))
     found = counts.join(asked.groupBy("item").agg(F.count("*").alias("n_shingles")), "item")
     share = F.col("n_found") / F.col("n_shingles")

@@ -117,8 +117,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH RECURSIVE {_DOC_SETS},
     sizes AS (SELECT doc_id, count(*) AS n, min(shingle) AS low, string_agg(shingle, '|' ORDER BY shingle) AS whole FROM doc_sets GROUP BY ALL),
     classes AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM sizes),
-    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM doc_sets a JOIN doc_sets b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
-    pairs AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE both >= 0.8 * (x.n + y.n - both) - 1e-9),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM doc_sets a JOIN doc_sets b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    pairs AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
     links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
     reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
     roots AS (SELECT a, least(a, min(b)) AS low FROM reach GROUP BY a),

@@ -1,4 +1,7 @@
-"""Words, word shingles and their hashes as Spark expressions, and joins with a side of checked size."""
+"""Words, word shingles and their hashes as Spark expressions, and joins with a side of checked size.
+
+The shingle expressions refer to the words once per shingle: give them a column that an earlier ``select`` made, not ``words(...)`` itself.
+"""
 
 from __future__ import annotations
 
@@ -40,3 +43,12 @@ def shingles(found: Column, size: int = SHINGLE) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table of narrow rows, to be broadcast if it has at most ``rows`` rows; else joins shuffle it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def each(df: DataFrame, key: str, array: str, name: str) -> DataFrame:
+    """(key, name): the elements of an array that holds no nulls.
+
+    An inner ``explode`` would let the optimizer test the array's size before the array is made, and
+    so work the words out again for every shingle.
+    """
+    return df.select(key, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
