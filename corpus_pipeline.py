@@ -1,31 +1,72 @@
-"""A corpus pipeline over documents: each stage works on all that its predecessor kept."""
+"""A corpus pipeline over documents: each stage works on all that its predecessor kept.
+
+Documents without a recognisable language go, then lines that stand on many sites, then all but one of each group of near
+duplicates, then documents that hold benchmark items; what is left is encoded into tokens.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gaugewright.llm import containment, jaccard_join, language_id, line_spread
 from gaugewright.llm import queries as llm
 from gaugewright.plans.materialize import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document whose best language contains less than this share of its n-grams is in no language that was learned.
+LEAST_SHARE = 0.2
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language learned from the labelled ones. Null texts and texts without a letter go."""
+    columns = docs.columns
+    model = language_id.train(docs)
+    found = language_id.identify(docs, model)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines of many sites but for their first place. Documents of which nothing but white space is left go; ``n_chars`` follows the text."""
+    cleaned = line_spread.remove_spread_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
+    cleaned = cleaned.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates. Rows with a null id stay."""
+    gone = jaccard_join.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item. Rows with a null id are not searched and stay."""
+    found = containment.contained_items(docs, llm.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(found, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document is encoded and decoded; one row of digests each."""
     return llm.token_digests(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", languages), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)
+]
 
-#: SQL expresses neither the language model of the first stage nor the encoding of the last.
+#: SQL expresses neither the language filter of the first stage nor the encoding of the last.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents. Each result but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = llm.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,7 @@
 A group of up to ``block`` members is one task. A larger one is cut into blocks by a hash of the
 member, and every two blocks meet in one task, so that no task grows with its group and each pair
 of members is compared once. Pairs are never written: a task returns, per member, its links and
-its smallest linked neighbour in the task.
+the smallest member that links in the task reach.
 """
 
 from __future__ import annotations
@@ -56,6 +56,18 @@ def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(kept) if len(kept) > 1 else kept[0]
 
 
+def smallest_reached(alike: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each member the smallest id that links within the task reach, itself included."""
+    names = np.sort(ids)
+    low = np.searchsorted(names, ids)
+    linked = alike | np.eye(len(ids), dtype=bool)
+    while True:
+        near = np.where(linked, low[None, :], len(ids)).min(1)
+        if (near == low).all():
+            return names[low]
+        low = near
+
+
 def key_of(task: Column) -> Column:
     """One text per task, to sort by."""
     return F.to_json(task)

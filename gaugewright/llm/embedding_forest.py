@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .compare import block_tasks, key_of, per_task
+from .compare import block_tasks, key_of, per_task, smallest_reached
 from .components import components
 from .words import small
 
@@ -116,8 +116,7 @@ def _compare(threshold: float):
             ids, weight = ids[near], weight[near]
             linked = np.flatnonzero(alike.any(1))
             if len(linked):
-                low = [ids[alike[k]].min() for k in linked]
-                yield pd.DataFrame({"rep": ids[linked], "low": low, "n_links": (alike[linked] @ weight).astype(np.int64)})
+                yield pd.DataFrame({"rep": ids[linked], "low": smallest_reached(alike, ids)[linked], "n_links": (alike[linked] @ weight).astype(np.int64)})
 
     return run
 

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .html_tree import Page, parse
 from .text import slices
@@ -39,7 +40,7 @@ PRIOR = {
     "bias": 0.3, "links:4": -1.5, "links:3": -0.7,
 }
 #: Log potentials [parent][child]: content under a part that is none is rare.
-EDGE_PRIOR = np.array([[0.0, -6.0], [-1.0, 0.0]])
+EDGE_PRIOR = np.array([[0.0, -6.0], [0.0, 0.0]])
 
 
 @dataclass
@@ -228,5 +229,5 @@ def extract(pages: DataFrame, model: ContentModel, html_column: str = "html") ->
             texts = shared.value.extract(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    schema = plain.drop(html_column).schema.add("text", "string")
+    schema = StructType([*plain.schema.fields[:-1], StructField("text", StringType())])
     return plain.mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("bigint"))

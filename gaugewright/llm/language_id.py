@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..plans.materialize import materialize
 from .text import code_points, mix, slices
@@ -188,5 +188,5 @@ def identify(docs: DataFrame, model: LanguageFilter, text_column: str = "text")
 
     plain = docs.drop("lang_pred", "score")
     names = plain.columns
-    schema = plain.schema.add("lang_pred", StringType()).add("score", "double")
+    schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return plain.mapInArrow(predict, schema)

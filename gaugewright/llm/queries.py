@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, sentencepiece_codec, toxicity
+from . import containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, repeated_bytes, sentencepiece_codec, toxicity
 from .text import fold
 from .words import small
 
@@ -54,6 +54,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_forest.near_duplicate_vectors(read(spark, folder, "embeddings"))
 
 
+@query("op3_repeated_bytes")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that start earlier."""
+    out = repeated_bytes.remove_repeats(read(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four folds of five."""

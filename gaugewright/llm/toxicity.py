@@ -19,11 +19,13 @@ from .text import code_points, mix, slices
 ORDERS = (3, 4, 5)
 BITS = 19
 SMOOTHING = 3.0
-#: Features with a ratio nearer to 0 are left out.
-LEAST_RATIO = 0.5
+#: Features whose shares in the two labels differ by fewer standard errors are left out.
+LEAST_ERRORS = 4.5
 #: The weights are fitted on this many rows of each label at most.
 SAMPLE_PER_LABEL = 3000
-EPOCHS, RATE, PENALTY = 400, 0.5, 1e-4
+EPOCHS, RATE, PENALTY = 400, 0.5, 3e-4
+#: Share of the toxic label in the weights of the fit, between its usual share and a half.
+TOXIC_SHARE = 0.25
 
 
 def features(text: str) -> np.ndarray:
@@ -60,7 +62,7 @@ class ToxicityModel:
 
 
 def log_count_ratios(rows: DataFrame) -> np.ndarray:
-    """The ratio of each hashed n-gram over all rows (text, label)."""
+    """The ratio of each hashed n-gram over all rows (text, label); 0 where the labels hardly differ."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int32)
@@ -84,20 +86,24 @@ def log_count_ratios(rows: DataFrame) -> np.ndarray:
     n_clean, n_toxic = max(1, clean[total].sum()), max(1, toxic[total].sum())
     out = np.zeros(1 << BITS)
     small = SMOOTHING / n_toxic
-    out[at[~total]] = np.log((toxic[~total] / n_toxic + small) / (clean[~total] / n_clean + small))
+    toxic, clean, at = toxic[~total], clean[~total], at[~total]
+    ratios = np.log((toxic / n_toxic + small) / (clean / n_clean + small))
+    share = (toxic + clean + 1) / (n_toxic + n_clean + 2)
+    errors = (toxic / n_toxic - clean / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    out[at] = np.where(np.abs(errors) >= LEAST_ERRORS, ratios, 0.0)
     return out
 
 
 def fit(sample: list[tuple[np.ndarray, int]], ratios: np.ndarray) -> ToxicityModel:
-    """Logistic regression on the scaled features of a sample, both labels counting alike."""
+    """Logistic regression on the scaled features of a sample."""
     labels = np.array([label for _, label in sample], np.float64)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(np.zeros(1 << BITS), 0.0 if not len(labels) else (4.0 if labels[0] else -4.0))
-    kept = [f[np.abs(ratios[f]) >= LEAST_RATIO] for f, _ in sample]
+    kept = [f[ratios[f] != 0] for f, _ in sample]
     used, columns = np.unique(np.concatenate(kept), return_inverse=True)
     rows = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
     values = ratios[used][columns]
-    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+    share = np.where(labels == 1, TOXIC_SHARE / labels.sum(), (1 - TOXIC_SHARE) / (len(labels) - labels.sum()))
     weights, intercept = np.zeros(len(used)), 0.0
     squares, square = np.full(len(used), 1e-8), 1e-8
     for _ in range(EPOCHS):
@@ -121,7 +127,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     rows = docs.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.col(label_column).cast("int").alias("label"))
     ratios = log_count_ratios(rows.select("text", "label"))
-    shared = docs.sparkSession.sparkContext.broadcast(np.abs(ratios) >= LEAST_RATIO)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios != 0)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

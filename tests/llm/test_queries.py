@@ -1,0 +1,52 @@
+"""The registered queries against their SQL, and the pipeline stage by stage."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import corpus_pipeline
+from gaugewright.llm import containment, jaccard_join, language_id
+from gaugewright.llm.queries import ORACLE_SQL, QUERIES, read
+from oracle import compare, database
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, folder, name):
+    assert compare(spark, database(folder), folder, QUERIES[name], ORACLE_SQL[name]) is None
+
+
+def test_one_query_per_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, folder):
+    docs = read(spark, folder, "documents")
+    kept, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in kept.select("doc_id").collect()}
+        kept = spark.createDataFrame(stage(spark, kept, folder).collect(), docs.schema)
+        after = {r.doc_id for r in kept.select("doc_id").collect()}
+        assert kept.columns == columns and after <= before
+        if name == "language":
+            assert len(after) >= 0.97 * len(before)
+        if name == "near duplicates":
+            assert jaccard_join.near_duplicates(kept).where("n_links > 0").count() == 0
+        if name == "decontamination":
+            assert containment.contained_items(kept, read(spark, folder, "benchmark")).count() == 0
+    out = corpus_pipeline.run(spark, folder)
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_stages_take_nulls_and_nothing(spark, frame, folder):
+    schema = read(spark, folder, "documents").schema
+    rows = [(1, "the cat sat on the mat with the hat", "en", "a", 36), (1, "the cat sat on the mat with the hat", "en", "a", 36), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "the dog ate all the food today", None, None, 1), (4, "1234", "en", "c", 4)]
+    for start in (rows, []):
+        docs = spark.createDataFrame(start, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, folder).collect(), schema)
+        assert sorted((r.doc_id or 0) for r in docs.collect()) == ([0, 1, 1] if start else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == (3 if start else 0)
+    assert language_id.UNKNOWN == "und"
