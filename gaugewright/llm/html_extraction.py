@@ -37,7 +37,7 @@ MAIN_TAGS = "article main".split()
 MAIN_NAMES = "article content main post entry body story text".split()
 PRIOR = {
     **{f"tag:{t}": -5.0 for t in ASIDE_TAGS}, **{f"name:{n}": -5.0 for n in ASIDE_NAMES}, **{f"tag:{t}": 2.0 for t in MAIN_TAGS}, **{f"name:{n}": 0.5 for n in MAIN_NAMES},
-    "bias": 0.3, "links:4": -1.5, "links:3": -0.7,
+    "bias": 0.3, "block": 1.5, "links:4": -1.5, "links:3": -0.7,
 }
 #: Log potentials [parent][child]: content under a part that is none is rare.
 EDGE_PRIOR = np.array([[0.0, -6.0], [0.0, 0.0]])

@@ -47,8 +47,9 @@ def test_filter_returns_all_languages_of_a_gram(frame):
 
 
 def test_toxicity_held_out(spark):
-    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    rows = op4(spark, SMALL).join(labels, "doc_id").where("held_out").collect()
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = op4(spark, folder).join(labels, "doc_id").where("held_out").collect()
     good, bad = [r.score for r in rows if r.toxic == 0], [r.score for r in rows if r.toxic == 1]
     assert np.mean([b > g for b in bad for g in good]) >= 0.9
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
