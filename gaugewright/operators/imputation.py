@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_EVEN, Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
-from .profile import LONGEST_VALUE, profile
+from ..plans.materialize import materialize
+from .profile import LONGEST_VALUE, full_profile
 from .semantics import kind_of, named, normalize_missing, present
 
 NUMERIC = ["NUMERICAL_DISCRETE", "NUMERICAL_CONTINUOUS"]
@@ -70,6 +72,15 @@ def mode_value(df: DataFrame, column: str) -> Any:
     return value.filter(is_long & (digest == best["digest"])).first()["value"]
 
 
+def _in_type(number: float, dtype: T.DataType) -> Column:
+    """A number as a literal of a column's type, rounded half to even where the type asks for it."""
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        places = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+        exact = Decimal(repr(number)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_EVEN)
+        return F.lit(str(exact)).cast(dtype)
+    return F.lit(number).cast(dtype)
+
+
 def apply_imputation(
     df: DataFrame,
     columns: list[str],
@@ -80,14 +91,15 @@ def apply_imputation(
     """Fill the missing values of ``columns``.
 
     A method is mean, median, mode or constant; where none is given, the recommended one applies.
-    A fill value is one literal per column, so the table is read once and nothing is joined.
-    Whole-number columns filled with a mean or median become doubles.
+    A fill value is one literal per column, so nothing is joined. A column keeps its type: a mean or
+    median is unrounded in a column of floats, and in whole numbers and decimals rounded half to even
+    to what the type can hold. Values that are not missing stay exactly as they are.
     """
     clean = normalize_missing(df)
     stats = {
         r["column_name"]: r
-        for r in recommend(profile(clean.select([F.col(named(c)) for c in columns])))
-        .select("column_name", "missing_count", "recommended_method", "statistics")
+        for r in recommend(full_profile(clean.select([F.col(named(c)) for c in columns])))
+        .select("column_name", "missing_count", "recommended_method", "raw")
         .collect()
     }
     fills: dict[str, Column] = {}
@@ -101,10 +113,9 @@ def apply_imputation(
         dtype = df.schema[name].dataType
         value = present(name, kind_of(dtype))
         if method in ("mean", "median"):
-            if found["statistics"] is None:
+            if found["raw"] is None:
                 raise ValueError(f"column {name} has no {method}")
-            whole = isinstance(dtype, T.IntegralType)
-            fills[name] = F.coalesce(value.cast("double") if whole else value, F.lit(found["statistics"][method]))
+            fills[name] = F.coalesce(value, _in_type(found["raw"][method], dtype))
         elif method == "mode":
             fills[name] = F.coalesce(value, F.lit(mode_value(clean, name)).cast(dtype))
         elif name in (constants or {}):
@@ -151,39 +162,36 @@ def apply_date_rules(df: DataFrame, rules: dict[str, DateRule]) -> DataFrame:
     return out
 
 
-CARRY_BUCKETS = 4096
+CARRY_BUCKETS = 256
 
 
 def carry_forward(df: DataFrame, column: str, keys: tuple[str, ...], order_by: tuple[str, ...]) -> DataFrame:
-    """Fill missing values with the last one before them, per key in the given order.
+    """Fill missing values with the last one before them, per key in the given order; nulls come first.
 
-    A key's rows are cut into buckets of the first order column, so a key holding a large share of
-    the table is not sorted in one task: values are carried within a bucket, and the last value of
-    each bucket is carried over to the ones after it.
+    The table is dealt out by ranges of (keys, order) with sampled bounds, so a key that holds a
+    large share of the rows is cut into several ranges, whatever the type or spread of its order.
+    Values are carried within a range, and a key's last value of each range over to the ones after it.
     """
-    first = order_by[0]
-    place = F.col(named(first))
-    if kind_of(df.schema[first].dataType) in ("timestamp", "date"):
-        place = F.unix_micros(place.cast("timestamp"))
-    place = place.cast("double")
-    ends = df.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
-    width = ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / CARRY_BUCKETS or 1.0
-    bucket = F.coalesce(F.floor((place - F.lit(ends["low"] or 0.0)) / F.lit(width)), F.lit(-1))
-    marked = df.withColumn("__bucket", bucket)
-    value = F.col(named(column))
-    lasts = marked.groupBy(*keys, "__bucket").agg(
-        F.max_by(value, F.when(value.isNotNull(), F.struct(*[F.col(named(c)) for c in order_by]))).alias("__last")
+    by = [F.col(named(c)) for c in (*keys, *order_by)]
+    # stored, since ranges are sampled anew by every job
+    marked = materialize(
+        df.repartitionByRange(CARRY_BUCKETS, *by).withColumn("__range", F.spark_partition_id())
     )
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    value = F.col(named(column))
+    group = [*[F.col(named(k)) for k in keys], F.col("__range")]
+    order = [F.col(named(c)) for c in order_by]
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(*order)
+    lasts = marked.groupBy(*group).agg(F.max_by(value, F.when(value.isNotNull(), place)).alias("__last"))
+    before = Window.partitionBy(*[F.col(named(k)) for k in keys]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(
-        *[F.col(named(k)).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__at"),
+        *[F.col(named(k)).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("__range").alias("__at"),
         F.last("__last", ignorenulls=True).over(before).alias("__carried"),
-    )
-    same = F.col("__bucket") == F.col("__at")
+    ).filter("__carried IS NOT NULL")
+    same = F.col("__range") == F.col("__at")
     for i, k in enumerate(keys):
         same = same & F.col(named(k)).eqNullSafe(F.col(f"__key_{i}"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    filled = marked.withColumn("__inside", F.last(value, ignorenulls=True).over(inside)).join(carried, same)
+    filled = marked.withColumn("__inside", F.last(value, ignorenulls=True).over(inside)).join(carried, same, "left")
     return filled.select(
         *[
             F.coalesce(value, "__inside", "__carried").alias(c) if c == column else F.col(named(c))

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import number_of, percent, plain_number, rounded
 from ..plans.materialize import materialize
-from .quantiles import order_statistics, value_bin
+from .quantiles import order_statistics
 from .semantics import (
     ColumnEvidence,
     aggregate,
@@ -31,16 +31,13 @@ from .semantics import (
     declared_columns,
     kind_of,
     moment_aggregates,
+    named,
     normalize_missing,
     present,
     present_sql,
     quoted,
 )
 
-# Quartiles of a column with up to this many distinct values are taken in one aggregate that holds
-# its distinct values; beyond it they are found by narrowing (see quantiles.py).
-DIRECT_QUANTILE_LIMIT = 1_000_000
-
 # Columns counted by one histogram.
 COLUMNS_PER_HISTOGRAM = 32
 
@@ -142,18 +139,9 @@ def histograms_of(df: DataFrame, evidence: list[ColumnEvidence]) -> list[Histogr
         for start in range(0, len(every), COLUMNS_PER_HISTOGRAM):
             members = every[start : start + COLUMNS_PER_HISTOGRAM]
             fields = ["position", *names]
-            columns, groups = [], []
-            for e in members:
-                made = [f"{n}_{e.position}" for n in fields]
-                columns += [f"{k} AS {n}" for n, k in zip(made, [str(e.position), *_key_columns(e, names)])]
-                groups.append(f"({', '.join(made)}) AS c{e.position}")
-            counts = df.sparkSession.sql(
-                f"SELECT {', '.join(fields)}, count(*) AS count "
-                f"FROM (SELECT {', '.join(columns)} FROM {{table}}) "
-                f"UNPIVOT INCLUDE NULLS (({', '.join(fields)}) FOR source IN ({', '.join(groups)})) "
-                f"WHERE {names[0]} IS NOT NULL GROUP BY {', '.join(fields)}",
-                table=df,
-            )
+            values = [x for e in members for x in (str(e.position), *_key_columns(e, names))]
+            long = df.selectExpr(f"stack({len(members)}, {', '.join(values)}) AS ({', '.join(fields)})")
+            counts = long.filter(F.col(names[0]).isNotNull()).groupBy(*fields).agg(F.count(F.lit(1)).alias("count"))
             found.append(Histogram(storage_class, [e.position for e in members], counts))
     return found
 
@@ -189,7 +177,10 @@ def top_values(histograms: list[Histogram], k: int = TOP_VALUES) -> DataFrame:
         parts.append(
             h.counts.withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= k)
-            .select("position", "rank", text.get(h.storage_class, F.col("text_value")).alias("value"), "count")
+            .select(
+                "position", "rank", text.get(h.storage_class, F.col("text_value")).alias("value"), "count",
+                (F.col("text_digest") if "text_digest" in h.keys else F.lit(None).cast("binary")).alias("digest"),
+            )
         )
     return _union(parts)
 
@@ -228,8 +219,27 @@ def distribution(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
 
 
 def mode(df: DataFrame) -> DataFrame:
-    """Most frequent value per column."""
-    return distribution(df, 1).select("column_name", F.col("value").alias("mode"), "count")
+    """Most frequent value per column, whole, however long. Ties go to the smaller value.
+
+    Long texts are counted by their digests; the winners' texts are read afterwards, all in one pass.
+    """
+    clean = normalize_missing(df)
+    columns = declared_columns(clean)
+    schema = "column_name string, mode string, count bigint"
+    histograms = histograms_of(clean, columns)
+    if not histograms:
+        return df.sparkSession.createDataFrame([], schema)
+    best = {r["position"]: r for r in top_values(histograms, 1).collect()}  # one row per column
+    long = {i: bytes(r["digest"]) for i, r in best.items() if r["digest"] is not None}
+    whole = {}
+    if long:
+        texts = []
+        for i, digest in long.items():
+            c = F.col(named(clean.columns[i]))
+            texts.append(F.any_value(F.when(F.unhex(F.sha2(c, 256)) == F.lit(digest), c), True).alias(f"t{i}"))
+        whole = clean.agg(*texts).first().asDict()
+    rows = [(e.name, whole.get(f"t{e.position}", best[e.position]["value"]), best[e.position]["count"]) for e in columns if e.position in best]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -316,83 +326,26 @@ def scan(df: DataFrame) -> tuple[list[ColumnEvidence], dict[int, Moments]]:
 
 
 def _quartiles(
-    histograms: list[Histogram], evidence: list[ColumnEvidence], moments: dict[int, Moments]
+    histograms: list[Histogram], moments: dict[int, Moments]
 ) -> DataFrame | None:
-    """(position, quartiles), exact and linearly interpolated, from the histograms."""
+    """(position, quartiles), exact and linearly interpolated, by narrowing the histograms."""
     if not moments:
         return None
-    wide = {e.position for e in evidence if e.position in moments and e.approx_distinct > DIRECT_QUANTILE_LIMIT}
     ranks = []
     for i, m in moments.items():
         at = [(m.n - 1) * q for q in QUARTILES]
         ranks.append((i, [math.floor(x) for x in at], [math.ceil(x) for x in at], [x - math.floor(x) for x in at]))
-
-    parts = []
-    for h in histograms:
-        members = [i for i in h.positions if i in moments]
-        if not members:
-            continue
-        values = h.counts.select("position", F.col(h.keys[0]).cast("double").alias("value"), "count")
-        direct = [r for r in ranks if r[0] in members and r[0] not in wide]
-        if direct:
-            parts.append(_ranked_quartiles(values, direct, moments))
-        narrowed = [r for r in ranks if r[0] in wide and r[0] in members]
-        if narrowed:
-            parts.append(_narrowed_quartiles(values, narrowed))
-    return _union(parts)
-
-
-def _ranked_quartiles(values: DataFrame, ranks: list[tuple], moments: dict[int, Moments]) -> DataFrame:
-    """Quartiles of columns with up to DIRECT_QUANTILE_LIMIT values, as one plan.
-
-    Values are counted in BINS bins between the column's known ends; only the bins that hold a wanted
-    rank are then sorted. All broadcast sides have a few rows per column.
-    """
-    spark = values.sparkSession
-    ends = spark.createDataFrame(
-        [(r[0], moments[r[0]].min, moments[r[0]].max) for r in ranks], "position int, low double, high double"
-    )
-    wanted = spark.createDataFrame(
+    ends = {i: (m.min, m.max) for i, m in moments.items()}
+    values = _union(
         [
-            (i, 2 * q + side, rank, part[q])
-            for i, low, high, part in ranks
-            for q in range(3)
-            for side, rank in enumerate((low[q], high[q]))
-        ],
-        "position int, slot int, rank bigint, part double",
-    )
-    binned = values.join(F.broadcast(ends), "position").select(
-        "position", "value", "count", value_bin(F.col("value"), F.col("low"), F.col("high")).alias("bin")
-    )
-    upto = F.sum("n").over(Window.partitionBy("position").orderBy("bin"))  # at most BINS rows per column
-    picked = (
-        binned.groupBy("position", "bin").agg(F.sum("count").alias("n"))
-        .withColumn("below", upto - F.col("n"))
-        .join(F.broadcast(wanted), "position")
-        .filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
-        .select("position", "bin", "slot", "rank", "part", "below")
-    )
-    inside = F.col("below") + F.sum("count").over(Window.partitionBy("position", "slot").orderBy("value"))
-    found = (
-        binned.join(F.broadcast(picked), ["position", "bin"])
-        .withColumn("upto", inside)
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
-        .groupBy("position")
-        .agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("value", "part")))).alias("at"))
-    )
-
-    def quartile(q: int) -> Column:
-        a, b = F.element_at("at", F.lit(2 * q)), F.element_at("at", F.lit(2 * q + 1))
-        return a["value"] + (b["value"] - a["value"]) * a["part"]
-
-    return found.select("position", F.array(*[quartile(q) for q in range(3)]).alias("quartiles"))
-
-
-def _narrowed_quartiles(values: DataFrame, ranks: list[tuple]) -> DataFrame:
-    picked = order_statistics(
-        values.withColumnRenamed("position", "key"),
-        [(i, rank) for i, low, high, _ in ranks for rank in (*low, *high)],
+            h.counts.filter(F.col("position").isin([i for i in h.positions if i in moments])).select(
+                F.col("position").alias("key"), F.col(h.keys[0]).cast("double").alias("value"), "count"
+            )
+            for h in histograms
+            if any(i in moments for i in h.positions)
+        ]
     )
+    picked = order_statistics(values, [(i, rank) for i, low, high, _ in ranks for rank in (*low, *high)], ends)
     rows = [
         (i, [picked[(i, a)] + (picked[(i, b)] - picked[(i, a)]) * p for a, b, p in zip(low, high, part)])
         for i, low, high, part in ranks
@@ -404,8 +357,14 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, completeness, distinct values, statistics and top values.
 
     Exact by default. ``approximate`` replaces distinct counts by the sketch of the first pass and
-    quartiles by ``percentile_approx``; top values stay exact.
+    quartiles by ``percentile_approx``; top values stay exact. Statistics are doubles, rounded to four
+    places for display; whole numbers beyond 2^53 lose their last digits in them.
     """
+    return full_profile(df, approximate).drop("raw")
+
+
+def full_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """``profile`` with a column ``raw`` of the statistics as they were computed, for further use."""
     clean = normalize_missing(df)
     evidence, moments = scan(clean)
     spark = df.sparkSession
@@ -426,12 +385,12 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         "min double, max double, mean double, variance double, skewness double, kurtosis double",
     )
     histograms = histograms_of(clean, evidence)
-    if not approximate and any(
-        e.position in moments and e.approx_distinct > DIRECT_QUANTILE_LIMIT for e in evidence
-    ):
-        # Narrowing reads the histogram several times.
-        histograms = [replace(h, counts=materialize(h.counts)) for h in histograms]
-    quartiles = _sketched_quartiles(clean, evidence, moments) if approximate else _quartiles(histograms, evidence, moments)
+    if not approximate:
+        # Narrowing reads the histograms of numbers several times.
+        histograms = [
+            replace(h, counts=materialize(h.counts)) if any(i in moments for i in h.positions) else h for h in histograms
+        ]
+    quartiles = _sketched_quartiles(clean, evidence, moments) if approximate else _quartiles(histograms, moments)
 
     # One row per column on every side.
     parts = {
@@ -482,6 +441,10 @@ def _profile_columns() -> list[Column]:
             percent(t["count"], F.col("total_rows")).alias("percentage"),
         ),
     )
+    raw = F.struct(
+        F.col("mean").alias("mean"), quartile[1].alias("median"), quartile[0].alias("q1"), quartile[2].alias("q3"),
+        F.col("skewness").alias("skewness"),
+    )
     return [
         F.col("position"), F.col("column_name"), F.col("spark_type"), F.col("physical_type"), F.col("category"),
         F.col("total_rows"), F.col("non_null_count"), F.col("missing_count"),
@@ -489,6 +452,7 @@ def _profile_columns() -> list[Column]:
         F.when(~F.col("is_complex"), F.coalesce("unique_count", F.lit(0).cast("bigint"))).alias("unique_count"),
         F.when(F.col("mean").isNotNull(), statistics).alias("statistics"),
         top.alias("distribution"),
+        F.when(F.col("mean").isNotNull(), raw).alias("raw"),
     ]
 
 
@@ -517,16 +481,13 @@ def numeric_stats(df: DataFrame) -> DataFrame:
 def shape(df: DataFrame) -> DataFrame:
     """Outliers outside 1.5 IQR of the quartiles, skew direction and severity, per numeric column.
 
-    The fences go back into a second aggregate as literals (two numbers per column).
+    The fences, from unrounded quartiles, go back into a second aggregate as literals (two numbers per column).
     """
     clean = normalize_missing(df)
-    stats = (
-        profile(df)
-        .filter(F.col("statistics").isNotNull())
-        .select("position", "column_name", "statistics.*")
-        .orderBy("position")
-        .collect()
-    )
+    stats = [
+        r.asDict() | {"low": r["q1"] - 1.5 * (r["q3"] - r["q1"]), "high": r["q3"] + 1.5 * (r["q3"] - r["q1"])}
+        for r in full_profile(df).filter("raw IS NOT NULL").select("position", "column_name", "raw.*").orderBy("position").collect()
+    ]
     spark = df.sparkSession
     schema = (
         "column_name string, lower_fence double, upper_fence double, outlier_count bigint, "
@@ -540,18 +501,17 @@ def shape(df: DataFrame) -> DataFrame:
         c = quoted(s["column_name"])
         kind = kinds[s["column_name"]]
         x = number_of(c) if kind == "string" else present(s["column_name"], kind).cast("double")
-        low, high = s["q1"] - 1.5 * s["iqr"], s["q3"] + 1.5 * s["iqr"]
-        counts.append(F.count_if((x < low) | (x > high)).alias(f"o_{s['position']}"))
+        counts.append(F.count_if((x < s["low"]) | (x > s["high"])).alias(f"o_{s['position']}"))
     found = clean.agg(*counts).first().asDict()
     rows = []
     for s in stats:
-        skew = s["skewness"]
+        skew = round(s["skewness"], 4)
         size = abs(skew)
         rows.append(
             (
                 s["column_name"],
-                s["q1"] - 1.5 * s["iqr"],
-                s["q3"] + 1.5 * s["iqr"],
+                s["low"],
+                s["high"],
                 found[f"o_{s['position']}"],
                 "right" if skew > 0 else "left" if skew < 0 else "none",
                 "low" if size < 0.5 else "moderate" if size <= 1.0 else "high",

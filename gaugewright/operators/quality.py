@@ -18,7 +18,6 @@ from .semantics import aggregate, is_identifier_name, kind_of, named, normalize_
 
 EXAMPLES = 5
 TESTS_PER_BRANCH = 8
-LONGEST_KEY = 100
 
 _OUTER_SPACE = ", ".join(f"'{WHITE_SPACE_SQL[i:i + 6]}'" for i in range(0, len(WHITE_SPACE_SQL), 6))
 
@@ -157,43 +156,39 @@ def duplicate_subset(columns: list[str]) -> tuple[list[str], list[str]]:
     return subset, audit
 
 
-def _row_key(df: DataFrame, names: list[str]) -> list[Column]:
-    """Grouping columns equal exactly when the rows are; long texts become their start and digest."""
-    keys = []
-    types = {f.name: f.dataType for f in df.schema.fields}
-    for name in names:
-        kind, c = kind_of(types[name]), named(name)
-        if kind == "string":
-            is_long = f"length({c}) > {LONGEST_KEY}"
-            keys.append(F.expr(f"CASE WHEN {is_long} THEN concat(left({c}, 97), '...') ELSE {c} END").alias(name))
-            keys.append(F.expr(f"CASE WHEN {is_long} THEN unhex(sha2({c}, 256)) END").alias(f"__digest_{name}"))
-        elif types[name].simpleString().find("map<") >= 0:
-            keys.append(F.to_json(F.col(c)).alias(name))
-        else:
-            keys.append(present(name, kind).alias(name))
-    return keys
+def _row_digest(df: DataFrame) -> Column:
+    """A digest equal exactly when rows are: of the row as JSON, nulls included, with equal numbers written alike."""
+    cells = []
+    for field in df.schema.fields:
+        kind, c = kind_of(field.dataType), named(field.name)
+        value = present(field.name, kind)
+        cells.append((value + F.lit(0.0)).cast(field.dataType) if kind == "float" else value if kind != "complex" else F.expr(c))
+    row = F.to_json(F.struct(*[x.alias(f"c{i}") for i, x in enumerate(cells)]), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(row, 256))
+
+
+def _group_sizes(df: DataFrame) -> DataFrame:
+    """(group_key, row_count) of the rows that occur more than once; only digests are shuffled."""
+    counts = df.select(_row_digest(df).alias("group_key")).groupBy("group_key").agg(F.count(F.lit(1)).alias("row_count"))
+    return counts.filter(F.col("row_count") > 1)
 
 
 def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Groups of equal rows with their size. NULLs are equal; long texts are shown cut.
+    """Groups of equal rows: ``group_key``, one whole row of the group, and ``row_count``. NULLs are equal.
 
-    Counts are combined before the shuffle, and a row travels as its key, never as whole long texts.
+    Sizes are counted over digests; the rows themselves are then read for the groups found.
     """
     subset = columns or duplicate_subset(df.columns)[0]
-    keyed = normalize_missing(df.select([F.col(named(c)) for c in subset]))
-    keys = keyed.select(_row_key(keyed, subset))
-    return (
-        keys.groupBy(*[F.col(named(c)) for c in keys.columns])
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .filter(F.col("row_count") > 1)
-        .drop(*[c for c in keys.columns if c.startswith("__digest_")])
-    )
+    clean = normalize_missing(df.select([F.col(named(c)) for c in subset]))
+    shown = clean.select(_row_digest(clean).alias("__key"), F.struct(*[present(f.name, kind_of(f.dataType)).alias(f.name) for f in clean.schema.fields]).alias("__row"))
+    one = shown.join(_group_sizes(clean), F.col("__key") == F.col("group_key")).groupBy("group_key", "row_count").agg(F.first("__row").alias("__row"))
+    return one.select("group_key", *[F.col("__row")[c].alias(c) for c in subset], "row_count")
 
 
 def duplicates(df: DataFrame) -> DataFrame:
     """One row: number of groups of equal rows, rows beyond the first of each group, audit columns."""
-    _, audit = duplicate_subset(df.columns)
-    return duplicate_groups(df).agg(
+    subset, audit = duplicate_subset(df.columns)
+    return _group_sizes(normalize_missing(df.select([F.col(named(c)) for c in subset]))).agg(
         F.count(F.lit(1)).alias("duplicate_group_count"),
         F.coalesce(F.sum(F.col("row_count") - 1), F.lit(0)).cast("bigint").alias("duplicate_extra_record_count"),
         F.lit(", ".join(audit)).alias("audit_columns"),

@@ -1,4 +1,4 @@
-"""Exact order statistics of columns with too many distinct values for one aggregate.
+"""Exact order statistics of histograms of any size.
 
 Input is a histogram (key, value, count). Each round counts the values of a target's interval
 in BINS bins and keeps the bin holding the wanted rank, whose smallest and largest member are
@@ -29,50 +29,51 @@ def value_bin(v: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.coalesce(place, F.lit(0)))).cast("int")
 
 
-def order_statistics(values: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
-    """The value at each (key, rank from 0) target of a (key, value, count) histogram."""
+def order_statistics(
+    values: DataFrame, targets: list[tuple[int, int]], ends: dict[int, tuple[float, float]]
+) -> dict[tuple[int, int], float]:
+    """The value at each (key, rank from 0) target of a (key, value, count) histogram, given each key's smallest and largest value.
+
+    The last job sorts what is left of an interval once that is no more than BINS values.
+    """
     spark = values.sparkSession
-    keys = sorted({key for key, _ in targets})
-    ends = {
-        row["key"]: (row["low"], row["high"])
-        for row in values.filter(F.col("key").isin(keys))
-        .groupBy("key")
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()
-    }
-    # target -> (interval, number of values below the interval)
-    open_targets = {(key, rank): (*ends[key], 0) for key, rank in set(targets)}
+    # target -> (interval, number of values below the interval, distinct values in it)
+    open_targets = {(key, rank): (*ends[key], 0, None) for key, rank in set(targets)}
     done: dict[tuple[int, int], float] = {}
     log_round = True
+    running = Window.partitionBy("key", "rank")
     while True:
-        for target, (low, high, _) in list(open_targets.items()):
+        for target, (low, high, _, _) in list(open_targets.items()):
             if low == high:
                 done[target] = low
                 del open_targets[target]
         if not open_targets:
             return done
+        last = all(distinct is not None and distinct <= BINS for *_, distinct in open_targets.values())
         # A few numbers per target, so the join side is bounded by the number of columns.
         bounds = spark.createDataFrame(
-            [(key, rank, low, high, below) for (key, rank), (low, high, below) in open_targets.items()],
+            [(key, rank, low, high, below) for (key, rank), (low, high, below, _) in open_targets.items()],
             "key int, rank bigint, low double, high double, below bigint",
         )
+        inside = values.join(F.broadcast(bounds), "key").filter(F.col("value").between(F.col("low"), F.col("high")))
+        if last:
+            upto = F.col("below") + F.sum("count").over(running.orderBy("value"))
+            # whole numbers beyond 2^53 can be one double
+            once = inside.groupBy("key", "rank", "below", "value").agg(F.sum("count").alias("count"))
+            found = once.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
+            done.update({(r["key"], r["rank"]): r["value"] for r in found.select("key", "rank", "value").collect()})
+            return done
         scale = _log_scale if log_round else (lambda v: v)
-        binned = (
-            values.join(F.broadcast(bounds), "key")
-            .filter(F.col("value").between(F.col("low"), F.col("high")))
-            .groupBy(
-                "key", "rank", "below",
-                value_bin(scale(F.col("value")), scale(F.col("low")), scale(F.col("high"))).alias("bin"),
-            )
-            .agg(F.sum("count").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        )
-        running = Window.partitionBy("key", "rank").orderBy("bin")
-        upto = F.col("below") + F.sum("n").over(running)
+        binned = inside.groupBy(
+            "key", "rank", "below",
+            value_bin(scale(F.col("value")), scale(F.col("low")), scale(F.col("high"))).alias("bin"),
+        ).agg(F.sum("count").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("distinct"))
+        upto = F.col("below") + F.sum("n").over(running.orderBy("bin"))
         picked = (
             binned.withColumn("upto", upto)
             .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-            .select("key", "rank", "low", "high", (F.col("upto") - F.col("n")).alias("below"))
+            .select("key", "rank", "low", "high", (F.col("upto") - F.col("n")).alias("below"), "distinct")
             .collect()
         )
-        open_targets = {(r["key"], r["rank"]): (r["low"], r["high"], r["below"]) for r in picked}
+        open_targets = {(r["key"], r["rank"]): (r["low"], r["high"], r["below"], r["distinct"]) for r in picked}
         log_round = False

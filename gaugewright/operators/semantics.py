@@ -29,9 +29,7 @@ from ..functions.text import NUMBER_PATTERN, SPACE_CLASS, number_sql, text_start
 # Columns handled by one aggregate of the evidence job.
 COLUMNS_PER_BRANCH = {"number": 4, "text": 2, "plain": 32, "sketch": 100}
 
-# At or below this estimate of distinct values a column's exact count is taken as well; the
-# rules only ask whether a column has more than DISCRETE_LIMIT distinct values.
-EXACT_BELOW = 64
+# The rules only ask whether a column has more than DISCRETE_LIMIT distinct values.
 DISCRETE_LIMIT = 10
 
 _BOOLEAN_BIT, _DATE_BIT, _DATETIME_BIT, _NUMBER_BIT = 1, 2, 4, 8
@@ -331,25 +329,27 @@ def declared_columns(df: DataFrame) -> list[ColumnEvidence]:
 
 
 def _with_exact_details(df: DataFrame, found: list[ColumnEvidence]) -> list[ColumnEvidence]:
-    """A second pass over only the columns the first one left open (few-valued floats, numeric texts)."""
-    branches = []
-    for e in found:
-        few = (e.is_numeric_text or e.kind in ("decimal", "float")) and 0 < e.approx_distinct <= EXACT_BELOW
-        if not (few or e.is_numeric_text):
-            continue
-        x = e.double_sql()
-        # The estimate bounds the set: at most a few dozen values per column.
-        distinct = f"size(collect_set({x} + 0D))" if few else "first(CAST(NULL AS INT))"
-        branches.append(
-            aggregate(df, [f"bool_and({x} % 1 = 0) AS whole", f"{distinct} AS distinct"]).selectExpr(
-                f"{e.position} AS position", "*"
-            )
-        )
-    if not branches:
+    """Further passes over only the columns the first one left open (floats, decimals, numeric texts).
+
+    Whether a column has more than DISCRETE_LIMIT values: each value sets one bit of 64 by its hash, and
+    more bits than the limit prove more values. Only the columns with fewer bits have their values collected.
+    """
+    left = [e for e in found if e.filled and (e.is_numeric_text or e.kind in ("decimal", "float"))]
+    if not left:
         return found
-    details = {row["position"]: row for row in reduce(DataFrame.unionByName, branches).collect()}
+    bits = {e.position: f"bit_or(shiftleft(1L, CAST(pmod(xxhash64({e.double_sql()} + 0D), 64) AS INT)))" for e in left}
+    first = [
+        aggregate(df, [f"bool_and({e.double_sql()} % 1 = 0) AS whole", f"bit_count({bits[e.position]}) AS bits"]).selectExpr(f"{e.position} AS position", "*")
+        for e in left
+    ]
+    details = {row["position"]: row for row in reduce(DataFrame.unionByName, first).collect()}
+    few = [e for e in left if details[e.position]["bits"] <= DISCRETE_LIMIT]
+    counted = {}
+    if few:
+        exact = [aggregate(df, [f"size(collect_set({e.double_sql()} + 0D)) AS distinct"]).selectExpr(f"{e.position} AS position", "*") for e in few]
+        counted = {row["position"]: row["distinct"] for row in reduce(DataFrame.unionByName, exact).collect()}
     return [
-        replace(e, all_whole=bool(details[e.position]["whole"]), exact_distinct=details[e.position]["distinct"])
+        replace(e, all_whole=bool(details[e.position]["whole"]) if e.is_numeric_text else e.all_whole, exact_distinct=counted.get(e.position))
         if e.position in details
         else e
         for e in found

@@ -2,11 +2,13 @@
 
 On a cluster the table goes to the shared folder named by ``spark.checkpoint.dir``, so it
 survives the loss of executors. Only where that setting is absent and the master is local
-(tests) is a temporary folder used.
+(tests) is a temporary folder used, which goes with the process.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="gaugewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

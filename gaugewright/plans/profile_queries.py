@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,17 @@ from ..functions.fixed_values import (
     ORDINAL_WORDS,
     WHITE_SPACE,
 )
+from ..functions.text import rounded
 from ..operators import imputation as I
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import rollup as R
 from ..operators import semantics as S
+from ..sources.bulk import TableKey, cached_profile, collect_all, profile_many
+from ..sources.readers import read_file, read_table
+from ..sources.writers import write_output
 from .facts import VIEWS, derived, source
+from .materialize import shared_folder
 from .registry import pct, query, rnd
 
 SPACE_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
@@ -123,25 +131,35 @@ def profile_shape(spark, folder):
 def _outlier_sql(name: str, columns: list[str]) -> str:
     parts = []
     for c in columns:
-        fences = (
-            f"SELECT {rnd(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 4)} AS q1, {rnd(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 4)} AS q3,"
-            f" {rnd(f'quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)', 4)} AS iqr,"
-            f" {rnd(f'coalesce(skewness({c}), 0)', 4)} AS g FROM {name}"
-        )
+        q1, q3 = (f"quantile_cont(CAST({c} AS DOUBLE), {p})" for p in (0.25, 0.75))
+        fences = f"SELECT {q1} - 1.5 * ({q3} - {q1}) AS low, {q3} + 1.5 * ({q3} - {q1}) AS high, {rnd(f'coalesce(skewness({c}), 0)', 4)} AS g FROM {name}"
         parts.append(
-            f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} < q1 - 1.5 * iqr OR {c} > q3 + 1.5 * iqr) AS BIGINT) AS outlier_count,"
+            f"SELECT '{c}' AS column_name, {rnd('max(low)', 12)} AS lower_fence, {rnd('max(high)', 12)} AS upper_fence, CAST(count(*) FILTER (WHERE {c} < low OR {c} > high) AS BIGINT) AS outlier_count,"
             f" max(CASE WHEN g > 0 THEN 'right' WHEN g < 0 THEN 'left' ELSE 'none' END) AS skew_direction,"
-            f" max(CASE WHEN abs(g) < 0.5 THEN 'low' WHEN abs(g) <= 1.0 THEN 'moderate' ELSE 'high' END) AS skew_severity"
+            f" max(CASE WHEN abs(g) < 0.5 THEN 'low' WHEN abs(g) <= 1.0 THEN 'moderate' ELSE 'high' END) AS skew_severity,"
+            f" max(CASE WHEN abs(g) < 0.5 THEN 'symmetric' WHEN g > 0 THEN 'right-skewed' ELSE 'left-skewed' END) AS shape"
             f" FROM {name}, ({fences}) f"
         )
     return union_of(parts)
 
 
+def _outliers(df: DataFrame) -> DataFrame:
+    found = P.shape(df)
+    return found.withColumns({c: rounded(F.col(c), 12) for c in ("lower_fence", "upper_fence")})
+
+
 @query("profile_outliers", "D8", _outlier_sql("events", ["event_id", "user_id", "value"]))
 def profile_outliers(spark, folder):
-    return P.shape(source(spark, folder, "events")).select(
-        "column_name", "outlier_count", "skew_direction", "skew_severity"
-    )
+    return _outliers(source(spark, folder, "events"))
+
+
+_SMALL = "(SELECT l_extendedprice / 1e6 AS price, l_quantity / 1e6 AS quantity FROM lineitem) t"
+
+
+@query("profile_outliers_small", "D8", _outlier_sql(_SMALL, ["price", "quantity"]))
+def profile_outliers_small(spark, folder):
+    """Numbers far below the places shown."""
+    return _outliers(source(spark, folder, "lineitem").select((F.col("l_extendedprice") / 1e6).alias("price"), (F.col("l_quantity") / 1e6).alias("quantity")))
 
 
 # --- distributions ------------------------------------------------------------------------------------
@@ -165,13 +183,10 @@ DISTRIBUTION = ["column_name", "rank", "value", "count", "percentage"]
 
 
 @query("profile_distribution_top10", "D0 D4", _distribution_sql(
-    "lineitem", {"l_orderkey": "number", "l_quantity": "number", "l_extendedprice": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"}
+    "lineitem", {c: "text" if c in ("l_returnflag", "l_linestatus") else "time" if c == "l_shipdate" else "number" for c in LINEITEM}
 ))
 def profile_distribution_top10(spark, folder):
-    df = source(spark, folder, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"
-    )
-    return P.distribution(df).select(DISTRIBUTION)
+    return P.distribution(source(spark, folder, "lineitem")).select(DISTRIBUTION)
 
 
 @query("profile_distribution_text", "D4", _distribution_sql("documents", {"text": "text", "lang": "text", "source": "text", "n_chars": "number"}))
@@ -179,12 +194,32 @@ def profile_distribution_text(spark, folder):
     return P.distribution(source(spark, folder, "documents").drop("doc_id")).select(DISTRIBUTION)
 
 
-_EVENT_MODES = _distribution_sql("events", {"user_id": "number", "event_type": "text", "value": "number", "props": "text"}, 1)
+_EVENT_MODES = _distribution_sql("events", {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "text", "value": "number", "props": "text"}, 1)
 
 
 @query("profile_mode", "D7", f"SELECT column_name, value AS mode, count FROM ({_EVENT_MODES}) m")
 def profile_mode(spark, folder):
-    return P.mode(source(spark, folder, "events").select("user_id", "event_type", "value", "props"))
+    return P.mode(source(spark, folder, "events"))
+
+
+@query("profile_mode_long", "D7", "SELECT 'text' AS column_name, text AS mode, count(*) AS count FROM documents GROUP BY text ORDER BY count(*) DESC, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END, sha256(text) LIMIT 1")
+def profile_mode_long(spark, folder):
+    """A mode of texts of any length is the whole text."""
+    return P.mode(source(spark, folder, "documents").select("text"))
+
+
+TYPED_TEXT = {"row_id": "number", "d": "text", "num": "text", "flag": "text", "tier": "text", "nominal": "text"}
+
+
+@query("distribution_typed_strings", "B6 D4", _distribution_sql("typed_strings", TYPED_TEXT).replace("ORDER BY n DESC, value) AS INTEGER) AS rank, value, n AS count, (round_even(CAST(CAST(n AS DOUBLE) / CAST(greatest(total, 1) AS DOUBLE) * 100.0 AS DOUBLE) * 1e2, 0) / 1e2) AS percentage FROM (SELECT num AS v", "ORDER BY n DESC, TRY_CAST(value AS DOUBLE), value) AS INTEGER) AS rank, value, n AS count, (round_even(CAST(CAST(n AS DOUBLE) / CAST(greatest(total, 1) AS DOUBLE) * 100.0 AS DOUBLE) * 1e2, 0) / 1e2) AS percentage FROM (SELECT num AS v"))
+def distribution_typed_strings(spark, folder):
+    """Top values of a table with a text column of numbers."""
+    return P.distribution(table(spark, folder, "typed_strings")).select(DISTRIBUTION)
+
+
+@query("profile_typed_strings", "B6 D6", _stats_sql("(SELECT *, CAST(num AS DOUBLE) AS x FROM typed_strings) t", ["row_id", "x"]).replace("'x' AS column_name", "'num' AS column_name"))
+def profile_typed_strings(spark, folder):
+    return P.numeric_stats(table(spark, folder, "typed_strings")).select(STATS_SHOWN)
 
 
 @query("profile_value_histogram", "D0", union_of([
@@ -327,13 +362,6 @@ def physical_type(spark, folder):
     return P.profile(source(spark, folder, "lineitem")).select("column_name", "spark_type")
 
 
-@query("identifier_names", "B2", "SELECT column_name, regexp_matches(lower(column_name), '^(id|guid|uuid|pk|fk|key)$|(_id|_pk|_fk|_guid|_uuid|_key|id_|key_)$') AS is_identifier FROM (DESCRIBE SELECT e.*, o.*, d.* FROM events e, orders o, documents d)")
-def identifier_names(spark, folder):
-    columns = source(spark, folder, "events").limit(0)
-    wide = columns.crossJoin(source(spark, folder, "orders").limit(0)).crossJoin(source(spark, folder, "documents").limit(0))
-    return S.identifier_names(wide)
-
-
 @query("normalize_missing", "B1", f"SELECT o_orderkey, {clean('o_orderstatus', True)} AS o_orderstatus, o_totalprice, {clean('o_orderpriority', True)} AS o_orderpriority FROM orders_missing")
 def normalize_missing(spark, folder):
     return S.normalize_missing(table(spark, folder, "orders_missing").drop("o_orderdate"))
@@ -414,14 +442,14 @@ def duplicate_summary_audit(spark, folder):
     return Q.duplicates(table(spark, folder, "typed_strings").drop("num"))
 
 
-@query("duplicate_groups", "C5", "SELECT CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS text, row_count FROM (" + _TEXT_GROUPS + ") g")
+@query("duplicate_groups", "C5", _TEXT_GROUPS)
 def duplicate_groups(spark, folder):
-    return Q.duplicate_groups(source(spark, folder, "documents"), ["text"])
+    return Q.duplicate_groups(source(spark, folder, "documents"), ["text"]).drop("group_key")
 
 
 @query("duplicate_groups_projection", "C5", "SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def duplicate_groups_projection(spark, folder):
-    return Q.duplicate_groups(source(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return Q.duplicate_groups(source(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"]).drop("group_key")
 
 
 # --- imputation ---------------------------------------------------------------------------------------
@@ -457,16 +485,32 @@ def _filled(spark, folder, method: str) -> DataFrame:
     return I.apply_imputation(df, ["o_totalprice"], {"o_totalprice": method}, flag=True)
 
 
-@query("impute_apply_mean", "E2", _fill_sql(rnd("avg(o_totalprice)", 4)))
+@query("impute_apply_mean", "E2", _fill_sql("avg(o_totalprice)"))
 def impute_apply_mean(spark, folder):
     return _filled(spark, folder, "mean")
 
 
-@query("impute_apply_median", "E2", _fill_sql(rnd("quantile_cont(o_totalprice, 0.5)", 4)))
+@query("impute_apply_median", "E2", _fill_sql("quantile_cont(o_totalprice, 0.5)"))
 def impute_apply_median(spark, folder):
     return _filled(spark, folder, "median")
 
 
+@query("impute_apply_small", "E2", "SELECT o_orderkey, coalesce(o_totalprice / 1e9, fill) AS x FROM orders_missing, (SELECT quantile_cont(o_totalprice / 1e9, 0.5) AS fill FROM orders_missing) f")
+def impute_apply_small(spark, folder):
+    """The fill of small numbers is not rounded."""
+    df = table(spark, folder, "orders_missing").select("o_orderkey", (F.col("o_totalprice") / 1e9).alias("x"))
+    return I.apply_imputation(df, ["x"], {"x": "median"})
+
+
+@query("impute_apply_whole", "E2", """
+SELECT o_orderkey, coalesce(n, fill) AS n FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey + 9007199254740993 END AS n FROM orders) t,
+ (SELECT CAST(round_even(quantile_cont(CAST(CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey + 9007199254740993 END AS DOUBLE), 0.5), 0) AS BIGINT) AS fill FROM orders) f""")
+def impute_apply_whole(spark, folder):
+    """Whole numbers beyond 2^53 that are not missing stay as they are."""
+    n = F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderkey") + F.lit(9007199254740993))
+    return I.apply_imputation(source(spark, folder, "orders").select("o_orderkey", n.alias("n")), ["n"], {"n": "median"})
+
+
 @query("impute_apply_mode", "E2", f"""
 SELECT o_orderkey, coalesce({clean('o_orderpriority', True)}, m.p) AS o_orderpriority FROM orders_missing,
  (SELECT {clean('o_orderpriority', True)} AS p FROM orders_missing WHERE {clean('o_orderpriority', True)} IS NOT NULL
@@ -588,17 +632,77 @@ def rollup_distribution(spark, folder):
     return R.distribution_rows(P.profile(table(spark, folder, "labelled_documents"))).drop("category")
 
 
-@query("rollup_runs", "F11 A3 A8", "SELECT CAST(2 AS BIGINT) AS tables_profiled, CAST(1 AS BIGINT) AS tables_failed")
+_PROFILED = ["orders_missing", "dirty_customer"]
+_CELLS = {"orders_missing": [clean(c, c in ORDERS_TEXT) for c in ORDERS_MISSING], "dirty_customer": CUSTOMER}
+
+
+def _runs(spark, folder) -> tuple[str, DataFrame]:
+    """The folder and the run log of a bulk run over two tables and one empty selection of a third, which fails."""
+    tables = {TableKey(name): partial(table, spark, folder, name) for name in _PROFILED}
+    tables[TableKey("no_rows")] = lambda: source(spark, folder, "supplier").filter("s_suppkey IS NULL")
+    place = f"{shared_folder(spark)}/bulk-{uuid.uuid4().hex}"
+    return place, profile_many(spark, tables, place)
+
+
+_RUN_ROWS = union_of([
+    f"SELECT '{name}' AS table_key, count(*) AS row_count, CAST({len(cells)} AS BIGINT) AS column_count, CAST({' + '.join(f'(count(*) - count({c}))' for c in cells)} AS BIGINT) AS missing_cells, false AS failed FROM {name}"
+    for name, cells in _CELLS.items()
+] + ["SELECT 'no_rows', NULL, NULL, NULL, count(*) = 0 FROM supplier WHERE s_suppkey IS NULL"])
+
+
+@query("bulk_runs", "A3 A8", _RUN_ROWS)
+def bulk_runs(spark, folder):
+    """The log of the run, with each table's figures."""
+    log = _runs(spark, folder)[1]
+    return log.select("table_key", "row_count", "column_count", "missing_cells", F.col("error").isNotNull().alias("failed"))
+
+
+@query("rollup_runs", "F11", f"SELECT count(*) FILTER (NOT failed) AS tables_profiled, count(*) FILTER (failed) AS tables_failed FROM ({_RUN_ROWS}) r")
 def rollup_runs(spark, folder):
-    """Profiles two tables and one empty selection of a third, which fails."""
-    import uuid
+    return R.run_totals(_runs(spark, folder)[1])
+
+
+@query("bulk_stored_profile", "A7", _completeness_sql("orders_missing", ORDERS_MISSING, ORDERS_TEXT))
+def bulk_stored_profile(spark, folder):
+    """A profile read back from where the run stored it."""
+    place, _ = _runs(spark, folder)
+    found = cached_profile(spark, TableKey("orders_missing"), place)
+    return found.select("column_name", "total_rows", "non_null_count", "missing_count", "missing_percentage")
 
-    from ..sources.bulk import TableKey, profile_many
-    from .materialize import shared_folder
 
-    tables = {
-        TableKey("orders_missing"): lambda: table(spark, folder, "orders_missing"),
-        TableKey("dirty_customer"): lambda: table(spark, folder, "dirty_customer"),
-        TableKey("no_rows"): lambda: source(spark, folder, "supplier").filter("s_suppkey IS NULL"),
+@query("bulk_collected_reports", "R11", f"SELECT 'completeness' AS report, column_name, missing_count FROM ({_ORDERS_COMPLETE}) a UNION ALL SELECT 'labelled', column_name, missing_count FROM ({union_of([f'SELECT {chr(39)}{c}{chr(39)} AS column_name, count(*) - count({c}) AS missing_count FROM labelled_documents' for c in ['lang', 'source', 'n_chars', 'quality', 'toxic']])}) b")
+def bulk_collected_reports(spark, folder):
+    """Two reports written by one run, a third one failing, and read back."""
+    place = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    reports = {
+        "completeness": lambda: P.completeness(S.normalize_missing(table(spark, folder, "orders_missing"))),
+        "labelled": lambda: Q.missing_report(table(spark, folder, "labelled_documents")),
+        "broken": lambda: source(spark, folder, "orders").select("no_such_column"),
     }
-    return R.run_totals(profile_many(spark, tables, f"{shared_folder(spark)}/bulk-{uuid.uuid4().hex}"))
+    log = collect_all(spark, reports, place)
+    done = [r["report"] for r in log.filter("error IS NULL").collect()]
+    parts = [spark.read.parquet(f"{place}/{name}").select(F.lit(name).alias("report"), "column_name", "missing_count") for name in sorted(done)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _written(form: str):
+    @query(f"file_{form}", "A2 A5", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+    def run(spark, folder):
+        """A table written as a file and read back."""
+        df = source(spark, folder, "customer")
+        path = write_output(df, f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/customer.{form}")
+        back = read_file(spark, path)
+        return back.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+
+    return run
+
+
+for _form in ("csv", "json", "parquet"):
+    _written(_form)
+
+
+@query("catalogue_table", "A1", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def catalogue_table(spark, folder):
+    """A table read by its name in the catalogue."""
+    source(spark, folder, "supplier").createOrReplaceTempView("catalogue_supplier")
+    return read_table(spark, "catalogue_supplier", limit=0)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.imputation import recommend
 from ..operators.profile import profile
+from ..plans.materialize import materialize
 
 RUN_SCHEMA = (
     "table_key string, version string, row_limit bigint, row_count bigint, column_count bigint, "
@@ -45,7 +46,7 @@ def _profile_one(key: TableKey, load: Callable[[], DataFrame], folder: str) -> t
     try:
         df = load()
         if key.row_limit:
-            df = df.limit(key.row_limit)
+            df = materialize(df.limit(key.row_limit))  # the same rows for every job of the profile
         out = recommend(profile(df), bulk=True).select(*PROFILE_COLUMNS).select(
             F.lit(key.name).alias("table_key"), F.lit(key.version).alias("version"),
             F.lit(key.row_limit).cast("bigint").alias("row_limit"), "*",
@@ -71,17 +72,16 @@ def profile_many(
 ) -> DataFrame:
     """Profile tables into ``folder/profiles`` and log them in ``folder/profile_runs``; returns the run log."""
     runs_path = f"{folder}/profile_runs"
-    finished = set()
+    names = [(k.name, k.version, k.row_limit) for k in tables]
+    wanted = spark.createDataFrame(names, "table_key string, version string, row_limit bigint")
     try:
-        log = spark.read.schema(RUN_SCHEMA).parquet(runs_path)
-        finished = {
-            (r["table_key"], r["version"], r["row_limit"])
-            for r in log.filter("error IS NULL").select("table_key", "version", "row_limit").distinct().collect()
-        }
+        finished = spark.read.schema(RUN_SCHEMA).parquet(runs_path).filter("error IS NULL")
+        wanted = wanted.join(finished, ["table_key", "version", "row_limit"], "left_anti")
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    todo = [(k, load) for k, load in tables.items() if (k.name, k.version, k.row_limit) not in finished]
+    left = {tuple(r) for r in wanted.collect()}  # of the tables asked for
+    todo = [(k, load) for k, load in tables.items() if (k.name, k.version, k.row_limit) in left]
     with ThreadPoolExecutor(max_workers=threads) as pool:
         rows = list(pool.map(lambda item: _profile_one(item[0], item[1], folder), todo))
     if rows:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from hashlib import sha256
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
-SAMPLE_LIMIT = 100
 
 
 class UnsupportedFormatError(ValueError):
@@ -89,9 +90,11 @@ def read_table(
     return df.limit(limit) if limit else df
 
 
-def sample_rows(df: DataFrame, limit: int = 10) -> DataFrame:
-    """A few rows, between 1 and 100."""
-    return df.limit(max(1, min(SAMPLE_LIMIT, limit)))
+def sample_rows(df: DataFrame, limit: int = 10, order_by: list[str] | None = None) -> DataFrame:
+    """A few rows: the first ones in the order given, else any."""
+    if limit < 1:
+        raise ValueError("the limit has to be 1 or more")
+    return (df.orderBy(*order_by) if order_by else df).limit(limit)
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
@@ -100,18 +103,28 @@ def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
 
 
 def fan_out_union(
-    query: Callable[[str], DataFrame], databases: list[str]
+    spark: SparkSession, query: Callable[[str], DataFrame], databases: list[str], folder: str, threads: int = 4
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """Run a query for each database and stack the results with a ``database_name`` column.
 
-    Databases whose query cannot be planned are left out and reported.
+    Each database's rows are written to ``folder`` on their own, so that one that fails, when it is planned or
+    while it runs, is left out and reported. Where all databases are in one fact table, select by its
+    ``database_name`` instead: that is one scan.
     """
-    parts, errors = [], {}
-    for name in databases:
+
+    def run(name: str) -> tuple[str, DataFrame | None, str | None]:
+        path = f"{folder}/database={sha256(name.encode()).hexdigest()[:16]}"
         try:
-            parts.append(query(name).withColumn("database_name", F.lit(name)))
+            part = query(name).withColumn("database_name", F.lit(name))
+            part.write.mode("overwrite").parquet(path)
+            return name, spark.read.schema(part.schema).parquet(path), None
         except Exception as error:  # reported to the caller
-            errors[name] = str(error)
+            return name, None, str(error).splitlines()[0]
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        found = list(pool.map(run, databases))
+    parts = [part for _, part, _ in found if part is not None]
+    errors = {name: error for name, _, error in found if error is not None}
     if not parts:
         return None, errors
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), errors

@@ -170,14 +170,35 @@ def test_order_statistics_of_extreme_values(spark):
     )
     ordered = sorted(values)
     ranks = [0, 1, 5, 200, 405, 600, len(values) - 2, len(values) - 1]
-    assert order_statistics(histogram, [(0, r) for r in ranks]) == {(0, r): ordered[r] for r in ranks}
+    ends = {0: (ordered[0], ordered[-1])}
+    assert order_statistics(histogram, [(0, r) for r in ranks], ends) == {(0, r): ordered[r] for r in ranks}
 
 
-def test_narrowed_quartiles_equal_direct_ones(spark, monkeypatch):
+@pytest.mark.parametrize("bins", [4, 4096])
+def test_quartiles_do_not_depend_on_the_bins(spark, monkeypatch, bins):
+    from gaugewright.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BINS", bins)
     df = spark.range(5000).select((F.col("id") * F.col("id") * 0.5).alias("sq"), F.exp(F.col("id") / 200).alias("ex"))
-    direct = P.profile(df).orderBy("position").collect()
-    monkeypatch.setattr(P, "DIRECT_QUANTILE_LIMIT", 10)
-    assert P.profile(df).orderBy("position").collect() == direct
+    values = {r["column_name"]: r["raw"] for r in P.full_profile(df).collect()}
+    for name in ("sq", "ex"):
+        ordered = sorted(r[name] for r in df.collect())
+        assert values[name]["median"] == pytest.approx((ordered[2499] + ordered[2500]) / 2, rel=1e-12)
+
+
+def test_numeric_texts_and_any_column_name(rows):
+    df = rows([("1", 1, "x"), (" 12 ", 2, "y"), ("inf", 3, "y"), (None, 4, "z")], "num string, `a{0}` int, `b``c` string")
+    p = by_name(df)
+    assert p["num"]["statistics"]["min"] == 1.0 and p["num"]["unique_count"] == 3
+    assert p["a{0}"]["statistics"]["median"] == 2.5 and p["b`c"]["distribution"][0]["value"] == "y"
+    assert {r["column_name"]: r["mode"] for r in P.mode(df).collect()}["b`c"] == "y"
+    assert {r["column_name"]: r["unique_count"] for r in P.unique_counts(df).collect()} == {"num": 3, "a{0}": 4, "b`c": 3}
+
+
+def test_mode_is_the_whole_value(rows):
+    long = "m" * 500
+    got = P.mode(rows([(long, 1), (long, 1), ("a", 2)], "t string, n int")).collect()
+    assert {r["column_name"]: (r["mode"], r["count"]) for r in got} == {"t": (long, 2), "n": ("1", 2)}
 
 
 def test_approximate_profile(spark):
@@ -204,6 +225,11 @@ def test_outliers(rows):
     assert (s["outlier_count"], s["skew_direction"], s["skew_severity"]) == (1, "right", "high")
 
 
+def test_outliers_among_small_numbers(rows):
+    s = P.shape(rows([(v * 1e-6,) for v in [*range(1, 20), 500.5]], "x double")).first()
+    assert s["outlier_count"] == 1 and s["upper_fence"] == pytest.approx(29.5e-6, rel=1e-6)
+
+
 def test_wide_table(spark, monkeypatch):
     monkeypatch.setattr(P, "COLUMNS_PER_HISTOGRAM", 7)
     df = spark.range(50).select(*[(F.col("id") * i).alias(f"n{i}") for i in range(1, 20)], *[F.lit(f"x{i}").alias(f"t{i}") for i in range(9)])

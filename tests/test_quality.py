@@ -120,6 +120,30 @@ def test_imputation_fills_and_flags(rows):
     ]
 
 
+def test_fills_keep_the_type_and_what_is_there(rows):
+    from decimal import Decimal
+
+    big, exact = 9007199254740993, Decimal("12345678901234567.1234567891")
+    df = rows([(big, exact, 1e-6), (None, None, None), (big + 2, exact, 3e-6)], "n bigint, d decimal(30,10), x double")
+    out = I.apply_imputation(df, ["n", "d", "x"], {c: "mean" for c in "ndx"})
+    assert out.dtypes == df.dtypes
+    got = out.collect()
+    assert (got[0][0], got[2][0], got[0][1]) == (big, big + 2, exact)
+    assert got[1]["x"] == pytest.approx(2e-6, rel=1e-9) and got[1]["n"] in range(big - 2, big + 4)
+
+
+def test_duplicate_groups_are_whole_and_told_apart(rows):
+    a = "q" * 300
+    got = Q.duplicate_groups(rows([(a + "1",), (a + "2",), (a + "1",), (a + "2",), ("x",)], "t string")).collect()
+    assert {r["t"] for r in got} == {a + "1", a + "2"} and len({bytes(r["group_key"]) for r in got}) == 2
+
+
+def test_carrying_forward_by_text(rows):
+    df = rows([(1, "b", 5), (1, "a", None), (1, "c", None), (None, "a", 7), (None, "b", None)], "k int, o string, v int")
+    got = I.carry_forward(df, "v", ("k",), ("o",)).collect()
+    assert {(r["k"], r["o"]): r["v"] for r in got} == {(1, "a"): None, (1, "b"): 5, (1, "c"): 5, (None, "a"): 7, (None, "b"): 7}
+
+
 def test_constant_imputation(rows):
     df = rows([("a",), (None,)], "t string")
     got = I.apply_imputation(df, ["t"], {"t": "constant"}, {"t": "?"}).collect()

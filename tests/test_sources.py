@@ -43,19 +43,25 @@ def test_quoted_names():
     assert readers.quote_table(None, "t]", "sqlserver") == "[t]]]"
 
 
-@pytest.mark.parametrize("asked, given", [(0, 1), (5, 5), (1000, 100)])
+@pytest.mark.parametrize("asked, given", [(1, 1), (5, 5), (1000, 500)])
 def test_sample_rows(spark, asked, given):
     assert readers.sample_rows(spark.range(500), asked).count() == given
+    assert readers.sample_rows(spark.range(500).repartition(7), asked, ["id"]).agg(F.max("id")).first()[0] == given - 1
+    with pytest.raises(ValueError):
+        readers.sample_rows(spark.range(5), 0)
 
 
-def test_fan_out_skips_failing_databases(spark):
+def test_fan_out_skips_failing_databases(spark, tmp_path):
     def run(name):
         if name == "b":
             raise ValueError("down")
+        if name == "late":
+            return spark.range(2).select(F.raise_error(F.lit("gone")).alias("id"))
         return spark.range(2)
 
-    df, errors = readers.fan_out_union(run, ["a", "b", "c"])
-    assert df.groupBy("database_name").count().count() == 2 and errors == {"b": "down"}
+    df, errors = readers.fan_out_union(spark, run, ["a", "b", "c", "late"], str(tmp_path))
+    assert df.groupBy("database_name").count().count() == 2 and set(errors) == {"b", "late"} and errors["b"] == "down"
+    assert readers.fan_out_union(spark, run, ["b"], str(tmp_path)) == (None, {"b": "down"})
 
 
 def test_bulk_run_goes_on_after_a_failure_and_resumes(spark, tmp_path):
