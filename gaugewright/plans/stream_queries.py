@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.monitors import run_available, stream_quality, stream_trend
+from ..streaming.monitors import run_to_end, stream_quality, stream_trend
 from .facts import source
 from .registry import pct, query, rnd
 
@@ -15,24 +15,28 @@ def events_stream(spark, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
+def to_end(spark, folder: str, report) -> DataFrame:
+    """A report over events as a stream, up to the end of the events."""
+    return run_to_end(report(events_stream(spark, folder)), report(source(spark, folder, "events")))
+
+
 def utc_text(pattern: str) -> Column:
     """The window start in UTC, whatever the session's zone."""
     return F.date_format(F.to_utc_timestamp("window_start", F.current_timezone()), pattern)
 
 
 _START = "time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00')"
-_CLOSED = f"{_START} + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
 @query("stream_trend", "R2", f"""
 SELECT strftime({_START}, '%Y-%m-%d %H:%M') AS window_start, 'srv' || CAST(user_id % 4 AS VARCHAR) AS server, event_type AS metric, count(*) AS samples,
- {rnd('avg(value)', 1)} AS value, min(value) AS min, max(value) AS max FROM events WHERE {_CLOSED} GROUP BY ALL""")
+ {rnd('avg(value)', 1)} AS value, min(value) AS min, max(value) AS max FROM events GROUP BY ALL""")
 def trend_on_stream(spark, folder):
-    samples = events_stream(spark, folder).select(
-        F.concat(F.lit("srv"), (F.col("user_id") % 4).cast("string")).alias("server"),
-        "ts", F.col("event_type").alias("metric"), "value",
-    )
-    found = run_available(stream_trend(samples, "2 hours"))
+    def report(events: DataFrame) -> DataFrame:
+        server = F.concat(F.lit("srv"), (F.col("user_id") % 4).cast("string"))
+        return stream_trend(events.select(server.alias("server"), "ts", F.col("event_type").alias("metric"), "value"), "2 hours")
+
+    found = to_end(spark, folder, report)
     return found.withColumn("window_start", utc_text("yyyy-MM-dd HH:mm"))
 
 
@@ -42,18 +46,22 @@ _DAY = "date_trunc('day', ts)"
 @query("stream_quality", "C1 C2 C3", f"""
 SELECT strftime(d, '%Y-%m-%d') AS window_start, 'session_id' AS column_name, 'IDENTIFIER_NULL' AS issue_type, n AS affected_count, {pct('n', 'total')} AS affected_percentage
  FROM (SELECT {_DAY} AS d, count(*) FILTER (WHERE user_id % 7 = 0) AS n, count(*) AS total FROM events GROUP BY 1) w
- WHERE n > 0 AND d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+ WHERE n > 0
 UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'label', 'LEADING_TRAILING_SPACES', n, {pct('n', 'total')}
  FROM (SELECT {_DAY} AS d, count(*) FILTER (WHERE event_id % 11 = 0) AS n, count(*) AS total FROM events GROUP BY 1) w
- WHERE n > 0 AND d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+ WHERE n > 0
 UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'label', 'MIXED_NUMERIC_TEXT', n, {pct('n', 'total')}
  FROM (SELECT {_DAY} AS d, count(*) FILTER (WHERE event_id % 13 = 0) AS n, count(*) AS total FROM events GROUP BY 1) w
- WHERE n > 0 AND n < total AND d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+ WHERE n > 0 AND n < total""")
 def quality_on_stream(spark, folder):
     label = F.when(F.col("event_id") % 13 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
-    dirty = events_stream(spark, folder).select(
-        "ts", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("session_id"),
-        F.when(F.col("event_id") % 11 == 0, F.concat(label, F.lit("\t"))).otherwise(label).alias("label"),
-    )
-    found = run_available(stream_quality(dirty, "ts", "1 day"))
+
+    def report(events: DataFrame) -> DataFrame:
+        dirty = events.select(
+            "ts", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("session_id"),
+            F.when(F.col("event_id") % 11 == 0, F.concat(label, F.lit("\t"))).otherwise(label).alias("label"),
+        )
+        return stream_quality(dirty, "ts", "1 day")
+
+    found = to_end(spark, folder, report)
     return found.withColumn("window_start", utc_text("yyyy-MM-dd"))

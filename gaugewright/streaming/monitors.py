@@ -1,7 +1,8 @@
 """Trend points and quality counts of a stream, per tumbling window.
 
 Both are windowed aggregates under a watermark: state is one row per open window and series, late
-rows beyond the watermark are dropped, and a window is emitted once when it closes. The same
+rows beyond the watermark are dropped, and a window is emitted once when it closes; ``run_to_end`` adds the
+windows that are open when the input ends. The same
 functions run on batch tables.
 """
 
@@ -85,8 +86,18 @@ def start(result: DataFrame, path: str, checkpoint: str | None = None, once: boo
 
 
 def run_available(result: DataFrame, path: str | None = None) -> DataFrame:
-    """Process what the source holds now and return the closed windows."""
+    """Process what the source holds now and return the windows that closed."""
     spark: SparkSession = result.sparkSession
     out = path or f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     start(result, out, once=True).awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
+
+
+def run_to_end(result: DataFrame, batch: DataFrame, path: str | None = None) -> DataFrame:
+    """Process a stream that has ended: its closed windows, and from ``batch`` those still open at its end.
+
+    ``batch`` is the same result over the same input read as a table. A window is taken from one side only.
+    """
+    closed = run_available(result, path)
+    left = batch.join(closed.select("window_start").distinct(), "window_start", "left_anti")
+    return closed.unionByName(left.select(*closed.columns))

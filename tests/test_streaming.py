@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from gaugewright.streaming.monitors import run_available, start, stream_quality, stream_trend, windowed
+from gaugewright.streaming.monitors import run_available, run_to_end, start, stream_quality, stream_trend, windowed
 
 SCHEMA = "server string, ts timestamp, metric string, value double"
 T0 = datetime(2024, 1, 1)
@@ -28,6 +28,14 @@ def test_closed_windows_equal_batch(spark, tmp_path):
     assert streamed == batch[: len(streamed)] and len(batch) - len(streamed) <= 3
 
 
+def test_windows_open_at_the_end_are_not_lost(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    add(spark, folder, [("s", minute(i), "cpu", float(i % 7)) for i in range(120)])
+    whole = run_to_end(stream_trend(stream_of(spark, folder)), stream_trend(spark.read.parquet(folder)))
+    assert whole.orderBy("window_start").collect() == stream_trend(spark.read.parquet(folder)).orderBy("window_start").collect()
+    assert whole.agg(F.sum("samples")).first()[0] == 120
+
+
 def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
     folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     result = lambda: stream_trend(stream_of(spark, folder))
