@@ -68,6 +68,9 @@ SYSTEM_SCHEMAS = {
 }
 SYSTEM_SCHEMA_PREFIX = "pg_"
 
+# Shown for code that refers to no known table.
+STANDALONE = "None (Standalone Code)"
+
 # Large-object column types (lower case).
 LARGE_OBJECT_TYPES = [
     "tinyblob", "blob", "mediumblob", "longblob", "tinytext", "text", "mediumtext", "longtext",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import SYSTEM_SCHEMA_PREFIX, SYSTEM_SCHEMAS
@@ -48,10 +48,29 @@ def severity(status: Column) -> Column:
     return rank
 
 
-def is_user_schema(schema: Column) -> Column:
-    """True for schemas and databases that do not belong to the server itself."""
-    names = sorted({name.lower() for group in SYSTEM_SCHEMAS.values() for name in group})
-    return ~F.lower(schema).isin(names) & ~schema.startswith(SYSTEM_SCHEMA_PREFIX)
+def _own_name(name: Column, platforms: list[str]) -> Column:
+    names = sorted({n.lower() for p in platforms for n in SYSTEM_SCHEMAS[p]})
+    own = F.lower(name).isin(names)
+    return own | name.startswith(SYSTEM_SCHEMA_PREFIX) if "postgres" in platforms else own
+
+
+def is_user_schema(schema: Column, platform: Column | None = None) -> Column:
+    """True for schemas and databases that do not belong to the server itself.
+
+    ``platform`` names the server's kind (mysql, postgres, oracle, sqlserver); only that kind's names
+    then count. Without it, or where it is not known, the names of all kinds do. A missing name is a user's.
+    """
+    own = _own_name(schema, list(SYSTEM_SCHEMAS))
+    if platform is not None:
+        for kind in SYSTEM_SCHEMAS:
+            own = F.when(F.lower(platform) == kind, _own_name(schema, [kind])).otherwise(own)
+    return ~F.coalesce(own, F.lit(False))
+
+
+def is_user_table(rows: DataFrame) -> Column:
+    """True for rows of schemas and databases that are not the servers' own, by the fact's ``platform`` if it has one."""
+    platform = F.col("platform") if "platform" in rows.columns else None
+    return is_user_schema(F.col("schema_name"), platform) & is_user_schema(F.col("database_name"), platform)
 
 
 def wait_category(event: Column) -> Column:

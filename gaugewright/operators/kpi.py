@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fixed_values import RANGE_MINUTES
-from ..functions.status import is_user_schema, status_band
+from ..functions.status import is_user_table, status_band
 from ..functions.text import footprint_text, ratio, rounded, short_count
 from .storage import total_bytes
+from .snapshots import current, on_current
 from .trends import metric_trend
 
 
@@ -22,6 +23,7 @@ def _three_bands(value: Column) -> Column:
     )
 
 
+@on_current
 def cpu_kpi(statements: DataFrame, n: int = 10) -> DataFrame:
     """A CPU figure from the time of each server's n slowest statements: seconds / 10, within 0.5 and 100."""
     order = Window.partitionBy("server").orderBy(F.desc("total_ms"), "database_name", "query_id")
@@ -51,6 +53,7 @@ def iops_kpi(samples: DataFrame, range_name: str, as_of: str, metrics: list[str]
     )
 
 
+@on_current
 def connections_kpi(counters: DataFrame, used: str = "threads_connected", limit: str = "max_connections") -> DataFrame:
     """Connections in use, the limit, and their ratio."""
 
@@ -107,19 +110,21 @@ def qps_kpi(samples: DataFrame, metric: str, range_name: str) -> DataFrame:
     )
 
 
+@on_current
 def storage_kpi(tables: DataFrame) -> DataFrame:
     """Bytes, tables and a size text per server."""
     sums = (
-        tables.filter(is_user_schema(F.col("schema_name")))
+        tables.filter(is_user_table(tables))
         .groupBy("server")
         .agg(F.sum(total_bytes()).cast("bigint").alias("total_bytes"), F.count(F.lit(1)).alias("table_count"))
     )
     return sums.withColumn("size_text", footprint_text(F.col("total_bytes")))
 
 
+@on_current
 def storage_total(tables: DataFrame, database: str | None = None) -> DataFrame:
     """Bytes over everything, or over one database only."""
-    kept = tables.filter(is_user_schema(F.col("schema_name")) & is_user_schema(F.col("database_name")))
+    kept = tables.filter(is_user_table(tables))
     if database:
         kept = kept.filter(F.lower("database_name") == database.lower())
     sums = kept.agg(F.coalesce(F.sum(total_bytes()), F.lit(0)).cast("bigint").alias("total_bytes"))
@@ -135,7 +140,7 @@ def storage_growth(snapshots: DataFrame, time: str = "snapshot_ts") -> DataFrame
 
 def blocked_kpi(locks: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
     """Waiting locks per server now, and at most over the period where ``peaks`` (server, peak) has it."""
-    now = locks.groupBy("server").agg(F.count_if(F.upper("lock_status") == "WAITING").alias("blocked"))
+    now = current(locks).groupBy("server").agg(F.count_if(F.upper("lock_status") == "WAITING").alias("blocked"))
     if peaks is not None:
         now = now.join(peaks.select("server", F.col("peak").alias("__peak")), "server", "left")
         peak = F.greatest("blocked", F.col("__peak").cast("bigint"))
@@ -147,6 +152,7 @@ def blocked_kpi(locks: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
     )
 
 
+@on_current
 def deadlock_kpi(counters: DataFrame, metric: str = "deadlocks") -> DataFrame:
     """Deadlocks per server; any at all is critical."""
     sums = counters.groupBy("server").agg(

@@ -1,12 +1,10 @@
-"""Lists of names per key that never gather an unbounded group."""
+"""Keys of the facts, and lists of columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LONGEST_LIST = 1000
-
 SERVER = ["server"]
 DATABASE = ["server", "database_name"]
 TABLE = [*DATABASE, "schema_name", "table_name"]
@@ -23,24 +21,3 @@ def ordered_set(order: str, item: str) -> Column:
 def joined(pairs: Column, separator: str = ", ") -> Column:
     """The items of an ``ordered_set`` as one text."""
     return F.array_join(F.transform(pairs, lambda p: p["i"]), separator)
-
-
-def name_lists(
-    pairs: DataFrame, keys: list[str], item: str, alias: str, longest: int = LONGEST_LIST, least: int = 1
-) -> DataFrame:
-    """Distinct items per key: their number, and their sorted list, for keys with at least ``least`` items.
-
-    A key with up to ``longest`` items has one row. One with more is spread by hash over as many rows
-    as it takes (``list_part`` 0, 1, ...), each with its own sorted list, so nothing is lost and no
-    task holds more than about ``longest`` items of a key. Copies are dropped before any of this.
-    """
-    distinct = pairs.select(*keys, F.col(item).alias("__item")).distinct()
-    counts = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("item_count")).filter(F.col("item_count") >= least)
-    parts = F.ceil(F.col("item_count") / F.lit(longest))
-    # The count side has one row a key, so AQE can split a hot key's items over several join tasks.
-    return (
-        distinct.join(counts, keys)
-        .withColumn("list_part", F.pmod(F.xxhash64("__item"), parts).cast("int"))
-        .groupBy(*keys, "item_count", "list_part")
-        .agg(F.array_join(F.sort_array(F.collect_list("__item")), ", ").alias(alias))
-    )

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import CONFIGURATION_LISTS
 from .lists import DATABASE
 from .sessions import as_of_like
+from .snapshots import on_current
 
 FULL_BACKUP = "D"
 BACKUP_LABELS = {"D": "Full", "I": "Differential", "L": "Log"}
 
 
+@on_current
 def config_assessment(settings: DataFrame, allowed: str | list[str]) -> DataFrame:
     """Allow-listed parameters with their rank in the list."""
     names = CONFIGURATION_LISTS[allowed] if isinstance(allowed, str) else allowed
@@ -27,6 +29,7 @@ def config_assessment(settings: DataFrame, allowed: str | list[str]) -> DataFram
     )
 
 
+@on_current
 def databases_without_recent_backup(databases: DataFrame, backups: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Databases whose last full backup is missing or older than ``days``."""
     last = (
@@ -42,6 +45,7 @@ def databases_without_recent_backup(databases: DataFrame, backups: DataFrame, as
     )
 
 
+@on_current
 def latest_backups(backups: DataFrame, n: int = 200) -> DataFrame:
     """The latest backups with a label of their type."""
     label = F.col("backup_type")
@@ -54,6 +58,7 @@ def latest_backups(backups: DataFrame, n: int = 200) -> DataFrame:
     )
 
 
+@on_current
 def database_flags(databases: DataFrame) -> DataFrame:
     """State, recovery and housekeeping flags of each database."""
     return databases.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.status import lock_category
 from .lists import DATABASE
+from .snapshots import on_current
 
 ACTIVE = "active"
 
@@ -16,12 +17,14 @@ def as_of_like(df: DataFrame, column: str, as_of: str) -> Column:
     return F.lit(as_of).cast(df.schema[column].dataType)
 
 
+@on_current
 def sessions_by_state(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("server", F.coalesce("state", F.lit("unknown")).alias("state")).agg(
         F.count(F.lit(1)).alias("session_count")
     )
 
 
+@on_current
 def active_sessions(sessions: DataFrame, n: int = 100) -> DataFrame:
     """Active sessions by CPU time."""
     return (
@@ -32,6 +35,7 @@ def active_sessions(sessions: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+@on_current
 def long_running(sessions: DataFrame, as_of: str, minutes: int = 5, n: int = 100) -> DataFrame:
     """Active sessions started at least ``minutes`` before ``as_of``, oldest first."""
     now = as_of_like(sessions, "start_ts", as_of)
@@ -43,13 +47,13 @@ def long_running(sessions: DataFrame, as_of: str, minutes: int = 5, n: int = 100
     )
 
 
+@on_current
 def transactions(trx: DataFrame, sessions: DataFrame, as_of: str, n: int = 100) -> DataFrame:
     """Oldest transactions with their age and their session's user."""
     now = as_of_like(trx, "start_ts", as_of)
     oldest = trx.filter(F.col("start_ts") <= now).orderBy("start_ts", *DATABASE, "trx_id").limit(n)
     keys = ["server", "session_id"]
-    # n rows at most on the broadcast side; only their sessions are kept.
-    users = sessions.select(*keys, "user_id", "state").join(F.broadcast(oldest.select(*keys).distinct()), keys)
+    users = sessions.select(*keys, "user_id", "state").join(oldest.select(*keys).distinct(), keys)
     age = F.timestamp_diff("SECOND", "start_ts", now)
     return oldest.join(users, keys, "left").select(
         *DATABASE, "trx_id", "session_id", "user_id", "state", "rows_locked",
@@ -57,6 +61,7 @@ def transactions(trx: DataFrame, sessions: DataFrame, as_of: str, n: int = 100)
     )
 
 
+@on_current
 def locks(lock_rows: DataFrame) -> DataFrame:
     """Locks with a readable category."""
     relation = F.concat_ws(".", "schema_name", "object_name")
@@ -66,24 +71,33 @@ def locks(lock_rows: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def lock_waits(lock_rows: DataFrame) -> DataFrame:
-    """Each waiting lock with the number of sessions holding the resource and the first of them.
+    """Each waiting lock with the number of other sessions holding the resource and the first of them.
 
     Holders are combined per resource before the join, so a resource wanted by very many sessions
-    gives one row per waiter, not one per pair.
+    gives one row per waiter, not one per pair. A missing ``id1`` or ``id2`` is equal to another one.
     """
     resource = ["server", "id1", "id2"]
-    holders = (
-        lock_rows.filter(F.col("lock_status") == "GRANTED")
-        .groupBy(*resource)
-        .agg(F.count_distinct("session_id").alias("holder_count"), F.min("session_id").alias("first_holder"))
-    )
+    filled = lock_rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in resource[1:]})
+    holders = filled.filter(F.col("lock_status") == "GRANTED").select(*resource, "session_id").distinct()
+    first = holders.groupBy(*resource).agg(F.count("*").alias("holders"), F.min("session_id").alias("first"))
+    second = holders.join(first, resource).filter(F.col("session_id") != F.col("first")).groupBy(*resource).agg(F.min("session_id").alias("second"))
+    own = holders.select(*resource, "session_id", F.lit(1).alias("holds"))
     waiting = lock_rows.filter(F.col("lock_status") == "WAITING").select(
-        *resource, "lock_id", F.col("session_id").alias("waiting_session")
+        "server", "id1", "id2", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k_{c}") for c in resource[1:]], "lock_id", "session_id"
+    )
+    keyed = [x.withColumnsRenamed({"id1": "k_id1", "id2": "k_id2"}) for x in (first, second, own)]
+    keys = ["server", "k_id1", "k_id2"]
+    found = waiting.join(keyed[0], keys).join(keyed[1], keys, "left").join(keyed[2], [*keys, "session_id"], "left")
+    count = F.col("holders") - F.coalesce("holds", F.lit(0))
+    holder = F.when(F.col("first") == F.col("session_id"), F.col("second")).otherwise(F.col("first"))
+    return found.filter(count > 0).select(
+        *resource, "lock_id", F.col("session_id").alias("waiting_session"), count.alias("holder_count"), holder.alias("first_holder")
     )
-    return waiting.join(holders, resource)
 
 
+@on_current
 def blocking_sessions(sessions: DataFrame) -> DataFrame:
     """Blocked and blocking session of each block. ``blocked_by`` is an array of session ids.
 

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.status import is_user_schema
+from ..functions.status import is_user_table
 from ..functions.text import in_unit, ratio, rounded
 from .lists import DATABASE, TABLE
+from .snapshots import on_current
 
 
 def user_tables(tables: DataFrame) -> DataFrame:
     """Tables outside the servers' own schemas."""
-    return tables.filter(is_user_schema(F.col("schema_name")))
+    return tables.filter(is_user_table(tables))
 
 
 def _bytes(name: str) -> Column:
@@ -32,6 +33,7 @@ def _sum(c: Column, name: str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
 
 
+@on_current
 def database_sizes(databases: DataFrame, tables: DataFrame) -> DataFrame:
     """Tables and bytes per database, empty databases included, with a TOTAL row.
 
@@ -63,6 +65,7 @@ def database_sizes(databases: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def table_storage(tables: DataFrame) -> DataFrame:
     """Data, index and total size of each table."""
     size = total_bytes()
@@ -76,6 +79,7 @@ def table_storage(tables: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def data_vs_index(tables: DataFrame) -> DataFrame:
     """Data, index and total bytes over everything, and index per data."""
     sums = user_tables(tables).agg(_sum(_bytes("data_bytes"), "data_bytes"), _sum(_bytes("index_bytes"), "index_bytes"))
@@ -91,6 +95,7 @@ def data_vs_index(tables: DataFrame) -> DataFrame:
 SIZE_ORDERS = {"bytes": total_bytes, "rows": lambda: F.coalesce("row_count", F.lit(0))}
 
 
+@on_current
 def top_largest(tables: DataFrame, n: int = 100, order_by: str = "bytes", per_database: bool = False) -> DataFrame:
     """The n largest tables by bytes or rows, of the fleet or of each database."""
     sized = user_tables(tables).select(
@@ -107,13 +112,24 @@ def top_largest(tables: DataFrame, n: int = 100, order_by: str = "bytes", per_da
     return sized.orderBy(*order).limit(n).drop("__order")
 
 
+@on_current
+def largest_per_server(tables: DataFrame) -> DataFrame:
+    """(server, table_name, total_bytes) of each server's largest table."""
+    sized = user_tables(tables).select(*TABLE, total_bytes().alias("total_bytes"))
+    place = F.row_number().over(Window.partitionBy("server").orderBy(F.desc("total_bytes"), *TABLE))
+    return sized.withColumn("__place", place).filter("__place = 1").select("server", "table_name", "total_bytes")
+
+
+@on_current
 def row_counts(tables: DataFrame, limit: int = 1000) -> DataFrame:
-    """Row estimates, largest first."""
-    limit = max(1, min(1000, limit))
+    """Row estimates of the ``limit`` largest tables by rows."""
+    if limit < 1:
+        raise ValueError("the limit has to be 1 or more")
     rows = F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count")
     return user_tables(tables).select(*TABLE, rows).orderBy(F.desc("row_count"), *TABLE).limit(limit)
 
 
+@on_current
 def storage_by_group(tables: DataFrame, key: str = "engine", default: str = "default") -> DataFrame:
     """Tables and bytes per storage class; tables without one count to the default class."""
     return (
@@ -123,6 +139,7 @@ def storage_by_group(tables: DataFrame, key: str = "engine", default: str = "def
     )
 
 
+@on_current
 def non_default_engine(tables: DataFrame, default: str) -> DataFrame:
     """Base tables stored by another engine than the default."""
     return (
@@ -132,6 +149,7 @@ def non_default_engine(tables: DataFrame, default: str) -> DataFrame:
     )
 
 
+@on_current
 def capacity_used(volumes: DataFrame) -> DataFrame:
     """Used and free bytes and the used share of each volume (NULL for volumes without capacity)."""
     return volumes.select(
@@ -141,10 +159,11 @@ def capacity_used(volumes: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def partition_counts(partitions: DataFrame) -> DataFrame:
     """Partitions and rows per partitioned table."""
     return (
-        partitions.filter(is_user_schema(F.col("schema_name")))
+        partitions.filter(is_user_table(partitions))
         .groupBy(*TABLE)
         .agg(
             F.count(F.lit(1)).alias("partition_count"),
@@ -154,13 +173,15 @@ def partition_counts(partitions: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def partition_detail(partitions: DataFrame) -> DataFrame:
     """Partitions with their position, rows and size."""
-    return partitions.filter(is_user_schema(F.col("schema_name"))).select(
+    return partitions.filter(is_user_table(partitions)).select(
         *TABLE, "partition_name", "position", "row_count", total_bytes().alias("total_bytes")
     )
 
 
+@on_current
 def large_unpartitioned(tables: DataFrame, partitions: DataFrame, n: int = 100) -> DataFrame:
     """The largest tables without partitions, matched on server, database, schema and name."""
     return (
@@ -172,6 +193,7 @@ def large_unpartitioned(tables: DataFrame, partitions: DataFrame, n: int = 100)
     )
 
 
+@on_current
 def fragmentation(tables: DataFrame) -> DataFrame:
     """Free space as a share of a table's space, and dead rows as a share of its rows."""
     free = ratio(F.col("free_bytes"), F.col("data_bytes") + F.col("free_bytes"))
@@ -183,6 +205,7 @@ def fragmentation(tables: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def fragmented_indexes(indexes: DataFrame, pages: int = 1000, pct: float = 30.0) -> DataFrame:
     """Indexes of some size whose pages are out of order."""
     return (
@@ -199,6 +222,7 @@ def _io_per_table(io: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def archival_candidates(tables: DataFrame, io: DataFrame, rows: int = 10_000, changes: int = 100) -> DataFrame:
     """Tables with many rows and few changes."""
     dml = F.coalesce(F.col("inserts") + F.col("updates") + F.col("deletes"), F.lit(0))
@@ -212,12 +236,14 @@ def archival_candidates(tables: DataFrame, io: DataFrame, rows: int = 10_000, ch
     )
 
 
+@on_current
 def limited_usage(tables: DataFrame, io: DataFrame) -> DataFrame:
     """Tables nobody read or wrote."""
     used = _io_per_table(io).filter((F.col("reads") > 0) | (F.col("writes") > 0))
     return user_tables(tables).select(*TABLE, total_bytes().alias("total_bytes")).join(used.select(*TABLE), TABLE, "left_anti")
 
 
+@on_current
 def hot_tables(io: DataFrame, n: int = 10, by: str = "operations") -> DataFrame:
     """The busiest tables by reads plus writes, or by writes."""
     operations = (F.col("reads") + F.col("writes")).alias("operations")
@@ -230,6 +256,7 @@ def hot_tables(io: DataFrame, n: int = 10, by: str = "operations") -> DataFrame:
     )
 
 
+@on_current
 def stale_statistics(tables: DataFrame) -> DataFrame:
     """When statistics were last taken: the analysis time, else the last change, else Never."""
     last = F.coalesce("last_analyzed", "update_time")
@@ -239,6 +266,7 @@ def stale_statistics(tables: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def modified_since_statistics(tables: DataFrame, io: DataFrame, n: int = 100) -> DataFrame:
     """The largest tables with changes since their statistics were taken."""
     changes = F.col("inserts") + F.col("updates") + F.col("deletes")
@@ -252,6 +280,7 @@ def modified_since_statistics(tables: DataFrame, io: DataFrame, n: int = 100) ->
     )
 
 
+@on_current
 def object_inventory(tables: DataFrame) -> DataFrame:
     """Tables per schema with their first creation and last change."""
     return (
@@ -265,11 +294,13 @@ def object_inventory(tables: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def list_namespaces(tables: DataFrame) -> DataFrame:
     """Schemas that are not the servers' own."""
     return user_tables(tables).select(*DATABASE, "schema_name").distinct()
 
 
+@on_current
 def list_tables(tables: DataFrame) -> DataFrame:
     """Base tables that are not the servers' own."""
     return user_tables(tables).filter(F.col("table_type") == "BASE TABLE").select(*TABLE)

@@ -16,6 +16,7 @@ from ..functions.fixed_values import (
 from ..functions.status import wait_category
 from ..functions.text import cut, ratio, rounded
 from .lists import DATABASE
+from .snapshots import on_current
 
 STATEMENT = [*DATABASE, "query_id"]
 COUNTERS = ["calls", "rows_examined", "rows_sent", "reads", "writes"]
@@ -41,26 +42,27 @@ def _top_statements(statements: DataFrame, measure: Column, n: int, least: float
         .orderBy(F.desc("measure"), *STATEMENT)
         .limit(n)
     )
-    # At most n rows on the broadcast side.
     texts = (
-        statements.join(F.broadcast(top.select(*STATEMENT)), STATEMENT)
+        statements.join(top.select(*STATEMENT), STATEMENT)
         .groupBy(*STATEMENT)
         .agg(F.min("query_text").alias("query_text"))
     )
     return top.join(texts, STATEMENT)
 
 
+@on_current
 def slow_statements(statements: DataFrame, n: int = 50, least_ms: float = 10.0) -> DataFrame:
     """Statements by total time."""
     seconds = F.col("total_ms") / 1000.0
     return _top_statements(statements, F.col("total_ms"), n, least_ms).select(
-        *STATEMENT, cut(F.col("query_text"), 60).alias("query_text"), "calls",
+        *STATEMENT, "query_text", cut(F.col("query_text"), 60).alias("query_label"), "calls",
         rounded(seconds, 4).alias("total_seconds"),
         rounded(ratio(seconds, F.col("calls")), 6).alias("avg_seconds"),
         "rows_examined", "rows_sent",
     )
 
 
+@on_current
 def top_cpu_statements(statements: DataFrame, n: int = 10) -> DataFrame:
     """Statements by time, with their share of the n returned."""
     top = _top_statements(statements, F.col("total_ms"), n)
@@ -70,18 +72,41 @@ def top_cpu_statements(statements: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def _first_per_server(rows: DataFrame, order: list) -> DataFrame:
+    """One row per server; the rank filter limits each task to one row a server before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("server").orderBy(*order))
+    return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
+
+
+@on_current
+def top_statement_per_server(statements: DataFrame) -> DataFrame:
+    """(server, query_text, cpu_ms) of each server's statement with the most time."""
+    slim = statements.select("server", "database_name", "query_id", "query_text", rounded(F.col("total_ms"), 2).alias("cpu_ms"), "total_ms")
+    return _first_per_server(slim, [F.desc("total_ms"), "database_name", "query_id"]).select("server", "query_text", "cpu_ms")
+
+
+@on_current
+def top_wait_per_server(waits: DataFrame) -> DataFrame:
+    """(server, wait_event) of the event each server waited on longest, idle ones aside."""
+    is_idle = F.coalesce(F.col("wait_class") == IDLE_WAIT_CLASS, F.lit(False))
+    sums = waits.filter(~is_idle).groupBy("server", "wait_event").agg(F.sum(F.col("wait_ms").cast("decimal(28,4)")).alias("ms"))
+    return _first_per_server(sums, [F.desc("ms"), "wait_event"]).select("server", "wait_event")
+
+
+@on_current
 def high_examined_statements(statements: DataFrame, n: int = 50) -> DataFrame:
     """Statements by rows examined."""
     return _top_statements(statements, F.col("rows_examined"), n).select(
-        *STATEMENT, cut(F.col("query_text"), 60).alias("query_text"), "calls", "rows_examined",
+        *STATEMENT, "query_text", cut(F.col("query_text"), 60).alias("query_label"), "calls", "rows_examined",
         rounded(ratio(F.col("rows_examined"), F.col("calls")), 2).alias("avg_rows_examined"),
     )
 
 
+@on_current
 def frequent_statements(statements: DataFrame, n: int = 50) -> DataFrame:
     """Statements by calls."""
     return _top_statements(statements, F.col("calls"), n).select(
-        *STATEMENT, cut(F.col("query_text"), 60).alias("query_text"), "calls"
+        *STATEMENT, "query_text", cut(F.col("query_text"), 60).alias("query_label"), "calls"
     )
 
 
@@ -97,6 +122,7 @@ def _io_entities(io: DataFrame, n: int) -> DataFrame:
     )
 
 
+@on_current
 def top_io(statements: DataFrame, io: DataFrame, n: int = 10) -> DataFrame:
     """Statements by reads plus writes; tables where no statement reports any."""
     by_statement = _top_statements(statements, F.col("reads") + F.col("writes"), n, 1).select(
@@ -111,6 +137,7 @@ def top_io(statements: DataFrame, io: DataFrame, n: int = 10) -> DataFrame:
     return share_of_total(both.filter("source = first_source").drop("first_source"), "io_operations", "io_pct")
 
 
+@on_current
 def table_io_activity(io: DataFrame, n: int = 100) -> DataFrame:
     """Operation counts per table, busiest first."""
     keys = [*DATABASE, "schema_name", "object_name"]
@@ -120,6 +147,7 @@ def table_io_activity(io: DataFrame, n: int = 100) -> DataFrame:
     return sums.orderBy(F.desc(F.col("reads") + F.col("writes")), *keys).limit(n)
 
 
+@on_current
 def table_wait_time(io: DataFrame, n: int = 50) -> DataFrame:
     """Operations and wait time per table, longest wait first."""
     keys = [*DATABASE, "schema_name", "object_name"]
@@ -130,11 +158,13 @@ def table_wait_time(io: DataFrame, n: int = 50) -> DataFrame:
     return sums.orderBy(F.desc("wait_ms"), *keys).limit(n)
 
 
+@on_current
 def top_wait_events(waits: DataFrame, n: int = 10, long_list: bool = False) -> DataFrame:
     """Wait events by time, idle and benign ones aside, with their share of the n returned. Empty means no waits."""
     event = F.col("wait_event")
     benign = BENIGN_WAITS_LONG if long_list else BENIGN_WAITS
-    held_up = ~event.isin(benign) & ~event.startswith(IDLE_WAIT_PREFIX) & (F.col("wait_class") != IDLE_WAIT_CLASS)
+    is_idle = F.coalesce(F.col("wait_class") == IDLE_WAIT_CLASS, F.lit(False))  # not every source has classes
+    held_up = ~event.isin(benign) & ~event.startswith(IDLE_WAIT_PREFIX) & ~is_idle
     top = (
         waits.filter(held_up)
         .groupBy("wait_event")
@@ -149,6 +179,7 @@ def top_wait_events(waits: DataFrame, n: int = 10, long_list: bool = False) -> D
     return share_of_total(top, "wait_ms", "wait_pct").withColumn("wait_category", wait_category(event))
 
 
+@on_current
 def waiting_sessions(sessions: DataFrame, n: int = 10) -> DataFrame:
     """Wait events by number of active sessions in them, for sources that report sessions instead of time."""
     top = (
@@ -165,6 +196,7 @@ def _counter(name: str) -> Column:
     return F.sum(F.when(F.col("metric") == name, F.col("value")))
 
 
+@on_current
 def cache_efficiency(counters: DataFrame, hits: str = "blocks_hit", reads: str = "blocks_read") -> DataFrame:
     """Cache hit and miss share per server. No reads at all gives NULL and Unavailable, not a made-up figure."""
     sums = (
@@ -189,6 +221,7 @@ def cache_efficiency(counters: DataFrame, hits: str = "blocks_hit", reads: str =
 ACTIVITY = ["commits", "rollbacks", "blocks_read", "blocks_hit", "deadlocks"]
 
 
+@on_current
 def activity_profile(counters: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """Counters per database, side by side."""
     names = metrics or ACTIVITY
@@ -204,6 +237,7 @@ def load_profile(counters: DataFrame) -> DataFrame:
     return activity_profile(counters, LOAD_PROFILE_COUNTERS)
 
 
+@on_current
 def temp_usage(temp: DataFrame) -> DataFrame:
     """Temporary bytes and files per database, where there are any."""
     return (

@@ -86,7 +86,7 @@ def storage_largest_per_database(spark, folder):
     return G.top_largest(derived(spark, folder, "tables"), 5, per_database=True)
 
 
-@query("storage_row_counts", "G5", f"SELECT {TABLE}, {big('coalesce(row_count, 0)')} AS row_count FROM {USER_TABLES} t ORDER BY 5 DESC, {TABLE} LIMIT 1000")
+@query("storage_row_counts", "G5", f"SELECT {TABLE}, {big('coalesce(row_count, 0)')} AS row_count FROM {USER_TABLES} t ORDER BY 5 DESC, {TABLE} LIMIT 5000")
 def storage_row_counts(spark, folder):
     return G.row_counts(derived(spark, folder, "tables"), 5000)
 
@@ -199,25 +199,30 @@ def storage_list_tables(spark, folder):
     return G.list_tables(derived(spark, folder, "tables"))
 
 
-@query("storage_sample_rows", "A4", None)
+@query("storage_sample_rows", "A4", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey, o_custkey, o_totalprice LIMIT 200")
 def storage_sample_rows(spark, folder):
     from ..sources.readers import sample_rows
 
-    return sample_rows(source(spark, folder, "orders"), 20)
+    by = ["o_orderkey", "o_custkey", "o_totalprice"]
+    return sample_rows(source(spark, folder, "orders").select(*by), 200, by)
 
 
-@query("storage_fan_out", "A6", f"SELECT database_name, count(*) AS table_count FROM fact_tables WHERE database_name IN ('db0', 'db3', 'db5') GROUP BY database_name")
+@query("storage_fan_out", "A6", f"SELECT database_name, count(*) AS table_count FROM fact_tables GROUP BY database_name")
 def storage_fan_out(spark, folder):
+    """Every database on its own, and one that fails while it runs."""
+    import uuid
+
     from ..sources.readers import fan_out_union
+    from .materialize import shared_folder
 
-    tables = derived(spark, folder, "tables")
+    tables = derived(spark, folder, "tables").select("database_name")
+    names = [r[0] for r in tables.distinct().collect()]  # databases, one row each
 
     def count(name: str):
-        if name == "missing":
-            raise ValueError("no such database")
-        return tables.filter(F.col("database_name") == name).agg(F.count(F.lit(1)).alias("table_count"))
+        kept = tables.filter(F.col("database_name") == name) if name != "broken" else tables.select(F.raise_error(F.lit("down")).alias("database_name"))
+        return kept.groupBy().agg(F.count("database_name").alias("table_count"))
 
-    return fan_out_union(count, ["db0", "db3", "missing", "db5"])[0]
+    return fan_out_union(spark, count, [*names, "broken"], f"{shared_folder(spark)}/fan-{uuid.uuid4().hex}")[0]
 
 
 # --- relations ----------------------------------------------------------------------------------------
@@ -225,22 +230,26 @@ def storage_fan_out(spark, folder):
 CHILD, PARENT = f"{PLACE}, child_schema, child_table", f"{PLACE}, parent_schema, parent_table"
 
 
-def _related(side: str, other: str, count: str, listed: str) -> str:
+def _related(side: str, other: str, count: str) -> str:
     name = f"{other}_schema || '.' || {other}_table"
-    return f"""SELECT {side}, count(DISTINCT {name}) AS {count}, 0 AS list_part, string_agg(DISTINCT {name}, ', ' ORDER BY {name}) AS {listed},
- count(DISTINCT constraint_name) AS fk_count FROM fact_fk_columns GROUP BY {side}"""
+    return f"SELECT {side}, count(DISTINCT {name}) AS {count}, count(DISTINCT constraint_name) AS fk_count FROM fact_fk_columns GROUP BY {side}"
 
 
-@query("rel_parent_tables", "H1", _related(PARENT, "child", "child_count", "child_list"))
+@query("rel_parent_tables", "H1", _related(PARENT, "child", "child_count"))
 def rel_parent_tables(spark, folder):
     return L.parent_tables(derived(spark, folder, "fk_columns"))
 
 
-@query("rel_child_tables", "H2", _related(CHILD, "parent", "parent_count", "parent_list"))
+@query("rel_child_tables", "H2", _related(CHILD, "parent", "parent_count"))
 def rel_child_tables(spark, folder):
     return L.child_tables(derived(spark, folder, "fk_columns"))
 
 
+@query("rel_related_tables", "H1 H2", f"SELECT DISTINCT {CHILD}, parent_schema, parent_table FROM fact_fk_columns")
+def rel_related_tables(spark, folder):
+    return L.related_tables(derived(spark, folder, "fk_columns"))
+
+
 @query("rel_independent_tables", "H3", f"""
 SELECT {TABLE} FROM {USER_TABLES} t WHERE NOT EXISTS (SELECT 1 FROM fact_fk_columns f WHERE f.server = t.server AND f.database_name = t.database_name AND f.child_schema = t.schema_name AND f.child_table = t.table_name)
  AND NOT EXISTS (SELECT 1 FROM fact_fk_columns f WHERE f.server = t.server AND f.database_name = t.database_name AND f.parent_schema = t.schema_name AND f.parent_table = t.table_name)""")
@@ -321,10 +330,9 @@ _LISTS = f"(SELECT {INDEX}, string_agg(column_name, ', ' ORDER BY position, colu
 
 
 @query("index_duplicates", "I5", f"""
-SELECT {TABLE}, column_list, 'duplicate' AS kind, count(*) AS index_count, 0 AS list_part, string_agg(index_name, ', ' ORDER BY index_name) AS index_list,
- CAST(NULL AS VARCHAR) AS longer_example FROM {_LISTS} a GROUP BY {TABLE}, column_list HAVING count(*) > 1
+SELECT {TABLE}, column_list, 'duplicate' AS kind, count(*) AS index_count, min(index_name) AS example FROM {_LISTS} a GROUP BY {TABLE}, column_list HAVING count(*) > 1
 UNION ALL
-SELECT s.server, s.database_name, s.schema_name, s.table_name, s.column_list, 'prefix overlap', count(*), 0, NULL, min(b.index_name)
+SELECT s.server, s.database_name, s.schema_name, s.table_name, s.column_list, 'prefix overlap', count(*), min(b.index_name)
  FROM (SELECT DISTINCT {TABLE}, column_list FROM {_LISTS} a) s JOIN {_LISTS} b ON b.server = s.server AND b.database_name = s.database_name
  AND b.schema_name = s.schema_name AND b.table_name = s.table_name AND starts_with(b.column_list, s.column_list || ', ')
  GROUP BY s.server, s.database_name, s.schema_name, s.table_name, s.column_list""")
@@ -332,6 +340,11 @@ def index_duplicates(spark, folder):
     return L.duplicate_indexes(derived(spark, folder, "index_columns"))
 
 
+@query("index_duplicate_names", "I5", f"SELECT {INDEX}, column_list FROM (SELECT *, count(*) OVER (PARTITION BY {TABLE}, column_list) AS n FROM {_LISTS} a) b WHERE n > 1")
+def index_duplicate_names(spark, folder):
+    return L.duplicate_index_names(derived(spark, folder, "index_columns"))
+
+
 _INDEX_IO = f"""(SELECT {PLACE}, schema_name, object_name AS table_name, index_name, {big('sum(reads)')} AS reads, {big('sum(writes)')} AS writes
  FROM fact_object_io WHERE index_name IS NOT NULL GROUP BY ALL)"""
 
@@ -358,8 +371,9 @@ def index_disabled(spark, folder):
 
 
 @query("index_candidates", "I10", f"""
-SELECT {PLACE}, schema_name, object_name AS table_name, {big('sum(reads)')} AS full_scans FROM fact_object_io WHERE index_name IS NULL
- GROUP BY {PLACE}, schema_name, object_name HAVING sum(reads) > 0 ORDER BY sum(reads) DESC, {PLACE}, schema_name, object_name LIMIT 100""")
+SELECT * FROM (SELECT {PLACE}, schema_name, object_name AS table_name, {big('sum(reads) FILTER (index_name IS NULL)')} AS full_scans,
+ {big('coalesce(sum(reads) FILTER (index_name IS NOT NULL), 0)')} AS index_reads FROM fact_object_io GROUP BY {PLACE}, schema_name, object_name) x
+ WHERE full_scans > 0 ORDER BY full_scans DESC, index_reads DESC, {TABLE} LIMIT 100""")
 def index_candidates(spark, folder):
     return L.missing_index_candidates(derived(spark, folder, "object_io"))
 
@@ -370,11 +384,16 @@ COLUMN = f"{TABLE}, column_name"
 _USER_COLUMNS = f"(SELECT * FROM fact_columns WHERE {user()})"
 
 
-@query("column_dictionary", "J1", f"SELECT {COLUMN}, position, data_type, char_length, nullable, extra FROM {_USER_COLUMNS} c")
+@query("column_dictionary", "J1", f"SELECT {COLUMN}, position, data_type, char_length, num_precision, num_scale, default_value, nullable, extra, coalesce(key = 'PRI', false) AS in_primary_key FROM {_USER_COLUMNS} c")
 def column_dictionary(spark, folder):
     return C.data_dictionary(derived(spark, folder, "columns"))
 
 
+@query("column_charsets", "J7", f'SELECT {COLUMN}, charset, c."collation" FROM {_USER_COLUMNS} c WHERE c."collation" IS NOT NULL')
+def column_charsets(spark, folder):
+    return C.column_collations(derived(spark, folder, "columns"))
+
+
 _TYPES = "(" + ", ".join(f"'{t}'" for t in LARGE_OBJECT_TYPES) + ")"
 
 

@@ -7,6 +7,8 @@ the source tables. ``VIEWS`` are the profiled tables with missing and dirty valu
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,7 +190,9 @@ SELECT {_place('p_partkey')}, {_SCHEMA.format('p_partkey')} AS schema_name,
  CASE WHEN p_size % 6 = 3 THEN p_size * 10 END AS char_length, p_size % 2 = 0 AS nullable,
  CASE WHEN p_size % 12 = 4 THEN 'auto_increment' ELSE '' END AS extra,
  CASE WHEN p_size % 13 = 0 THEN concat('c1 + ', CAST(p_size AS string)) ELSE '' END AS generation_expr,
- CASE WHEN p_size % 6 = 1 THEN 'utf8' END AS collation,
+ CASE WHEN p_size % 6 = 4 THEN p_size % 10 + 5 END AS num_precision, CASE WHEN p_size % 12 = 4 THEN 0 WHEN p_size % 6 = 4 THEN 2 END AS num_scale,
+ CASE WHEN p_size % 5 = 0 THEN concat('d', CAST(p_size AS string)) END AS default_value, CASE WHEN p_size % 7 = 0 THEN 'PRI' WHEN p_size % 7 = 1 THEN 'MUL' ELSE '' END AS key,
+ CASE WHEN p_size % 6 = 1 THEN 'utf8mb4' END AS charset, CASE WHEN p_size % 6 = 1 THEN 'utf8' END AS collation,
  CASE WHEN p_size % 6 = 2 THEN 'c IS JSON' END AS check_expr FROM part""",
     "objects": f"""
 SELECT {_place('n')}, concat('s', CAST(n % 2 AS string)) AS schema_name, concat('r', CAST(n AS string)) AS object_name,
@@ -230,6 +234,12 @@ SELECT {_SERVER.format('o_custkey')} AS server, {_DATABASE.format('o_custkey')}
 }
 
 
+#: Facts that are a history in themselves.
+SERIES = ["metric_samples", "storage_snapshots", "backups", "job_runs", "backup_databases"]
+#: Whether derived facts carry older snapshots.
+HISTORY: ContextVar[bool] = ContextVar("HISTORY", default=False)
+
+
 def read_sources(spark: SparkSession, folder: str) -> None:
     """Register the source tables of a folder as temporary views."""
     for name in SOURCES:
@@ -246,7 +256,8 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     for table in SOURCES:
         if table in text:
             source(spark, folder, table).createOrReplaceTempView(table)
-    return spark.sql(text)
+    found = spark.sql(text)
+    return with_history(found) if HISTORY.get() and name in DERIVED and name not in SERIES else found
 
 
 def with_facts(sql: str) -> str:
@@ -260,6 +271,20 @@ def with_facts(sql: str) -> str:
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
 
 
-def at_snapshot(fact: DataFrame, ts: str) -> DataFrame:
-    """One snapshot of a fact table; a plain comparison, so it prunes and pushes down."""
-    return fact.filter(F.col("snapshot_ts") == F.lit(ts).cast("timestamp"))
+def with_history(fact: DataFrame) -> DataFrame:
+    """A derived fact as the latest of three snapshots per server, taken at a time of its own.
+
+    The older ones hold half of the rows with other numbers, and all of the rows with other states, so a report
+    that adds up or joins across snapshots gives something else.
+    """
+    hours = F.pmod(F.xxhash64("server"), F.lit(48)).cast("int")
+    now = F.timestamp_add("HOUR", hours, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    numbers = [f.name for f in fact.schema.fields if f.dataType.simpleString() in ("bigint", "double", "int") and f.name not in ("position", "session_id", "lock_id", "trx_id", "query_id", "user_id")]
+    texts = [f.name for f in fact.schema.fields if f.name in ("state", "lock_status", "comment", "engine", "tablespace", "data_type", "object_type", "value")]
+    shrunk = {c: (F.col(c) / 2).cast(fact.schema[c].dataType) for c in numbers}
+    changed = {c: F.lit("old").cast(fact.schema[c].dataType) for c in texts if fact.schema[c].dataType.simpleString() == "string"}
+    latest = fact.withColumn("snapshot_ts", now)
+    day, two = (F.timestamp_add("HOUR", F.lit(-24 * k), now) for k in (1, 2))
+    older = fact.withColumns({**shrunk, "snapshot_ts": day}).filter(F.pmod(F.xxhash64(*[c for c in fact.columns if c not in numbers][:4]), F.lit(2)) == 0)
+    oldest = fact.withColumns({**changed, "snapshot_ts": two})
+    return latest.unionByName(older).unionByName(oldest)

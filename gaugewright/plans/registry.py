@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .facts import with_facts
+from .facts import DERIVED, HISTORY, SERIES, with_facts
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,29 @@ def query(name: str, operators: str, sql: str | None = None) -> Callable[[Run],
     return register
 
 
+def add_history() -> None:
+    """For every query over state facts a second one over the same facts with older snapshots: the same rows are due."""
+    for name, q in list(QUERIES.items()):
+        used = [f for f in DERIVED if f not in SERIES and q.sql and f"fact_{f} AS" in q.sql]
+        if used and not name.startswith("history_") and name not in WITHOUT_HISTORY:
+            QUERIES[f"history_{name}"] = Query(_in_history(q.run), q.operators, q.sql)
+
+
+#: Queries that already hand over a part of a fact, or write it down, before the operator sees it.
+WITHOUT_HISTORY = ["storage_fan_out", "health_summary", "insight_text"]
+
+
+def _in_history(run: Run) -> Run:
+    def with_history(spark: SparkSession, folder: str) -> DataFrame:
+        token = HISTORY.set(True)
+        try:
+            return run(spark, folder)
+        finally:
+            HISTORY.reset(token)
+
+    return with_history
+
+
 def rnd(x: str, digits: int) -> str:
     """SQL text rounding half to even in double arithmetic, as ``functions.text.rounded`` does."""
     return f"(round_even(CAST({x} AS DOUBLE) * 1e{digits}, 0) / 1e{digits})"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import status as T
 from ..functions import text as X
 from ..functions.fixed_values import BENIGN_WAITS
+from ..functions.wording import (
+    BLOCKED_NEVER, BLOCKED_NOW, CPU_RULES, CPU_STATE, IO_RULES, QUERY_STATE, TABLE_STATE, TOP_CACHE, TOP_CPU, TOP_IO, TOP_TABLE, TOP_WAITS, WAIT_STATE, sentence_sql,
+)
 from ..operators import kpi as K
 from ..operators import operations as O
 from ..operators import sessions as N
@@ -37,7 +40,7 @@ def _top(measure: str, n: int, where: str = "true") -> str:
 
 
 @query("workload_slow", "M1 X5", f"""
-SELECT {STATEMENT}, {cut_sql('query_text', 60)} AS query_text, calls, {rnd('total_ms / 1000.0', 4)} AS total_seconds,
+SELECT {STATEMENT}, query_text, {cut_sql('query_text', 60)} AS query_label, calls, {rnd('total_ms / 1000.0', 4)} AS total_seconds,
  {rnd('total_ms / 1000.0 / CAST(calls AS DOUBLE)', 6)} AS avg_seconds, {big('rows_examined')} AS rows_examined, {big('rows_sent')} AS rows_sent
  FROM {_top('total_ms', 50, 'total_ms >= 10')} t""")
 def workload_slow(spark, folder):
@@ -52,13 +55,13 @@ def workload_top_cpu(spark, folder):
 
 
 @query("workload_examined", "M3", f"""
-SELECT {STATEMENT}, {cut_sql('query_text', 60)} AS query_text, calls, rows_examined, {rnd('CAST(rows_examined AS DOUBLE) / CAST(calls AS DOUBLE)', 2)} AS avg_rows_examined
+SELECT {STATEMENT}, query_text, {cut_sql('query_text', 60)} AS query_label, calls, rows_examined, {rnd('CAST(rows_examined AS DOUBLE) / CAST(calls AS DOUBLE)', 2)} AS avg_rows_examined
  FROM {_top('rows_examined', 50)} t""")
 def workload_examined(spark, folder):
     return M.high_examined_statements(derived(spark, folder, "statements"))
 
 
-@query("workload_frequent", "M4", f"SELECT {STATEMENT}, {cut_sql('query_text', 60)} AS query_text, calls FROM {_top('calls', 50)} t")
+@query("workload_frequent", "M4", f"SELECT {STATEMENT}, query_text, {cut_sql('query_text', 60)} AS query_label, calls FROM {_top('calls', 50)} t")
 def workload_frequent(spark, folder):
     return M.frequent_statements(derived(spark, folder, "statements"))
 
@@ -186,9 +189,9 @@ def session_locks(spark, folder):
 
 
 @query("session_lock_waits", "N5", """
-SELECT w.server, w.id1, w.id2, w.lock_id, w.session_id AS waiting_session, holder_count, first_holder FROM fact_locks w JOIN
- (SELECT server, id1, id2, count(DISTINCT session_id) AS holder_count, min(session_id) AS first_holder FROM fact_locks WHERE lock_status = 'GRANTED' GROUP BY server, id1, id2) h
- ON h.server = w.server AND h.id1 = w.id1 AND h.id2 = w.id2 WHERE w.lock_status = 'WAITING'""")
+SELECT w.server, w.id1, w.id2, w.lock_id, w.session_id AS waiting_session, count(DISTINCT h.session_id) AS holder_count, min(h.session_id) AS first_holder
+ FROM fact_locks w JOIN fact_locks h ON h.server = w.server AND h.id1 IS NOT DISTINCT FROM w.id1 AND h.id2 IS NOT DISTINCT FROM w.id2 AND h.session_id <> w.session_id AND h.lock_status = 'GRANTED'
+ WHERE w.lock_status = 'WAITING' GROUP BY ALL""")
 def session_lock_waits(spark, folder):
     return N.lock_waits(derived(spark, folder, "locks"))
 
@@ -354,27 +357,26 @@ def trend_change(spark, folder):
     return trend.select("server", "metric", "start", "current", "pct_change")
 
 
-@query("trend_insight_cpu", "R4", f"""
-SELECT server, metric, CASE WHEN peak >= 80 AND current >= 60 THEN 1 WHEN current - start >= 8 THEN 2 WHEN start - current >= 8 THEN 3 WHEN peak - avg >= 12 THEN 4 WHEN avg < 35 THEN 5 ELSE 6 END AS rule,
- CASE WHEN peak >= 80 AND current >= 60 THEN 'CPU utilization remained above the configured warning threshold for the selected period and peaked at ' || peak || '% at ' || peak_time || '.'
- WHEN current - start >= 8 THEN 'CPU utilization increased from ' || start || '% to ' || current || '% during last 24 hours, reaching a peak of ' || peak || '%.'
- WHEN start - current >= 8 THEN 'CPU utilization decreased from ' || start || '% to ' || current || '% during last 24 hours, with an average of ' || avg || '%.'
- WHEN peak - avg >= 12 THEN 'CPU utilization reached a peak of ' || peak || '% at ' || peak_time || ', while the current utilization is ' || current || '%.'
- WHEN avg < 35 THEN 'CPU utilization remained steady at an average of ' || avg || '% during last 24 hours (no workload changes detected).'
- ELSE 'CPU utilization is currently ' || current || '%, with an average of ' || avg || '% over last 24 hours. Utilization remained stable.' END AS insight FROM {_TREND} t""")
+def _rules_sql(tests: list[str], templates: dict[int, str], values: dict[str, str]) -> str:
+    """The first rule that fits, and its sentence."""
+    rule = " ".join(f"WHEN {t} THEN {k}" for k, t in enumerate(tests, start=1))
+    text = " ".join(f"WHEN {t} THEN {sentence_sql(templates[k], **values)}" for k, t in enumerate(tests, start=1))
+    return f"CASE {rule} END AS rule, CASE {text} END AS insight"
+
+
+_PERIOD = "'last 24 hours'"
+_TREND_VALUES = {n: n for n in ("current", "avg", "peak", "start", "peak_time")} | {"period": _PERIOD, "change": "pct_change", "drop": "abs(pct_change)"}
+_CPU_TESTS = ["peak >= 80 AND current >= 60", "current - start >= 8", "start - current >= 8", "peak - avg >= 12", "avg < 35", "true"]
+_IO_TESTS = ["avg > 0 AND peak >= floor(avg * 1.35)", "pct_change >= 15", "pct_change <= -15", "current > 3000", "avg > 4000", "true"]
+
+
+@query("trend_insight_cpu", "R4", f"SELECT server, metric, {_rules_sql(_CPU_TESTS, CPU_RULES, _TREND_VALUES)} FROM {_TREND} t")
 def trend_insight_cpu(spark, folder):
     trend = R.metric_trend(derived(spark, folder, "metric_samples"), "24h", AS_OF)
     return R.cpu_insight(trend, "24h").select("server", "metric", "rule", "insight")
 
 
-@query("trend_insight_io", "R4", f"""
-SELECT server, metric, CASE WHEN avg > 0 AND peak >= floor(avg * 1.35) THEN 1 WHEN pct_change >= 15 THEN 2 WHEN pct_change <= -15 THEN 3 WHEN current > 3000 THEN 4 WHEN avg > 4000 THEN 5 ELSE 6 END AS rule,
- CASE WHEN avg > 0 AND peak >= floor(avg * 1.35) THEN 'I/O activity peaked at ' || peak || ' IOPS at ' || peak_time || ', above the period average of ' || avg || ' IOPS.'
- WHEN pct_change >= 15 THEN 'I/O activity increased by ' || pct_change || '% during last 24 hours, reaching a peak of ' || peak || ' IOPS.'
- WHEN pct_change <= -15 THEN 'I/O activity decreased by ' || abs(pct_change) || '% from ' || start || ' to ' || current || ' IOPS during last 24 hours.'
- WHEN current > 3000 THEN 'I/O activity is currently ' || current || ' IOPS and is above the configured warning threshold.'
- WHEN avg > 4000 THEN 'I/O activity remained consistently high, averaging ' || avg || ' IOPS during last 24 hours.'
- ELSE 'I/O activity remained stable at an average of ' || avg || ' IOPS during last 24 hours (no workload changes detected).' END AS insight FROM {_CHANGE} t""")
+@query("trend_insight_io", "R4", f"SELECT server, metric, {_rules_sql(_IO_TESTS, IO_RULES, _TREND_VALUES)} FROM {_CHANGE} t")
 def trend_insight_io(spark, folder):
     trend = R.trend_change(R.metric_trend(derived(spark, folder, "metric_samples"), "24h", AS_OF))
     return R.io_insight(trend, "24h").select("server", "metric", "rule", "insight")
@@ -392,29 +394,39 @@ def trend_rw_split(spark, folder):
 _WORST = "greatest(CASE WHEN blocked > 5 THEN 3 WHEN blocked > 0 THEN 2 ELSE 0 END, CASE WHEN value < 60 THEN 0 WHEN value < 80 THEN 1 WHEN value < 90 THEN 2 ELSE 3 END)"
 
 
+_TOP_QUERY = f"(SELECT * FROM (SELECT server, query_text, {rnd('total_ms', 2)} AS cpu_ms, row_number() OVER (PARTITION BY server ORDER BY total_ms DESC, database_name, query_id) AS k FROM fact_statements) q WHERE k = 1)"
+_TOP_WAIT = """(SELECT server, wait_event FROM (SELECT server, wait_event, row_number() OVER (PARTITION BY server ORDER BY ms DESC, wait_event) AS k FROM
+ (SELECT server, wait_event, sum(CAST(wait_ms AS DECIMAL(28,4))) AS ms FROM fact_waits WHERE wait_class <> 'Idle' GROUP BY server, wait_event) w) x WHERE k = 1)"""
+_TOP_TABLE = f"(SELECT server, table_name, CAST(data_bytes + index_bytes AS DOUBLE) AS b FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY data_bytes + index_bytes DESC, {TABLE}) AS k FROM {USER_TABLES} t) x WHERE k = 1)"
+
+
 @query("health_summary", "R6 R1", f"""
 SELECT server, CASE {_WORST} WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN 'Elevated' ELSE 'Healthy' END AS overall_status,
- CASE WHEN blocked > 0 THEN 'Critical: ' || blocked || ' session(s) are currently blocked waiting for locks (Peaked at ' || blocked || ' in Last 24 Hours).'
- ELSE 'No blocking sessions or lock contention currently detected during last 24 hours.' END || ' / CPU utilization is currently ' ||
- lower({_four('value')}) || ' at ' || value || '% (Period Avg: ' || value || '%, Peak: ' || value || '% in last 24 hours).' AS findings FROM {_CPU} c FULL JOIN {_BLOCKED} b USING (server)""")
+ concat_ws(' / ', CASE WHEN blocked > 0 THEN {sentence_sql(BLOCKED_NOW, blocked='blocked', peak='blocked', period=_PERIOD)} ELSE {sentence_sql(BLOCKED_NEVER, period=_PERIOD)} END,
+ {sentence_sql(CPU_STATE, status=f"lower({_four('value')})", cpu='value', avg='value', peak='value', period=_PERIOD)},
+ {sentence_sql(QUERY_STATE, query="left(query_text, 30) || '...'", ms="format('{:,.2f}', cpu_ms)", period=_PERIOD)},
+ {sentence_sql(WAIT_STATE, event='wait_event', period=_PERIOD)}, {sentence_sql(TABLE_STATE, table='table_name', size=_SIZE_TEXT, period=_PERIOD)}) AS findings
+ FROM {_CPU} c FULL JOIN {_BLOCKED} b USING (server) LEFT JOIN {_TOP_QUERY} q USING (server) LEFT JOIN {_TOP_WAIT} w USING (server) LEFT JOIN {_TOP_TABLE} l USING (server)""")
 def health_summary(spark, folder):
-    cpu = K.cpu_kpi(derived(spark, folder, "statements")).select(
-        "server", "value", F.col("value").alias("avg"), F.col("value").alias("peak")
+    statements, waits, tables = (derived(spark, folder, n) for n in ("statements", "waits", "tables"))
+    cpu = K.cpu_kpi(statements).select("server", "value", F.col("value").alias("avg"), F.col("value").alias("peak"))
+    found = R.health_summary(
+        cpu, K.blocked_kpi(derived(spark, folder, "locks")), "24h",
+        M.top_statement_per_server(statements), M.top_wait_per_server(waits), G.largest_per_server(tables),
     )
-    found = R.health_summary(cpu, K.blocked_kpi(derived(spark, folder, "locks")), "24h")
     return found.withColumn("findings", F.array_join("findings", " / "))
 
 
 @query("insight_text", "R8 R10", f"""
-SELECT 'cpu' AS topic, '''' || left(query_text, 30) || '...'' consumed ' || format('{{:,.2f}}', total_ms) || ' ms, accounting for ' || cpu_pct || '% of total query CPU consumption across ' || format('{{:,}}', calls) || ' executions during the selected period.' AS insight
+SELECT 'cpu' AS topic, {sentence_sql(TOP_CPU, query="left(query_text, 30) || '...'", ms="format('{:,.2f}', total_ms)", share='cpu_pct', calls="format('{:,}', calls)")} AS insight
  FROM (SELECT *, {share('total_ms', 'cpu_pct')} FROM {_top('total_ms', 10)} t ORDER BY total_ms DESC, query_id LIMIT 1) a
-UNION ALL SELECT 'io', '''' || left(query_text, 30) || '...'' generated ' || format('{{:,}}', o) || ' operations during the selected period, accounting for ' || io_pct || '% of total measured I/O activity.'
+UNION ALL SELECT 'io', {sentence_sql(TOP_IO, entity="left(query_text, 30) || '...'", operations="format('{:,}', o)", share='io_pct')}
  FROM (SELECT *, {big('reads + writes')} AS o, {share('(reads + writes)', 'io_pct')} FROM {_top('(reads + writes)', 10)} t ORDER BY reads + writes DESC, query_text LIMIT 1) b
-UNION ALL SELECT 'waits', string_agg('''' || wait_event || ''' (' || wait_pct || '%)', ' and ' ORDER BY wait_ms DESC) || ' accounted for the highest wait activity during last 24 hours.'
- FROM (SELECT *, {share('wait_ms', 'wait_pct')} FROM {_TOP_WAITS} w ORDER BY wait_ms DESC LIMIT 2) c
-UNION ALL SELECT 'cache', 'Cache hit ratio of ' || server || ' is currently ' || hit_pct || '%, indicating that ' || hit_pct || '% of data requests were served directly from memory (' || {rnd('100.0 - hit_pct', 1)} || '% miss ratio).'
+UNION ALL SELECT 'waits', {sentence_sql(TOP_WAITS, first='max(wait_event) FILTER (k = 1)', first_share='max(wait_pct) FILTER (k = 1)', second='max(wait_event) FILTER (k = 2)', second_share='max(wait_pct) FILTER (k = 2)', period=_PERIOD)}
+ FROM (SELECT *, {share('wait_ms', 'wait_pct')}, row_number() OVER (ORDER BY wait_ms DESC, wait_event) AS k FROM {_TOP_WAITS} w) c
+UNION ALL SELECT 'cache', {sentence_sql(TOP_CACHE, server='server', hit='hit_pct', miss=rnd('100.0 - hit_pct', 1))}
  FROM (SELECT * FROM {_CACHE} c ORDER BY hit_pct, server LIMIT 1) d
-UNION ALL SELECT 'tables', '''' || schema_name || '.' || table_name || ''' is the largest table at ' || {_SIZE_TEXT} || '.' FROM (SELECT *, CAST(data_bytes + index_bytes AS DOUBLE) AS b FROM {USER_TABLES} t ORDER BY b DESC, {TABLE} LIMIT 1) e""")
+UNION ALL SELECT 'tables', {sentence_sql(TOP_TABLE, table="schema_name || '.' || table_name", size=_SIZE_TEXT)} FROM (SELECT *, CAST(data_bytes + index_bytes AS DOUBLE) AS b FROM {USER_TABLES} t ORDER BY b DESC, {TABLE} LIMIT 1) e""")
 def insight_text(spark, folder):
     statements, io = derived(spark, folder, "statements"), derived(spark, folder, "object_io")
     return R.top_insights(

@@ -9,9 +9,10 @@ from gaugewright.operators import catalogue as C
 from gaugewright.operators import kpi as K
 from gaugewright.operators import relations as L
 from gaugewright.operators import sessions as N
+from gaugewright.operators import storage as G
 from gaugewright.operators import trends as R
 from gaugewright.operators import workload as M
-from gaugewright.operators.lists import name_lists
+from gaugewright.functions.fixed_values import STANDALONE
 from gaugewright.plans.facts import DERIVED, SCHEMAS
 
 
@@ -21,15 +22,17 @@ def test_fact_schemas_parse(spark, name):
     assert {"server", "database_name", "snapshot_ts"} <= set(df.columns)
 
 
-def test_a_hot_key_gets_its_whole_list_in_parts(spark):
-    hot = spark.range(3000).select(F.lit("hot").alias("k"), F.format_string("t%05d", "id").alias("item"))
-    cold = spark.createDataFrame([("cold", "b"), ("cold", "a"), ("cold", "a")], "k string, item string")
-    lists = name_lists(hot.union(hot).union(cold), ["k"], "item", "names", longest=100).collect()
-    assert [tuple(r) for r in lists if r["k"] == "cold"] == [("cold", 2, 0, "a, b")]
-    parts = [r["names"].split(", ") for r in lists if r["k"] == "hot"]
-    assert all(r["item_count"] == 3000 for r in lists if r["k"] == "hot")
-    assert sorted(n for p in parts for n in p) == [f"t{i:05d}" for i in range(3000)]
-    assert all(p == sorted(p) for p in parts) and max(map(len, parts)) < 200 and len(parts) == 30
+FK = "server string, database_name string, constraint_name string, child_schema string, child_table string, child_column string, parent_schema string, parent_table string, parent_column string, position int"
+
+
+def test_a_parent_of_very_many_has_one_row(spark):
+    n = F.format_string("t%05d", "id")
+    fk = spark.range(2500).select(
+        F.lit("s").alias("server"), F.lit("d").alias("database_name"), n.alias("constraint_name"), F.lit("p").alias("child_schema"), n.alias("child_table"),
+        F.lit("c").alias("child_column"), F.lit("p").alias("parent_schema"), F.lit("hub").alias("parent_table"), F.lit("k").alias("parent_column"), F.lit(1).alias("position"),
+    )
+    assert [tuple(r)[2:] for r in L.parent_tables(fk.union(fk)).collect()] == [("p", "hub", 2500, 2500)]
+    assert L.related_tables(fk.union(fk)).count() == 2500
 
 
 INDEX_ROW = "server string, database_name string, schema_name string, table_name string, index_name string, column_name string, position int, is_unique boolean, is_primary boolean, is_disabled boolean, index_type string, index_bytes bigint"
@@ -43,8 +46,9 @@ def test_duplicate_and_overlapping_indexes(rows):
     data = index("a", "xy") + index("b", "xy") + index("c", "xyz") + index("d", "yx") + index("e", "xy", "other")
     got = {(r["kind"], r["column_list"]): r for r in L.duplicate_indexes(rows(data, INDEX_ROW)).collect()}
     assert set(got) == {("duplicate", "x, y"), ("prefix overlap", "x, y")}
-    assert got[("duplicate", "x, y")]["index_list"] == "a, b"
-    assert (got[("prefix overlap", "x, y")]["index_count"], got[("prefix overlap", "x, y")]["longer_example"]) == (1, "c")
+    assert (got[("duplicate", "x, y")]["index_count"], got[("duplicate", "x, y")]["example"]) == (2, "a")
+    assert (got[("prefix overlap", "x, y")]["index_count"], got[("prefix overlap", "x, y")]["example"]) == (1, "c")
+    assert sorted(r["index_name"] for r in L.duplicate_index_names(rows(data, INDEX_ROW)).collect()) == ["a", "b"]
 
 
 def test_copies_of_catalogue_rows_change_nothing(rows):
@@ -64,7 +68,7 @@ def test_code_dependencies_match_whole_words(rows):
     tables = rows([("s", "d", "p", t) for t in ("ORDERS", "order_lines", "lines", "my-table")], "server string, database_name string, schema_name string, table_name string")
     got = {(r["object_name"], r["referenced_object"]) for r in C.code_dependencies(objects, tables).collect()}
     assert got == {
-        ("f1", "p.ORDERS"), ("f1", "p.order_lines"), ("f2", "p.my-table"), ("f3", C.STANDALONE), ("f4", C.STANDALONE),
+        ("f1", "p.ORDERS"), ("f1", "p.order_lines"), ("f2", "p.my-table"), ("f3", STANDALONE), ("f4", STANDALONE),
     }
 
 
@@ -101,7 +105,7 @@ def test_trend_buckets(rows):
     assert t["values"] == [15.0, 90.0] + [None] * 9 + [70.0]
     assert (t["start"], t["current"], t["peak"], t["min"], t["avg"], t["peak_time"]) == (15.0, 70.0, 90.0, 15.0, 58.3, "00:05")
     insight = R.cpu_insight(R.metric_trend(df, "1h", "2024-01-01 01:00:00"), "1h").first()
-    assert insight["rule"] == 1 and insight["insight"].endswith("peaked at 90.0% at 00:05.")
+    assert insight["rule"] == 1 and insight["insight"].endswith("its peak was 90.0% at 00:05.")
 
 
 def test_trend_filter_reaches_the_scan(spark, tmp_path):
@@ -133,7 +137,7 @@ def test_blocked_peak_and_health(rows):
     table = rows([("a", "t1", 3 * 1024**3)], "server string, table_name string, total_bytes bigint")
     health = {r["server"]: r for r in R.health_summary(cpu, blocked, "1h", top_table=table).collect()}
     assert {k: r["overall_status"] for k, r in health.items()} == {"a": "High", "b": "Elevated", "c": "Critical"}
-    assert health["a"]["findings"][-1] == "Largest storage footprint table is 't1' at 3.00 GB in last 1 hour."
+    assert health["a"]["findings"][-1] == "The largest table over last 1 hour is 't1' with 3.00 GB."
     assert len(health["b"]["findings"]) == 2
 
 
@@ -158,3 +162,54 @@ def test_all_reports_run_on_empty_facts(spark, tmp_path):
     errors = [r for r in collect_all(spark, ready, str(tmp_path), threads=8).collect() if r["error"]]
     assert errors == []
     assert set(reports({"tables": facts["tables"]})) >= {"table_storage"} and "fk_graph" not in reports({"tables": facts["tables"]})
+
+
+def test_reports_read_the_latest_snapshot(spark):
+    one, two = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    tables = spark.createDataFrame(
+        [("s", "d", one, "p", "a", 10), ("s", "d", two, "p", "a", 20), ("s", "d", one, "p", "gone", 5), ("r", "d", one, "p", "b", 7)],
+        "server string, database_name string, snapshot_ts timestamp, schema_name string, table_name string, data_bytes bigint",
+    ).withColumns({"index_bytes": F.lit(0).cast("bigint"), "row_count": F.lit(1).cast("bigint")})
+    assert {(r["server"], r["table_name"], r["total_bytes"]) for r in G.top_largest(tables).collect()} == {("s", "a", 20), ("r", "b", 7)}
+    assert {r["server"]: r["total_bytes"] for r in K.storage_kpi(tables).collect()} == {"s": 20, "r": 7}
+    sessions = spark.createDataFrame(
+        [("s", t, 1, 5, "active", None) for t in (one, two)] + [("s", t, 2, 6, "idle", [1]) for t in (one, two)],
+        "server string, snapshot_ts timestamp, session_id bigint, user_id bigint, state string, blocked_by array<bigint>",
+    )
+    assert N.blocking_sessions(sessions).count() == 1
+    gauges = spark.createDataFrame(
+        [("s", t, m, v) for t, m, v in ((one, "threads_connected", 50), (two, "threads_connected", 60), (one, "max_connections", 100), (two, "max_connections", 100))],
+        "server string, snapshot_ts timestamp, metric string, value bigint",
+    )
+    assert K.connections_kpi(gauges).first()["used_pct"] == 60.0
+
+
+def test_missing_flags_classes_and_schemas_lose_no_rows(rows):
+    waits = rows([(None, "lock/x", 1, 5.0), ("Idle", "nap", 1, 9.0)], "wait_class string, wait_event string, wait_count bigint, wait_ms double")
+    assert [r["wait_event"] for r in M.top_wait_events(waits).collect()] == ["lock/x"]
+    objects = rows([("s", "d", None, "f", "FUNCTION", "select 1 from t", None)], "server string, database_name string, schema_name string, object_name string, object_type string, body string, is_extension boolean")
+    tables = rows([("s", "d", None, "t", "BASE TABLE")], "server string, database_name string, schema_name string, table_name string, table_type string")
+    assert C.routines(objects).count() == 1
+    assert C.code_dependencies(objects, tables).first()["referenced_object"] == ".t"
+    assert G.list_tables(tables).count() == 1 and L.tables_without_pk(tables, rows([], INDEX_ROW)).count() == 1
+    keys = rows([("s", "d", None, "t", "pk", "c", 1, True, True, False, "BTREE", 1), ("s", "d", None, "t", "ix", "c", 1, None, None, None, "BTREE", 1)], INDEX_ROW)
+    assert L.tables_without_pk(tables, keys).count() == 0
+    assert [r["index_name"] for r in L.unused_indexes(keys, rows([], "server string, database_name string, schema_name string, object_name string, index_name string, reads bigint, writes bigint")).collect()] == ["ix"]
+
+
+def test_system_names_are_those_of_the_platform(rows):
+    schema = "server string, database_name string, platform string, schema_name string, table_name string, table_type string"
+    tables = rows([("s", "d", "mysql", "model", "t", "BASE TABLE"), ("s", "d", "postgres", "sys", "t", "BASE TABLE"), ("s", "model", "sqlserver", "dbo", "t", "BASE TABLE"), ("s", "d", "mysql", "sys", "t", "BASE TABLE"), ("s", "d", "postgres", "pg_x", "t", "BASE TABLE")], schema)
+    assert sorted(r["schema_name"] for r in G.list_tables(tables).collect()) == ["model", "sys"]
+
+
+def test_table_names_of_any_script_are_found(rows):
+    objects = rows([("s", "d", "p", "f", "FUNCTION", "select * from 表 join größe", False)], "server string, database_name string, schema_name string, object_name string, object_type string, body string, is_extension boolean")
+    tables = rows([("s", "d", "p", "表"), ("s", "d", "p", "Größe"), ("s", "d", "p", "gr")], "server string, database_name string, schema_name string, table_name string")
+    assert {r["referenced_object"] for r in C.code_dependencies(objects, tables).collect()} == {"p.表", "p.Größe"}
+
+
+def test_a_waiter_is_not_its_own_holder(rows):
+    schema = "server string, id1 bigint, id2 bigint, lock_id bigint, session_id bigint, lock_status string"
+    locks = rows([("s", 1, None, 1, 7, "GRANTED"), ("s", 1, None, 2, 7, "WAITING"), ("s", 1, None, 3, 9, "GRANTED"), ("s", 2, 1, 4, 7, "GRANTED"), ("s", 2, 1, 5, 7, "WAITING")], schema)
+    assert [(r["lock_id"], r["holder_count"], r["first_holder"]) for r in N.lock_waits(locks).collect()] == [(2, 1, 9)]
