@@ -43,6 +43,8 @@ COLUMNS_PER_HISTOGRAM = 32
 
 LONGEST_VALUE, KEPT_CHARACTERS = 100, 97
 TOP_VALUES = 10
+# Values tracked by a frequent-item sketch.
+SKETCHED_VALUES = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 STATISTICS = [
@@ -356,8 +358,8 @@ def _quartiles(
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, completeness, distinct values, statistics and top values.
 
-    Exact by default. ``approximate`` replaces distinct counts by the sketch of the first pass and
-    quartiles by ``percentile_approx``; top values stay exact. Statistics are doubles, rounded to four
+    Exact by default. ``approximate`` takes distinct counts, quartiles and top values from sketches of
+    fixed size, and shuffles no values. Statistics are doubles, rounded to four
     places for display; whole numbers beyond 2^53 lose their last digits in them.
     """
     return full_profile(df, approximate).drop("raw")
@@ -384,7 +386,7 @@ def full_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         "total_rows bigint, non_null_count bigint, missing_count bigint, approx_distinct bigint, is_complex boolean, "
         "min double, max double, mean double, variance double, skewness double, kurtosis double",
     )
-    histograms = histograms_of(clean, evidence)
+    histograms = [] if approximate else histograms_of(clean, evidence)
     if not approximate:
         # Narrowing reads the histograms of numbers several times.
         histograms = [
@@ -394,13 +396,13 @@ def full_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
     # One row per column on every side.
     parts = {
-        "unique_count": None if approximate or not histograms else distinct_values(histograms),
+        "unique_count": distinct_values(histograms) if histograms else None,
         "quartiles": quartiles,
         "top": top_values(histograms)
         .groupBy("position")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
         if histograms
-        else None,
+        else _sketched_top(clean, evidence) if approximate else None,
     }
     types = {"quartiles": "array<double>", "top": "array<struct<rank:int,value:string,count:bigint>>"}
     for name, part in parts.items():
@@ -469,6 +471,25 @@ def _sketched_quartiles(
     return _union(branches) if branches else None
 
 
+def _sketched_top(clean: DataFrame, evidence: list[ColumnEvidence]) -> DataFrame | None:
+    """(position, top) from frequent-item sketches of bounded size, one per column."""
+    branches = []
+    for e in evidence:
+        if e.kind == "complex" or not e.filled:
+            continue
+        storage = _storage_class(e)
+        names = KEYS[storage]
+        key = _key_columns(e, names)[names.index("text_value") if "text_value" in names else 0]
+        found = F.filter(F.expr(f"approx_top_k({key}, {TOP_VALUES + 1}, {SKETCHED_VALUES})"), lambda t: t["item"].isNotNull())
+        shown = lambda x: plain_number(x) if storage == "float" else x.cast("string")
+        top = F.transform(
+            F.slice(found, 1, TOP_VALUES),
+            lambda t, i: F.struct((i + 1).alias("rank"), shown(t["item"]).alias("value"), t["count"].alias("count")),
+        )
+        branches.append(clean.agg(top.alias("top")).select(F.lit(e.position).alias("position"), "top"))
+    return _union(branches) if branches else None
+
+
 def numeric_stats(df: DataFrame) -> DataFrame:
     """The statistics of the numeric columns, one column each."""
     return (

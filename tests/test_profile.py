@@ -207,6 +207,14 @@ def test_approximate_profile(spark):
     assert abs(p["unique_count"] - 20000) < 3000 and abs(p["statistics"]["median"] - 5000) < 5
 
 
+def test_approximate_top_values_without_a_histogram(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 1.5).otherwise(F.col("id") + 0.25).alias("x"), F.concat(F.lit("v"), F.col("id") % 4).alias("t"), F.lit(None).cast("int").alias("n"))
+    p = {r["column_name"]: r for r in P.profile(df, approximate=True).collect()}
+    assert (p["x"]["distribution"][0]["value"], p["x"]["distribution"][0]["count"]) == ("1.5", 3000)
+    assert sorted((d["value"], d["count"]) for d in p["t"]["distribution"]) == [(f"v{i}", 2250) for i in range(4)]
+    assert p["n"]["distribution"] == []
+
+
 def test_plan_has_group_limit_and_no_python(spark):
     df = spark.range(1000).select("id", F.concat(F.lit("v"), F.col("id") % 5).alias("t"))
     plan = P.distribution(df)._jdf.queryExecution().executedPlan().toString()
