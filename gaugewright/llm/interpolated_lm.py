@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 from .text import mix, slices
 
-ORDER = 3
-BLOCK_TOKENS = 1_500_000
-BUCKET_GRAMS = 2_000_000
+ORDER = 2
+BLOCK_TOKENS = 500_000
+BUCKET_GRAMS = 1_200_000
 #: One training document in this many is held out for the weights.
 HELD_OUT = 40
 ROUNDS = 30

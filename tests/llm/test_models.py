@@ -71,12 +71,13 @@ def words_of(text):
     return low.encode().split() + ["END"]
 
 
-def test_model_scores_by_hand(spark, frame, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_model_scores_by_hand(spark, frame, monkeypatch, order):
     monkeypatch.setattr(interpolated_lm, "BLOCK_TOKENS", 300)
     texts = ["the cat sat on the mat", "The cat ran\tfar", "", None, "a b c d " * 40, "x", "the dog\x0bsat"] * 6
     rows = [(k, t, k % 5 != 0, 1.0) for k, t in enumerate(texts)]
     docs = frame(rows, "doc_id bigint, text string, learns boolean, score double")
-    got = {r.doc_id: r for r in interpolated_lm.score(docs, F.col("learns")).collect()}
+    got = {r.doc_id: r for r in interpolated_lm.score(docs, F.col("learns"), order).collect()}
     counts = Counter(w for _, t, learns, _ in rows if learns for w in words_of(t))
     n, v = sum(counts.values()), len(counts)
     for k, t, _, _ in rows:
