@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 from .interpolated_lm import pack, planes, unpack, unplanes
-from .suffix_array import maximal_repeats
+from .suffix_array import later_members
 from .text import mix, slices
 
 LENGTH, ANCHOR = 100, 36
 SPAN = LENGTH - ANCHOR  # an anchor stands at most this far from the start of its stretch
 CONTEXT = SPAN + LENGTH
-PIECE = 1 << 20
+PIECE = 1 << 17
 GAP = 256
-ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET = 1_000_000, 1_000_000
-ENDS_PER_BUCKET = 60_000
-ROWS_SORTED = 200_000
+ANCHORS_AT_ONCE, ANCHORS_PER_BUCKET = 120_000, 200_000
+ENDS_PER_BUCKET = 20_000
+ROWS_SORTED = 40_000
+BYTES_AT_ONCE = 2 << 20
 NO_ID = -(1 << 63)
 
 _DRAW = np.random.default_rng(20)
@@ -156,7 +157,7 @@ def _packets(buckets: int):
                 columns += [planes(h[own], 8) if b >= 0 else b"", planes(c[own] >> np.uint64(8), 7) if b >= 0 else b""]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], names=["bucket", "hi", "lo", "place", "hashes", "contexts"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, BYTES_AT_ONCE):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             number, place, h, c = anchors(texts)
             if len(number):
@@ -211,7 +212,7 @@ def _local_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, hi, lo, place, size, context) for the places of each document that are ends."""
     open_ = zstandard.ZstdDecompressor()
-    for batch in slices(batches):
+    for batch in slices(batches, BYTES_AT_ONCE):
         out: list[tuple] = []
         for r in batch.to_pylist():
             text = open_.decompress(r["packed"])
@@ -275,15 +276,29 @@ def cover(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, place: np.ndarray, si
             lengths = np.minimum(LENGTH + d, size[r] - place[r] + d)
             strings[np.arange(CONTEXT)[None, :] >= lengths[:, None]] = 0
             before = np.where((d < SPAN) & (d < place[r]), context[r, np.maximum(SPAN - 1 - d, 0)].astype(np.int64), -1)
-            for length, members in maximal_repeats(strings, lengths, before, LENGTH):
-                rows_, starts = r[members], place[r[members]] - d[members]
-                first = np.lexsort((starts, lo[rows_], hi[rows_]))[0] if len(members) > 2 else int((hi[rows_[1]], lo[rows_[1]], starts[1]) < (hi[rows_[0]], lo[rows_[0]], starts[0]))
-                # one place can be reached from several anchors
-                later = (hi[rows_] != hi[rows_[first]]) | (lo[rows_] != lo[rows_[first]]) | (starts != starts[first])
-                out.append((rows_[later], starts[later], starts[later] + length))
+            begin = place[r] - d
+            # places in the corpus as numbers in order; one place can be reached from several anchors
+            by_place = np.lexsort((begin, lo[r], hi[r]))
+            step = np.ones(len(r), np.int64)
+            a, b = by_place[:-1], by_place[1:]
+            step[1:] = (hi[r[a]] != hi[r[b]]) | (lo[r[a]] != lo[r[b]]) | (begin[a] != begin[b])
+            rank = np.empty(len(r), np.int64)
+            rank[by_place] = np.cumsum(step)
+            members, length = later_members(strings, lengths, before, rank, LENGTH)
+            out.append((r[members], begin[members], begin[members] + length))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+    rows, first, last = (np.concatenate(x) for x in zip(*out))
+    # unite what overlaps within the surroundings of one anchor
+    order = np.lexsort((first, rows))
+    rows, first, last = rows[order], first[order], last[order]
+    far = np.int64(1) << 40
+    reach = np.maximum.accumulate(rows * far + last)
+    new = np.ones(len(rows), bool)
+    new[1:] = rows[1:] * far + first[1:] > reach[:-1]
+    starts = np.flatnonzero(new)
+    ends = np.concatenate([starts[1:], [len(rows)]]) - 1
+    return rows[starts], first[starts], reach[ends] - rows[ends] * far
 
 
 def _cover_bucket(table: pa.Table) -> pa.Table:
@@ -296,7 +311,7 @@ def _cover_bucket(table: pa.Table) -> pa.Table:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hi, lo, n_bytes, n_removed, n_spans, kept) of documents with the starts and ends of covered stretches."""
     open_ = zstandard.ZstdDecompressor()
-    for batch in slices(batches):
+    for batch in slices(batches, BYTES_AT_ONCE):
         out = []
         for hi, lo, packed, firsts, lasts in zip(*(batch.column(k).to_pylist() for k in range(5))):
             text = open_.decompress(packed)
@@ -317,7 +332,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     close = zstandard.ZstdCompressor(level=1)
-    for batch in slices(batches):
+    for batch in slices(batches, BYTES_AT_ONCE):
         packed = [close.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["hi", "lo", "packed"])
 

@@ -35,32 +35,65 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(rows: np.ndarray, lengths: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, members) of every string of ``least`` bytes or more that begins several rows and can't be extended.
+def diverse_runs(rows: np.ndarray, lengths: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, common prefixes, changes of the byte in front, firsts, lasts) of the tree's top nodes that differ in front.
 
     ``lengths`` says how many bytes of a row count, ``before`` is the byte in front of it (-1: none or
-    unknown). An interval whose rows all have the same known byte in front is no maximal repeat: with that byte it
-    is another one. All members are given, not only neighbours.
+    unknown). A node whose rows all have the same known byte in front is no maximal repeat, nor is any
+    node below it: with that byte it is another one.
     """
     order, lcp = sorted_suffixes(rows)
     ends = lengths[order]
     lcp[1:] = np.minimum(lcp[1:], np.minimum(ends[1:], ends[:-1]))
     joined = lcp >= least
-    # runs of places with a common prefix of at least ``least``: the top nodes of the tree
-    starts = np.flatnonzero(~joined & np.concatenate([joined[1:], [False]]))
-    if not len(starts):
-        return
-    stops = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]]))
+    firsts = np.flatnonzero(~joined & np.concatenate([joined[1:], [False]]))
+    lasts = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]]))
     front = before[order]
     change = np.concatenate([[0], np.cumsum((front[1:] != front[:-1]) | (front[1:] < 0))])
-    diverse = (change[stops] != change[starts]) | (front[starts] < 0)
-    for a, b in zip(starts[diverse].tolist(), stops[diverse].tolist()):
-        if b == a + 1:  # the usual case of two rows
-            yield int(lcp[b]), order[a : b + 1]
-            continue
+    diverse = (change[lasts] != change[firsts]) | (front[firsts] < 0) if len(firsts) else np.zeros(0, bool)
+    return order, lcp, change, firsts[diverse], lasts[diverse]
+
+
+def maximal_repeats(rows: np.ndarray, lengths: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, members) of every string of ``least`` bytes or more that begins several rows and can't be extended, with all its members."""
+    order, lcp, change, firsts, lasts = diverse_runs(rows, lengths, before, least)
+    for a, b in zip(firsts.tolist(), lasts.tolist()):
         part = lcp[a : b + 1].copy()
         part[0] = 0
         for length, first, last in intervals(part, least):
             x, y = a + first, a + last
-            if change[y] != change[x] or front[x] < 0:
+            if change[y] != change[x] or before[order[x]] < 0:
                 yield length, order[x : y + 1]
+
+
+def later_members(rows: np.ndarray, lengths: np.ndarray, before: np.ndarray, rank: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, length) of every row that is not the first, by ``rank``, of some maximal repeat it begins with, and the longest such.
+
+    The scan that finds the intervals carries each interval's first member. Where two parts of an interval
+    meet, the later of their first members gets the interval's length; all other members got a longer
+    one before. So a repeat with very many members costs one step for each, at any depth of the tree.
+    """
+    order, lcp, _, firsts, lasts = diverse_runs(rows, lengths, before, least)
+    pair = lasts == firsts + 1
+    x, y = order[firsts[pair]], order[lasts[pair]]
+    later, size = [np.where(rank[x] > rank[y], x, y)], [lcp[lasts[pair]]]
+    apart = rank[x] != rank[y]
+    later[0], size[0] = later[0][apart], size[0][apart]
+    for a, b in zip(firsts[~pair].tolist(), lasts[~pair].tolist()):
+        members, common = order[a : b + 1], lcp[a + 1 : b + 1].tolist()
+        ranks = rank[members].tolist()
+        rows_, sizes = [], []
+        stack: list[tuple[int, int]] = []  # open intervals: length, place of the first member so far
+        for place in range(1, len(ranks) + 1):
+            now = common[place - 1] if place < len(ranks) else 0
+            own = place - 1
+            while stack and stack[-1][0] >= now:
+                length, held = stack.pop()
+                if ranks[held] != ranks[own]:
+                    rows_.append(held if ranks[held] > ranks[own] else own)
+                    sizes.append(length)
+                own = held if ranks[held] < ranks[own] else own
+            stack.append((now, own))
+        later.append(members[rows_])
+        size.append(np.array(sizes, np.int64))
+    return np.concatenate(later), np.concatenate(size)
