@@ -121,7 +121,8 @@ def _anchors(group: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.n
     c = h[at]
     for k, step in enumerate((-64, -32, 36, 68)):
         c = mix(c * np.uint64(0x9E3779B97F4A7C15) + h32[at + step] + np.uint64(k))
-    return np.array([g[0] for g in group])[piece], place, h[at], c
+    # an anchor is a smallest hash: mixed again, its high bits deal out evenly
+    return np.array([g[0] for g in group])[piece], place, mix(h[at]), c
 
 
 def first_of_class(hashes: np.ndarray, contexts: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
