@@ -10,11 +10,17 @@ N-grams are hashed to 64 bits. Documents are read once into blocks of a bounded
 Each block asks for the counts of its distinct n-grams, in packets by hash bucket; a bucket adds
 up all blocks' own counts and answers each packet in its order. Packets, not rows, are shuffled, and no
 count table is ever in one place.
+
+An n-gram that stands in one block only needs no asking: that block's count is the count. So blocks first
+send the leading bits of their n-grams of two tokens and more, as sorted numbers of some 14 bits each, and
+learn which of them another block may have too. Leading bits that are equal by chance cost a request, never a
+count. Shuffle files and tables of a step go when the next step's input is written.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +33,13 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 from .text import mix, slices
 
-ORDER = 2
+ORDER = 3
 BLOCK_TOKENS = 500_000
 BUCKET_GRAMS = 1_200_000
+#: The leading bits tell this many times as many n-grams apart, as a power of two, as the tokens can make.
+SPARE_BITS = 4
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HEADER = struct.Struct("<QIQB")
 #: One training document in this many is held out for the weights.
 HELD_OUT = 40
 ROUNDS = 30
@@ -139,6 +149,26 @@ def unpack(data: bytes) -> np.ndarray:
     return unplanes(data[1:], data[0])
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Numbers in order: the low bits of each, and the high ones as steps in a row of bits (Elias-Fano)."""
+    rest, n = values - values[0], len(values)
+    width = max(0, (int(rest[-1]) // n).bit_length() - 1)
+    high = (rest >> np.uint64(width)).astype(np.int64)
+    steps = np.zeros(int(high[-1]) + n, np.uint8)
+    steps[high + np.arange(n)] = 1
+    low = np.unpackbits(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (width + 7) // 8], axis=1, bitorder="little")[:, :width]
+    return HEADER.pack(int(values[0]), n, int(high[-1]), width) + np.packbits(steps).tobytes() + np.packbits(low).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    first, n, last, width = HEADER.unpack_from(data)
+    cut = HEADER.size + (last + n + 7) // 8
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data[HEADER.size : cut], np.uint8), count=last + n)) - np.arange(n)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, : (width + 7) // 8] = np.packbits(np.unpackbits(np.frombuffer(data[cut:], np.uint8), count=n * width).reshape(n, width), axis=1, bitorder="little")
+    return np.uint64(first) + (high.astype(np.uint64) << np.uint64(width)) + low.reshape(-1).view("<u8").astype(np.uint64)
+
+
 @dataclass
 class Weights:
     """lambda by order (2 and up: by bucket of the context's count; 1: one for all), with N and V."""
@@ -200,23 +230,87 @@ def _load(learns: bytes, sizes: bytes, vocabulary: bytes, stream: bytes) -> tupl
     return words[unpack(stream).astype(np.int64)], own, np.frombuffer(learns, np.uint8).astype(bool)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``materialize``, after which the shuffle files behind it go at once: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def _drop(table: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` wrote."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+SHARED = "array<struct<bucket:bigint,n:bigint,flags:binary>>"
+
+
+def _shared(blocks: DataFrame, order: int, buckets: int, shift: int) -> DataFrame:
+    """(block, shared): for the distinct n-grams of a block of two tokens and more, in order, whether another block may have them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tokens, sizes, _ = _load(row["learns"], row["sizes"], row["vocabulary"], row["stream"])
+                hashes = np.unique(np.concatenate(gram_hashes(tokens, sizes, order)[1:]))
+                cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+                leading = hashes >> np.uint64(shift)
+                found = [(b, leading[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+                for part in range(0, len(found), 64):
+                    own = found[part : part + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int64()), pa.array([row["block"]] * len(own)), pa.array([pack_sorted(x) for _, x in own], pa.binary())], names=["bucket", "block", "leading"])
+
+    def answer(packets: pd.DataFrame) -> pd.DataFrame:
+        leading = [unpack_sorted(x) for x in packets["leading"]]
+        known = np.sort(np.concatenate(leading))
+        several = np.append(np.unique(known[1:][known[1:] == known[:-1]]), np.uint64(0xFFFFFFFFFFFFFFFF))
+        flags = [np.packbits(several[np.searchsorted(several[:-1], x)] == x).tobytes() for x in leading]
+        return pd.DataFrame({"block": packets["block"], "bucket": packets["bucket"], "n": [len(x) for x in leading], "flags": flags})
+
+    asked = blocks.select("block", "learns", "sizes", "vocabulary", "stream").mapInArrow(ask, "bucket bigint, block string, leading binary")
+    return asked.groupBy("bucket").applyInPandas(answer, "block string, bucket bigint, n bigint, flags binary")
+
+
+def _asked(r: Request, shared: list[dict] | None) -> np.ndarray:
+    """Which n-grams of a block are asked for: tokens, and what another block may have too."""
+    out = np.zeros(len(r.hashes), bool)
+    if shared:
+        longer = np.zeros(len(r.hashes), bool)
+        longer[np.concatenate(r.places[1:])] = True
+        flags = np.concatenate([np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=x["n"]) for x in shared])
+        out[np.flatnonzero(longer)[flags > 0]] = True
+    out[r.places[0]] = True
+    return out
+
+
 def _answers(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(block, packets): for each block the counts of its n-grams, and one row without a block per bucket with the number of distinct tokens known."""
+    """(block, packets): for each block the counts of the n-grams it asks for, and one row without a block per bucket with the number of distinct tokens known."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 tokens, sizes, learns = _load(row["learns"], row["sizes"], row["vocabulary"], row["stream"])
                 r = request(tokens, sizes, order, buckets, np.repeat(learns, sizes))
-                single = np.isin(r.hashes, tokens)
-                found = [(b, r.cuts[b], r.cuts[b + 1]) for b in range(buckets) if r.cuts[b + 1] > r.cuts[b]]
+                single = np.zeros(len(r.hashes), np.int64)
+                single[r.places[0]] = 1
+                asked = _asked(r, row["shared"])
+                hashes, counts, single = r.hashes[asked], r.counts[asked], single[asked]
+                cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+                found = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
                 for part in range(0, len(found), 64):
                     own = found[part : part + 64]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([b for b, _, _ in own], pa.int64()), pa.array([row["block"]] * len(own)), pa.array([row["held"]] * len(own)),
-                            pa.array([planes(r.hashes[x:y], 8) for _, x, y in own], pa.binary()), pa.array([pack(r.counts[x:y]) for _, x, y in own], pa.binary()),
-                            pa.array([pack(single[x:y].astype(np.int64)) for _, x, y in own], pa.binary()),
+                            pa.array([planes(hashes[x:y], 8) for _, x, y in own], pa.binary()), pa.array([pack(counts[x:y]) for _, x, y in own], pa.binary()),
+                            pa.array([pack(single[x:y]) for _, x, y in own], pa.binary()),
                         ],
                         names=["bucket", "block", "held", "hashes", "counts", "single"],
                     )
@@ -241,7 +335,7 @@ def _answers(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         result.loc[len(result)] = [packets["bucket"].iat[0], None, None, None, int((is_token & (total > 0)).sum()), int((is_token & (core > 0)).sum())]
         return result
 
-    asked = blocks.select("block", "held", "learns", "sizes", "vocabulary", "stream").mapInArrow(ask, "bucket bigint, block string, held boolean, hashes binary, counts binary, single binary")
+    asked = blocks.select("block", "held", "learns", "sizes", "vocabulary", "stream", "shared").mapInArrow(ask, "bucket bigint, block string, held boolean, hashes binary, counts binary, single binary")
     return asked.groupBy("bucket").applyInPandas(answer, "bucket bigint, block string, total binary, core binary, distinct bigint, core_distinct bigint")
 
 
@@ -308,14 +402,25 @@ def score(
     totals = blocks.agg(F.sum("tokens"), F.sum("learned"), F.sum(F.when(F.col("held"), F.col("learned")))).first()
     tokens, learned, held = (x or 0 for x in totals)
     buckets = max(8, math.ceil(tokens * order / BUCKET_GRAMS))
-    answered = materialize(_answers(blocks, order, buckets))
+    if order > 1:
+        shift = max(0, 64 - SPARE_BITS - math.ceil(math.log2(max(2, tokens * (order - 1)))))
+        flags = _stored(_shared(blocks, order, buckets, shift))
+        per_block = flags.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "flags"))).alias("shared"))
+        plain_blocks, blocks = blocks, _stored(blocks.join(per_block, "block", "left"))
+        _drop(plain_blocks)
+        _drop(flags)
+    else:
+        blocks = blocks.withColumn("shared", F.lit(None).cast(SHARED))
+    answered = _stored(_answers(blocks, order, buckets))
     known = answered.agg(F.sum("distinct"), F.sum("core_distinct")).first()
     by_block = answered.where(F.col("block").isNotNull()).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "total", "core"))).alias("packets"))
 
     def estimates(row: dict, which: str, n: int):
         own, sizes, own_learns = _load(row["learns"], row["sizes"], row["vocabulary"], row["stream"])
         r = request(own, sizes, order, buckets, np.repeat(own_learns, sizes))
-        counts = np.concatenate([unpack(p[which]) for p in row["packets"]]).astype(np.float64)
+        # a block's own counts are all there are of what it did not ask for; held-out ones are none of the others'
+        counts = r.counts.astype(np.float64) if which == "total" else np.zeros(len(r.counts))
+        counts[_asked(r, row["shared"])] = np.concatenate([unpack(p[which]) for p in row["packets"]])
         return r, counts, *_estimates(r, counts, order, n, own, sizes), sizes
 
     core = Weights(learned - held, known[1] or 0, [])
@@ -330,7 +435,7 @@ def score(
                     yield pa.RecordBatch.from_arrays([pa.array(f[cut]) for f in found] + [pa.array(b[cut], pa.int32()) for b in bucket], names=[f"e{k}" for k in range(order)] + [f"b{k}" for k in range(order)])
 
     schema = ", ".join([f"e{k} double" for k in range(order)] + [f"b{k} int" for k in range(order)])
-    samples = materialize(trained.mapInArrow(held_out, schema))
+    samples = _stored(trained.mapInArrow(held_out, schema))
     lower: Column = F.lit(1.0 / (core.distinct + 1))
     for k in range(order):
         ratio = F.greatest(F.round(F.log10(F.greatest(F.col(f"e{k}") / lower, F.lit(1e-30))) / CELL) * CELL, F.lit(-30.0))

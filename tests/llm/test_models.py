@@ -89,6 +89,33 @@ def test_model_scores_by_hand(spark, frame, monkeypatch, order):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in interpolated_lm.score(docs, F.lit(None).cast("boolean")).collect())
 
 
+def test_trigram_scores_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """The query's model reads two words of context, and an n-gram's count is the same in whatever blocks it stands."""
+    import random
+
+    draw = random.Random(3)
+    docs = [(k, " ".join(draw.choices("abcdefghijkl", k=draw.randint(1, 60))), k % 7 != 2) for k in range(400)]
+    docs += [(k + 400, "x y z y x z " * 5, k % 3 == 0) for k in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, learns boolean")
+    by_size = {}
+    for size, parts in ((200, 5), (10**9, 1)):
+        monkeypatch.setattr(interpolated_lm, "BLOCK_TOKENS", size)
+        by_size[size] = {r.doc_id: r for r in interpolated_lm.score(frame.repartition(parts), F.col("learns")).collect()}
+    bigrams = {r.doc_id: r.score for r in interpolated_lm.score(frame, F.col("learns"), 2).collect()}
+    few, one = by_size[200], by_size[10**9]
+    assert len(few) == len(one) == 430
+    assert all(few[k].score == pytest.approx(one[k].score) and few[k].n_known == one[k].n_known for k in one)
+    # y after z is certain only by the word before z
+    assert sum(one[k].score for k in range(400, 430)) > sum(bigrams[k] for k in range(400, 430)) + 10
+
+
+def test_sorted_numbers_come_back():
+    draw = np.random.default_rng(5)
+    for most, n in ((1, 1), (1 << 20, 1000), (50, 400), (1 << 63, 7), (1 << 40, 1)):
+        values = np.sort(draw.integers(0, most, n, dtype=np.uint64))
+        assert interpolated_lm.unpack_sorted(interpolated_lm.pack_sorted(values)).tolist() == values.tolist()
+
+
 def test_model_is_a_distribution():
     """The mixture over all tokens and the unknown sums to 1, for every history."""
     texts = ["a b a c", "a b", "b a b c c"]
