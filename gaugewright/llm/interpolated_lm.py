@@ -43,6 +43,8 @@ HEADER = struct.Struct("<QIQB")
 #: One training document in this many is held out for the weights.
 HELD_OUT = 40
 ROUNDS = 30
+#: The weight of an order's estimate where there is nothing held out to learn it from.
+PRIOR = 0.5
 BUCKETS = 40
 CELL = 0.02
 END, BEGIN = np.uint64(0x1D8AF066E1B2C3D5), np.uint64(0x53C5CA59F0A1B7E3)
@@ -366,7 +368,11 @@ def _mixed(estimates: list[np.ndarray], buckets: list[np.ndarray], weights: Weig
 
 
 def learn_weights(cells: list[tuple[int, float, int]]) -> np.ndarray:
-    """EM for one order: cells are (bucket, log10 of the ratio of this order's estimate to the lower order's probability, tokens)."""
+    """EM for one order: cells are (bucket, log10 of the ratio of this order's estimate to the lower order's probability, tokens).
+
+    A bucket without tokens has the weight of the nearest lower one with some, else of the nearest higher one, else PRIOR.
+    Bucket 0, a context never seen, has no estimate and so no weight.
+    """
     out = np.zeros(BUCKETS)
     by_bucket: dict[int, list[tuple[float, int]]] = {}
     for bucket, ratio, n in cells:
@@ -379,6 +385,11 @@ def learn_weights(cells: list[tuple[int, float, int]]) -> np.ndarray:
             share = float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())
             share = min(max(share, 1e-6), 1 - 1e-6)
         out[bucket] = share if bucket else 0.0
+    learned = sorted(b for b in by_bucket if b)
+    for bucket in range(1, BUCKETS):
+        if bucket not in by_bucket:
+            lower = [b for b in learned if b < bucket]
+            out[bucket] = out[lower[-1]] if lower else out[learned[0]] if learned else PRIOR
     return out
 
 
@@ -390,7 +401,7 @@ def score(
     ``learns`` says which rows the model learns from (null: no). Tokens are runs of anything but
     ASCII white space, A-Z in lower case, and an end after every text; a null text counts as empty.
     ``base_score`` adds log10((c + 1) / (N + V + 1)) over the tokens, ``score`` is the model's log10
-    probability. Repeated rows and null ids are kept one by one. Other columns are ignored. Without
+    probability. Without held-out rows each order's estimate weighs PRIOR. Repeated rows and null ids are kept one by one. Other columns are ignored. Without
     training rows all tokens are unknown and equally likely. An empty table gives an empty result.
     """
     key = docs.schema[id_column].dataType.simpleString()
@@ -440,11 +451,12 @@ def score(
     for k in range(order):
         ratio = F.greatest(F.round(F.log10(F.greatest(F.col(f"e{k}") / lower, F.lit(1e-30))) / CELL) * CELL, F.lit(-30.0))
         cells = samples.groupBy(F.col(f"b{k}").alias("b"), ratio.alias("r")).agg(F.count("*").alias("n")).collect()  # at most buckets x cells rows
-        core.by_order.append(learn_weights([(x["b"], x["r"], x["n"]) for x in cells]))
+        # held-out tokens say nothing about a model of no tokens
+        core.by_order.append(learn_weights([(x["b"], x["r"], x["n"]) for x in cells] if core.tokens else []))
         table = F.array(*[F.lit(float(x)) for x in core.by_order[k]])
         share = F.get(table, F.col(f"b{k}"))
         lower = share * F.col(f"e{k}") + (1 - share) * lower
-    weights = Weights(learned, known[0] or 0, core.by_order)
+    weights = Weights(learned, known[0] or 0, core.by_order if learned else [np.zeros(BUCKETS)] * order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

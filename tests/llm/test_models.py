@@ -150,6 +150,34 @@ def test_em_finds_the_mixing_weight():
     assert interpolated_lm.learn_weights(cells)[3] == pytest.approx((0.7 * 10 - 1) / 9, abs=1e-2)
 
 
+def test_buckets_without_held_out_tokens_have_a_weight():
+    weights = interpolated_lm.learn_weights([(0, 1.0, 5), (3, 1.0, 700), (3, -30.0, 300), (6, 0.5, 10), (6, -30.0, 90)])
+    assert weights[0] == 0 and weights[1] == weights[2] == weights[3] == weights[4] == weights[5] > weights[6] == weights[39] > 0
+    assert interpolated_lm.learn_weights([])[1:].tolist() == [interpolated_lm.PRIOR] * (interpolated_lm.BUCKETS - 1)
+
+
+def test_scores_without_held_out_rows_are_the_mixture(frame):
+    texts = ["the cat sat on the mat", "the cat ran", "a cat sat on a mat", ""]
+    got = sorted(r.score for r in interpolated_lm.score(frame([(None, t) for t in texts], "doc_id bigint, text string"), F.lit(True)).collect())
+    counts = Counter()
+    for t in texts:
+        own = ["BEGIN", *words_of(t)]
+        counts.update(tuple(own[a:b]) for a in range(len(own)) for b in range(a + 1, min(a + 3, len(own)) + 1))
+    n, v = sum(len(words_of(t)) for t in texts), len({w for t in texts for w in words_of(t)})
+    want = []
+    for t in texts:
+        own, total = ["BEGIN", *words_of(t)], 0.0
+        for k in range(1, len(own)):
+            p = 1 / (v + 1)
+            p = 0.5 * counts[(own[k],)] / n + 0.5 * p
+            for size in (1, 2):
+                if k >= size:
+                    p = 0.5 * counts[tuple(own[k - size : k + 1])] / counts[tuple(own[k - size : k])] + 0.5 * p
+            total += math.log10(p)
+        want.append(total)
+    assert got == pytest.approx(sorted(want))
+
+
 def brute_marginals(model, forest):
     n = len(forest.parents)
     own = np.bincount(forest.owners, model.weights[forest.features], n)
