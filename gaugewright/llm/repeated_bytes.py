@@ -9,7 +9,7 @@ A corpus-wide suffix array has one row per byte. Here only suffixes that can beg
    are combined in each task first, so that a passage on a third of all rows sends one per task.
 3. Anchors that belong to several classes are the ends of repeats. Only for these the surroundings are
    fetched. Per bucket, an enhanced suffix array of them is scanned with a stack for common-prefix intervals;
-   left-diverse ones are the maximal repeats, given with all their places; all but the first are covered.
+   all places of an interval but the first are covered. The groups of places are not given out.
 4. The covered stretches of a document are united and cut out.
 """
 
