@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, repeated_bytes, sentencepiece_codec, toxicity
+from . import byte_bpe_codec, containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, repeated_bytes, sentencepiece_codec, toxicity
 from .text import fold
 from .words import small
 
@@ -48,6 +48,19 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document by byte pairs, as digests."""
+    out = byte_bpe_codec.encode_decode(read(spark, folder, "documents"), byte_vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op1_embedding_forest")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector, among vectors of its label."""
