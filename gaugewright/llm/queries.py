@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe_codec, containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, repeated_bytes, sentencepiece_codec, toxicity
+from . import byte_bpe_codec, centroid_search, containment, embedding_forest, html_extraction, interpolated_lm, jaccard_join, language_id, line_spread, repeated_bytes, sentencepiece_codec, spelling_variants, toxicity
 from .text import fold
 from .words import small
 
@@ -108,6 +108,95 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(pages, model)
 
 
+def _cluster_sql(rounds: int = 5) -> str:
+    """Plain clustering: every vector against every centroid, round by round."""
+    parts = [
+        """kept AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    )""",
+        "c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c FROM kept ORDER BY cluster LIMIT 40)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+      SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, k := cluster)) AS best
+      FROM (SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept, c{r}) GROUP BY vec_id
+    )""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+      SELECT cluster, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN (
+        SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c FROM (
+          SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT best.k AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i
+        ) GROUP BY cluster
+      ) m USING (cluster)
+    )""")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} ON best.k = cluster"""
+
+
+@query("op11_centroid_search", _cluster_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector of 64 components."""
+    found = centroid_search.cluster(read(spark, folder, "embeddings"))
+    digests = found.table().select("cluster", F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+    out = centroid_search.with_inertia(found).join(F.broadcast(digests), "cluster")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+@query(
+    "op13_spelling_variants",
+    f"""WITH RECURSIVE runs AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+    ),
+    counted AS MATERIALIZED (SELECT run, hex(doc_id || ':' || run) AS code, count(*) AS n FROM runs GROUP BY ALL),
+    tab AS (SELECT {_crc_table()} AS t),
+    hashed AS MATERIALIZED (
+      SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(0, len(code) // 2), lambda i: CAST('0x' || code[2 * i + 1:2 * i + 2] AS BIGINT))),
+        lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS h FROM counted, tab
+    ),
+    vocabulary AS MATERIALIZED (
+      SELECT w AS word, CAST(sum(n) AS BIGINT) AS n
+      FROM (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS w, n FROM hashed)
+      WHERE len(w) >= 6 GROUP BY w HAVING sum(n) >= 5
+    ),
+    cut AS MATERIALIZED (
+      SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM vocabulary)
+    ),
+    near AS (
+      SELECT DISTINCT word, n, other, other_n FROM (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+        UNION ALL SELECT b.word, b.n, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+      )
+    ),
+    best AS (SELECT word, n, count(*) AS n_near, min(struct_pack(low := -other_n, o := other)) AS m FROM near GROUP BY word, n),
+    formed AS MATERIALIZED (SELECT word, n_near, CASE WHEN -m.low >= 5 * n THEN m.o END AS form, CASE WHEN -m.low >= 5 * n THEN -m.low END AS form_n FROM best),
+    chain AS (
+      SELECT word, form AS root, 1 AS step FROM formed WHERE form IS NOT NULL
+      UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+    ),
+    ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+    SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+    FROM vocabulary v LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of six characters or more, what they are variants of, and how many words are one edit away."""
+    return spelling_variants.variants(spelling_variants.misspelt_words(read(spark, folder, "documents")))
+
+
 _WORDS = r"string_split(trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
 _SHINGLES = """
 {name}_words AS (SELECT {id}, """ + _WORDS + """ AS w FROM {table}),
