@@ -129,7 +129,7 @@ def scheduled_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.select(*DATABASE, "job_name", "enabled", "schedule", "owner")
 
 
-@on_current
+@on_current(histories=("runs",))
 def failed_job_runs(jobs: DataFrame, runs: DataFrame, n: int = 100) -> DataFrame:
     """The latest runs that did anything but succeed (status 1)."""
     keys = [*DATABASE, "job_name"]
@@ -180,9 +180,11 @@ def code_dependencies(objects: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+@on_current
 def view_dependencies(deps: DataFrame) -> DataFrame:
-    """Distinct edges recorded by the catalogue itself, self references aside."""
-    return deps.filter("referencing <> referenced").select("referencing", "referenced").distinct()
+    """Distinct edges recorded by the catalogue itself, per database where the fact says which; self references aside."""
+    place = [c for c in DATABASE if c in deps.columns]
+    return deps.filter("referencing <> referenced").select(*place, "referencing", "referenced").distinct()
 
 
 @on_current

@@ -29,7 +29,7 @@ def config_assessment(settings: DataFrame, allowed: str | list[str]) -> DataFram
     )
 
 
-@on_current
+@on_current(histories=("backups",))
 def databases_without_recent_backup(databases: DataFrame, backups: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Databases whose last full backup is missing or older than ``days``."""
     last = (
@@ -45,7 +45,7 @@ def databases_without_recent_backup(databases: DataFrame, backups: DataFrame, as
     )
 
 
-@on_current
+@on_current(histories=("backups",))
 def latest_backups(backups: DataFrame, n: int = 200) -> DataFrame:
     """The latest backups with a label of their type."""
     label = F.col("backup_type")

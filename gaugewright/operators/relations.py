@@ -14,8 +14,7 @@ PARENT = [*DATABASE, "parent_schema", "parent_table"]
 
 
 def _related(fk: DataFrame, side: list[str], other: list[str], count: str) -> DataFrame:
-    names = F.concat_ws(".", *other[-2:])
-    return fk.groupBy(*side).agg(F.count_distinct(names).alias(count), F.count_distinct("constraint_name").alias("fk_count"))
+    return fk.groupBy(*side).agg(F.count_distinct(F.struct(*other[-2:])).alias(count), F.count_distinct("constraint_name").alias("fk_count"))
 
 
 @on_current
@@ -90,6 +89,11 @@ def _column_lists(index_columns: DataFrame) -> DataFrame:
     return index_columns.groupBy(*INDEX).agg(joined(ordered_set("position", "column_name")).alias("column_list"))
 
 
+def _index_names(index_columns: DataFrame) -> DataFrame:
+    """The columns of each index in order, as a list: names may hold any sign."""
+    return index_columns.groupBy(*INDEX).agg(F.transform(ordered_set("position", "column_name"), lambda p: p["i"]).alias("names"))
+
+
 @on_current
 def primary_keys(index_columns: DataFrame) -> DataFrame:
     """Primary key columns in order."""
@@ -139,15 +143,13 @@ def duplicate_indexes(index_columns: DataFrame) -> DataFrame:
     all names. Indexes are counted per list first, then every list counts for itself and for its starts,
     so a table with very many indexes yields no more rows than it has column lists.
     """
-    lists = _column_lists(index_columns).groupBy(*TABLE, "column_list").agg(F.count(F.lit(1)).alias("n"), F.min("index_name").alias("first_name"))
-    names = F.split("column_list", ", ")
-    starts = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.struct(
-        F.array_join(F.slice(names, F.lit(1), k), ", ").alias("column_list"), (k == F.size(names)).alias("own")
-    ))
+    lists = _index_names(index_columns).groupBy(*TABLE, "names").agg(F.count(F.lit(1)).alias("n"), F.min("index_name").alias("first_name"))
+    size = F.size("names")
+    starts = F.transform(F.sequence(F.lit(1), size), lambda k: F.struct(F.slice("names", F.lit(1), k).alias("names"), (k == size).alias("own")))
     own, longer = F.col("s.own"), ~F.col("s.own")
     counted = (
         lists.select(*TABLE, "n", "first_name", F.explode(starts).alias("s"))
-        .groupBy(*TABLE, F.col("s.column_list").alias("column_list"))
+        .groupBy(*TABLE, F.col("s.names").alias("names"))
         .agg(
             F.sum(F.when(own, F.col("n"))).alias("equal"), F.min(F.when(own, F.col("first_name"))).alias("first_index"),
             F.sum(F.when(longer, F.col("n"))).alias("longer"), F.min(F.when(longer, F.col("first_name"))).alias("longer_example"),
@@ -158,15 +160,15 @@ def duplicate_indexes(index_columns: DataFrame) -> DataFrame:
         F.when(F.col("equal") > 1, F.struct(F.lit("duplicate").alias("kind"), F.col("equal").alias("index_count"), F.col("first_index").alias("example"))),
         F.when(F.col("longer") > 0, F.struct(F.lit("prefix overlap").alias("kind"), F.col("longer").alias("index_count"), F.col("longer_example").alias("example"))),
     )
-    return counted.select(*TABLE, "column_list", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select(*TABLE, "column_list", "k.*")
+    return counted.select(*TABLE, "names", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select(*TABLE, F.array_join("names", ", ").alias("column_list"), "k.*")
 
 
 @on_current
 def duplicate_index_names(index_columns: DataFrame) -> DataFrame:
     """The indexes that share their column list with another one of their table, a row each."""
-    every = _column_lists(index_columns)
-    shared = every.groupBy(*TABLE, "column_list").agg(F.count(F.lit(1)).alias("index_count")).filter("index_count > 1")
-    return every.join(shared, [*TABLE, "column_list"]).select(*INDEX, "column_list")
+    every = _index_names(index_columns)
+    shared = every.groupBy(*TABLE, "names").agg(F.count(F.lit(1)).alias("index_count")).filter("index_count > 1")
+    return every.join(shared, [*TABLE, "names"]).select(*INDEX, F.array_join("names", ", ").alias("column_list"))
 
 
 def _index_io(io: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ CHILD, PARENT = f"{PLACE}, child_schema, child_table", f"{PLACE}, parent_schema,
 
 
 def _related(side: str, other: str, count: str) -> str:
-    name = f"{other}_schema || '.' || {other}_table"
+    name = f"struct_pack(s := {other}_schema, t := {other}_table)"
     return f"SELECT {side}, count(DISTINCT {name}) AS {count}, count(DISTINCT constraint_name) AS fk_count FROM fact_fk_columns GROUP BY {side}"
 
 
@@ -326,21 +326,21 @@ def index_largest(spark, folder):
     return L.largest_indexes(derived(spark, folder, "index_columns"))
 
 
-_LISTS = f"(SELECT {INDEX}, string_agg(column_name, ', ' ORDER BY position, column_name) AS column_list FROM fact_index_columns GROUP BY {INDEX})"
+_LISTS = f"(SELECT {INDEX}, list(column_name ORDER BY position, column_name) AS names FROM fact_index_columns GROUP BY {INDEX})"
 
 
 @query("index_duplicates", "I5", f"""
-SELECT {TABLE}, column_list, 'duplicate' AS kind, count(*) AS index_count, min(index_name) AS example FROM {_LISTS} a GROUP BY {TABLE}, column_list HAVING count(*) > 1
+SELECT {TABLE}, array_to_string(names, ', ') AS column_list, 'duplicate' AS kind, count(*) AS index_count, min(index_name) AS example FROM {_LISTS} a GROUP BY {TABLE}, names HAVING count(*) > 1
 UNION ALL
-SELECT s.server, s.database_name, s.schema_name, s.table_name, s.column_list, 'prefix overlap', count(*), min(b.index_name)
- FROM (SELECT DISTINCT {TABLE}, column_list FROM {_LISTS} a) s JOIN {_LISTS} b ON b.server = s.server AND b.database_name = s.database_name
- AND b.schema_name = s.schema_name AND b.table_name = s.table_name AND starts_with(b.column_list, s.column_list || ', ')
- GROUP BY s.server, s.database_name, s.schema_name, s.table_name, s.column_list""")
+SELECT s.server, s.database_name, s.schema_name, s.table_name, array_to_string(s.names, ', '), 'prefix overlap', count(*), min(b.index_name)
+ FROM (SELECT DISTINCT {TABLE}, names FROM {_LISTS} a) s JOIN {_LISTS} b ON b.server = s.server AND b.database_name = s.database_name
+ AND b.schema_name = s.schema_name AND b.table_name = s.table_name AND len(b.names) > len(s.names) AND b.names[1:len(s.names)] = s.names
+ GROUP BY s.server, s.database_name, s.schema_name, s.table_name, s.names""")
 def index_duplicates(spark, folder):
     return L.duplicate_indexes(derived(spark, folder, "index_columns"))
 
 
-@query("index_duplicate_names", "I5", f"SELECT {INDEX}, column_list FROM (SELECT *, count(*) OVER (PARTITION BY {TABLE}, column_list) AS n FROM {_LISTS} a) b WHERE n > 1")
+@query("index_duplicate_names", "I5", f"SELECT {INDEX}, array_to_string(names, ', ') AS column_list FROM (SELECT *, count(*) OVER (PARTITION BY {TABLE}, names) AS n FROM {_LISTS} a) b WHERE n > 1")
 def index_duplicate_names(spark, folder):
     return L.duplicate_index_names(derived(spark, folder, "index_columns"))
 
@@ -476,12 +476,12 @@ def object_dependencies(spark, folder):
     return C.code_dependencies(derived(spark, folder, "objects"), derived(spark, folder, "tables"))
 
 
-@query("object_view_dependencies", "K5", "SELECT DISTINCT table_name AS referencing, 't' || CAST(position AS VARCHAR) AS referenced FROM fact_columns WHERE table_name <> 't' || CAST(position AS VARCHAR)")
+@query("object_view_dependencies", "K5", f"""
+SELECT DISTINCT {PLACE}, table_name AS referencing, 't' || CAST(position AS VARCHAR) AS referenced FROM fact_columns WHERE table_name <> 't' || CAST(position AS VARCHAR)""")
 def object_view_dependencies(spark, folder):
-    deps = derived(spark, folder, "columns").select(
-        F.col("table_name").alias("referencing"), F.concat(F.lit("t"), F.col("position").cast("string")).alias("referenced")
-    )
-    return C.view_dependencies(deps)
+    columns = derived(spark, folder, "columns")
+    edges = {"referencing": F.col("table_name"), "referenced": F.concat(F.lit("t"), F.col("position").cast("string"))}
+    return C.view_dependencies(columns.withColumns(edges).select(*[c for c in columns.columns if c in ("server", "database_name", "snapshot_ts")], *edges))
 
 
 @query("object_counts", "K5", f"SELECT {PLACE}, object_type, count(*) AS object_count FROM fact_objects GROUP BY ALL")

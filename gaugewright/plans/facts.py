@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCES = [
@@ -235,7 +235,9 @@ SELECT {_SERVER.format('o_custkey')} AS server, {_DATABASE.format('o_custkey')}
 
 
 #: Facts that are a history in themselves.
-SERIES = ["metric_samples", "storage_snapshots", "backups", "job_runs", "backup_databases"]
+SERIES = ["metric_samples", "storage_snapshots"]
+#: Histories of records that every snapshot repeats.
+RECORDS = ["backups", "job_runs"]
 #: Whether derived facts carry older snapshots.
 HISTORY: ContextVar[bool] = ContextVar("HISTORY", default=False)
 
@@ -257,7 +259,9 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
         if table in text:
             source(spark, folder, table).createOrReplaceTempView(table)
     found = spark.sql(text)
-    return with_history(found) if HISTORY.get() and name in DERIVED and name not in SERIES else found
+    if not HISTORY.get() or name not in DERIVED or name in SERIES:
+        return found
+    return with_repeats(found) if name in RECORDS else with_history(found)
 
 
 def with_facts(sql: str) -> str:
@@ -272,13 +276,12 @@ def with_facts(sql: str) -> str:
 
 
 def with_history(fact: DataFrame) -> DataFrame:
-    """A derived fact as the latest of three snapshots per server, taken at a time of its own.
+    """A derived fact as the latest of three collection runs per server, each server at a time of its own and each database some seconds on.
 
-    The older ones hold half of the rows with other numbers, and all of the rows with other states, so a report
-    that adds up or joins across snapshots gives something else.
+    The older runs hold half of the rows with other numbers, all of the rows with other states, and a database that
+    is gone from the latest, so a report that adds up or joins across runs gives something else.
     """
-    hours = F.pmod(F.xxhash64("server"), F.lit(48)).cast("int")
-    now = F.timestamp_add("HOUR", hours, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    now = _run_time(fact)
     numbers = [f.name for f in fact.schema.fields if f.dataType.simpleString() in ("bigint", "double", "int") and f.name not in ("position", "session_id", "lock_id", "trx_id", "query_id", "user_id")]
     texts = [f.name for f in fact.schema.fields if f.name in ("state", "lock_status", "comment", "engine", "tablespace", "data_type", "object_type", "value")]
     shrunk = {c: (F.col(c) / 2).cast(fact.schema[c].dataType) for c in numbers}
@@ -287,4 +290,19 @@ def with_history(fact: DataFrame) -> DataFrame:
     day, two = (F.timestamp_add("HOUR", F.lit(-24 * k), now) for k in (1, 2))
     older = fact.withColumns({**shrunk, "snapshot_ts": day}).filter(F.pmod(F.xxhash64(*[c for c in fact.columns if c not in numbers][:4]), F.lit(2)) == 0)
     oldest = fact.withColumns({**changed, "snapshot_ts": two})
-    return latest.unionByName(older).unionByName(oldest)
+    found = latest.unionByName(older).unionByName(oldest)
+    return found.unionByName(older.withColumn("database_name", F.lit("gone"))) if "database_name" in fact.columns else found
+
+
+def _run_time(fact: DataFrame) -> Column:
+    """When the latest run read a row's database: hours that depend on the server, and seconds that depend on the database."""
+    hours = F.pmod(F.xxhash64("server"), F.lit(48)).cast("int")
+    start = F.timestamp_add("HOUR", hours, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return F.timestamp_add("SECOND", F.pmod(F.xxhash64("database_name"), F.lit(600)).cast("int"), start) if "database_name" in fact.columns else start
+
+
+def with_repeats(records: DataFrame) -> DataFrame:
+    """A history of records as two snapshots give it: the older has all of them, the latest repeats some."""
+    now = _run_time(records)
+    older = records.withColumn("snapshot_ts", F.timestamp_add("HOUR", F.lit(-24), now))
+    return older.unionByName(records.filter(F.pmod(F.xxhash64(*records.columns), F.lit(3)) == 0).withColumn("snapshot_ts", now))
