@@ -14,6 +14,7 @@ while the counts stay those of the whole texts.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -22,15 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import number_of, percent, plain_number, rounded
-from ..plans.materialize import materialize
-from .quantiles import order_statistics
+from .quantiles import RANGE, in_ranges, order_statistics
 from .semantics import (
     ColumnEvidence,
-    aggregate,
     column_evidence,
     declared_columns,
     kind_of,
-    moment_aggregates,
     named,
     normalize_missing,
     present,
@@ -43,8 +41,6 @@ COLUMNS_PER_HISTOGRAM = 32
 
 LONGEST_VALUE, KEPT_CHARACTERS = 100, 97
 TOP_VALUES = 10
-# Values tracked by a frequent-item sketch.
-SKETCHED_VALUES = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 STATISTICS = [
@@ -130,13 +126,14 @@ class Histogram:
         return KEYS[self.storage_class]
 
 
-def histograms_of(df: DataFrame, evidence: list[ColumnEvidence]) -> list[Histogram]:
-    """The values of a table with their counts, a group of columns at a time.
+def histograms_of(df: DataFrame, evidence: list[ColumnEvidence], classes: list[str] | None = None) -> list[Histogram]:
+    """The values of a table with their counts, a group of columns at a time; of some storage classes only if these are named.
 
     Each group reads only its columns, and its keys are no wider than its storage class needs.
     """
     found = []
-    for storage_class, names in KEYS.items():
+    for storage_class in classes or KEYS:
+        names = KEYS[storage_class]
         every = [e for e in evidence if e.kind != "complex" and _storage_class(e) == storage_class]
         for start in range(0, len(every), COLUMNS_PER_HISTOGRAM):
             members = every[start : start + COLUMNS_PER_HISTOGRAM]
@@ -249,9 +246,7 @@ def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     clean = normalize_missing(df)
     spark = df.sparkSession
     if approximate:
-        evidence, _ = column_evidence(clean)
-        rows = [(e.name, None if e.kind == "complex" else e.approx_distinct) for e in evidence]
-        return spark.createDataFrame(rows, "column_name string, unique_count bigint")
+        return profile(df, approximate=True).select("column_name", "unique_count")
     columns = declared_columns(clean)
     names = spark.createDataFrame(
         [(e.position, e.name, e.kind == "complex") for e in columns], "position int, column_name string, is_complex boolean"
@@ -310,17 +305,7 @@ def _moments(values: dict, n: int) -> Moments | None:
 def scan(df: DataFrame) -> tuple[list[ColumnEvidence], dict[int, Moments]]:
     """First job: evidence and moments of every column. ``df`` has its missing tokens removed."""
     evidence, facts = column_evidence(df, moments=True)
-    numeric_texts = [e for e in evidence if e.is_numeric_text and e.has_statistics]
-    if numeric_texts:
-        branches = [
-            aggregate(df, [f"{a} AS {n}" for n, a in moment_aggregates(e.double_sql()).items()]).selectExpr(
-                f"{e.position} AS position", "*"
-            )
-            for e in numeric_texts
-        ]
-        for row in reduce(DataFrame.unionByName, branches).collect():
-            facts[row["position"]].update(row.asDict())
-    moments = {e.position: _moments(facts[e.position], e.filled) for e in evidence if e.has_statistics}
+    moments = {e.position: _moments(facts.get(e.position, {}), e.filled) for e in evidence if e.has_statistics}
     return evidence, {i: m for i, m in moments.items() if m is not None}
 
 
@@ -330,36 +315,36 @@ def scan(df: DataFrame) -> tuple[list[ColumnEvidence], dict[int, Moments]]:
 def _quartiles(
     histograms: list[Histogram], moments: dict[int, Moments]
 ) -> DataFrame | None:
-    """(position, quartiles), exact and linearly interpolated, by narrowing the histograms."""
+    """(position, quartiles), exact and linearly interpolated, from histograms stored by ranges of value."""
     if not moments:
         return None
     ranks = []
     for i, m in moments.items():
         at = [(m.n - 1) * q for q in QUARTILES]
         ranks.append((i, [math.floor(x) for x in at], [math.ceil(x) for x in at], [x - math.floor(x) for x in at]))
-    ends = {i: (m.min, m.max) for i, m in moments.items()}
     values = _union(
         [
             h.counts.filter(F.col("position").isin([i for i in h.positions if i in moments])).select(
-                F.col("position").alias("key"), F.col(h.keys[0]).cast("double").alias("value"), "count"
+                F.col("position").alias("key"), F.col(h.keys[0]).cast("double").alias("value"), "count", RANGE
             )
             for h in histograms
             if any(i in moments for i in h.positions)
         ]
     )
-    picked = order_statistics(values, [(i, rank) for i, low, high, _ in ranks for rank in (*low, *high)], ends)
-    rows = [
-        (i, [picked[(i, a)] + (picked[(i, b)] - picked[(i, a)]) * p for a, b, p in zip(low, high, part)])
-        for i, low, high, part in ranks
-    ]
-    return values.sparkSession.createDataFrame(rows, "position int, quartiles array<double>")
+    picked = order_statistics(values, [(i, rank) for i, low, high, _ in ranks for rank in (*low, *high)])
+    # six values per column at most
+    by_rank = picked.groupBy(F.col("key").alias("position")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    places = values.sparkSession.createDataFrame(ranks, "position int, low array<bigint>, high array<bigint>, part array<double>")
+    low, high = (lambda i, side=side: F.element_at("at", F.get(side, F.lit(i))) for side in ("low", "high"))
+    between = [low(i) + (high(i) - low(i)) * F.get("part", F.lit(i)) for i in range(len(QUARTILES))]
+    return by_rank.join(F.broadcast(places), "position").select("position", F.array(*between).alias("quartiles"))
 
 
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, completeness, distinct values, statistics and top values.
 
-    Exact by default. ``approximate`` takes distinct counts, quartiles and top values from sketches of
-    fixed size, and shuffles no values. Statistics are doubles, rounded to four
+    Exact by default. ``approximate`` reads the table once and takes distinct counts, quartiles and top values
+    from sketches of fixed size (``sketches`` keeps and merges them); it shuffles no values. Statistics are doubles, rounded to four
     places for display; whole numbers beyond 2^53 lose their last digits in them.
     """
     return full_profile(df, approximate).drop("raw")
@@ -367,54 +352,55 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def full_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``profile`` with a column ``raw`` of the statistics as they were computed, for further use."""
+    if approximate:
+        from . import sketches
+
+        return sketches.profile_of(sketches.states(df))
     clean = normalize_missing(df)
-    evidence, moments = scan(clean)
     spark = df.sparkSession
-    if not evidence or evidence[0].total == 0:
-        raise EmptyTableError("table contains no data rows")
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        # histograms of integers and floats don't wait for the evidence: their columns follow from the schema
+        early = [pool.submit(_ranged, h) for h in histograms_of(clean, declared_columns(clean), ["integer", "float"])]
+        evidence, moments = scan(clean)
+        if not evidence or evidence[0].total == 0:
+            raise EmptyTableError("table contains no data rows")
+        late = [pool.submit(_ranged, h) if any(i in moments for i in h.positions) else h for h in histograms_of(clean, evidence, ["numeric_text", "text"])]
+        histograms = [h if isinstance(h, Histogram) else h.result() for h in (*early, *late)]
 
     result = spark.createDataFrame(
         [
             (
-                e.position, e.name, TYPE_LABELS.get(e.physical_type, "StringType"), e.physical_type,
-                e.semantic_category, e.total, e.filled, e.missing, e.approx_distinct, e.kind == "complex",
-                *_moment_fields(moments.get(e.position)),
+                e.position, e.name, type_label(e), e.physical_type, e.semantic_category, e.total, e.filled, e.missing,
+                e.kind == "complex", *_moment_fields(moments.get(e.position)),
             )
             for e in evidence
         ],
         "position int, column_name string, spark_type string, physical_type string, category string, "
-        "total_rows bigint, non_null_count bigint, missing_count bigint, approx_distinct bigint, is_complex boolean, "
+        "total_rows bigint, non_null_count bigint, missing_count bigint, is_complex boolean, "
         "min double, max double, mean double, variance double, skewness double, kurtosis double",
     )
-    histograms = [] if approximate else histograms_of(clean, evidence)
-    if not approximate:
-        # Narrowing reads the histograms of numbers several times.
-        histograms = [
-            replace(h, counts=materialize(h.counts)) if any(i in moments for i in h.positions) else h for h in histograms
-        ]
-    quartiles = _sketched_quartiles(clean, evidence, moments) if approximate else _quartiles(histograms, moments)
-
+    top = F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top")
     # One row per column on every side.
     parts = {
         "unique_count": distinct_values(histograms) if histograms else None,
-        "quartiles": quartiles,
-        "top": top_values(histograms)
-        .groupBy("position")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
-        if histograms
-        else _sketched_top(clean, evidence) if approximate else None,
+        "quartiles": _quartiles(histograms, moments),
+        "top": top_values(histograms).groupBy("position").agg(top) if histograms else None,
     }
-    types = {"quartiles": "array<double>", "top": "array<struct<rank:int,value:string,count:bigint>>"}
+    types = {"unique_count": "bigint", "quartiles": "array<double>", "top": "array<struct<rank:int,value:string,count:bigint>>"}
     for name, part in parts.items():
-        if part is not None:
-            result = result.join(part, "position", "left")
-        else:
-            result = result.withColumn(
-                name, F.col("approx_distinct") if name == "unique_count" else F.lit(None).cast(types[name])
-            )
+        result = result.join(part, "position", "left") if part is not None else result.withColumn(name, F.lit(None).cast(types[name]))
     return result.select(*_profile_columns())
 
 
+def _ranged(h: Histogram) -> Histogram:
+    """A histogram of numbers, stored by ranges of value: its ranks are asked for besides its values."""
+    return replace(h, counts=in_ranges(h.counts, "position", h.keys[0]))
+
+
+def type_label(e: ColumnEvidence) -> str:
+    return TYPE_LABELS.get(e.physical_type, "StringType")
+
+
 def _moment_fields(m: Moments | None) -> tuple:
     return (m.min, m.max, m.mean, m.variance, m.skewness, m.kurtosis) if m else (None,) * 6
 
@@ -458,38 +444,6 @@ def _profile_columns() -> list[Column]:
     ]
 
 
-def _sketched_quartiles(
-    clean: DataFrame, evidence: list[ColumnEvidence], moments: dict[int, Moments]
-) -> DataFrame | None:
-    branches = [
-        clean.agg(F.percentile_approx(e.as_double(), [*QUARTILES], 10_000).alias("quartiles")).select(
-            F.lit(e.position).alias("position"), "quartiles"
-        )
-        for e in evidence
-        if e.position in moments
-    ]
-    return _union(branches) if branches else None
-
-
-def _sketched_top(clean: DataFrame, evidence: list[ColumnEvidence]) -> DataFrame | None:
-    """(position, top) from frequent-item sketches of bounded size, one per column."""
-    branches = []
-    for e in evidence:
-        if e.kind == "complex" or not e.filled:
-            continue
-        storage = _storage_class(e)
-        names = KEYS[storage]
-        key = _key_columns(e, names)[names.index("text_value") if "text_value" in names else 0]
-        found = F.filter(F.expr(f"approx_top_k({key}, {TOP_VALUES + 1}, {SKETCHED_VALUES})"), lambda t: t["item"].isNotNull())
-        shown = lambda x: plain_number(x) if storage == "float" else x.cast("string")
-        top = F.transform(
-            F.slice(found, 1, TOP_VALUES),
-            lambda t, i: F.struct((i + 1).alias("rank"), shown(t["item"]).alias("value"), t["count"].alias("count")),
-        )
-        branches.append(clean.agg(top.alias("top")).select(F.lit(e.position).alias("position"), "top"))
-    return _union(branches) if branches else None
-
-
 def numeric_stats(df: DataFrame) -> DataFrame:
     """The statistics of the numeric columns, one column each."""
     return (

@@ -156,33 +156,41 @@ def duplicate_subset(columns: list[str]) -> tuple[list[str], list[str]]:
     return subset, audit
 
 
-def _row_digest(df: DataFrame) -> Column:
-    """A digest equal exactly when rows are: of the row as JSON, nulls included, with equal numbers written alike."""
+_NESTED = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+HASHES = ["__h1", "__h2"]
+
+
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """128 bits that are equal when rows are: two hashes of the typed cells, each with the set of cells that are null.
+
+    Nulls leave a hash as it is, so their places are hashed besides. Nested cells are hashed as JSON with whole microseconds.
+    """
     cells = []
     for field in df.schema.fields:
-        kind, c = kind_of(field.dataType), named(field.name)
+        kind = kind_of(field.dataType)
         value = present(field.name, kind)
-        cells.append((value + F.lit(0.0)).cast(field.dataType) if kind == "float" else value if kind != "complex" else F.expr(c))
-    row = F.to_json(F.struct(*[x.alias(f"c{i}") for i, x in enumerate(cells)]), {"ignoreNullFields": "false"})
-    return F.unhex(F.sha2(row, 256))
+        cells.append(value + F.lit(0.0) if kind == "float" else F.to_json(F.struct(value.alias("c")), _NESTED) if kind == "complex" else value)
+    nulls = F.concat(*[F.when(present(f.name, kind_of(f.dataType)).isNull(), F.lit("1")).otherwise(F.lit("0")) for f in df.schema.fields])
+    return [F.xxhash64(F.lit(seed), nulls, *order).alias(name) for name, seed, order in zip(HASHES, (1, 2), (cells, cells[::-1]))]
 
 
 def _group_sizes(df: DataFrame) -> DataFrame:
-    """(group_key, row_count) of the rows that occur more than once; only digests are shuffled."""
-    counts = df.select(_row_digest(df).alias("group_key")).groupBy("group_key").agg(F.count(F.lit(1)).alias("row_count"))
+    """(hashes, row_count) of the rows that occur more than once; only the hashes are shuffled."""
+    counts = df.select(*_row_hashes(df)).groupBy(*HASHES).agg(F.count(F.lit(1)).alias("row_count"))
     return counts.filter(F.col("row_count") > 1)
 
 
 def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Groups of equal rows: ``group_key``, one whole row of the group, and ``row_count``. NULLs are equal.
 
-    Sizes are counted over digests; the rows themselves are then read for the groups found.
+    Sizes are counted over 128-bit hashes; the rows themselves are then read for the groups found.
     """
     subset = columns or duplicate_subset(df.columns)[0]
     clean = normalize_missing(df.select([F.col(named(c)) for c in subset]))
-    shown = clean.select(_row_digest(clean).alias("__key"), F.struct(*[present(f.name, kind_of(f.dataType)).alias(f.name) for f in clean.schema.fields]).alias("__row"))
-    one = shown.join(_group_sizes(clean), F.col("__key") == F.col("group_key")).groupBy("group_key", "row_count").agg(F.first("__row").alias("__row"))
-    return one.select("group_key", *[F.col("__row")[c].alias(c) for c in subset], "row_count")
+    shown = clean.select(*_row_hashes(clean), F.struct(*[present(f.name, kind_of(f.dataType)).alias(f.name) for f in clean.schema.fields]).alias("__row"))
+    one = shown.join(_group_sizes(clean), HASHES).groupBy(*HASHES, "row_count").agg(F.first("__row").alias("__row"))
+    key = F.concat(*[F.lpad(F.hex(h), 16, "0") for h in HASHES])
+    return one.select(key.alias("group_key"), *[F.col("__row")[c].alias(c) for c in subset], "row_count")
 
 
 def duplicates(df: DataFrame) -> DataFrame:

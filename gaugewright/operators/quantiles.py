@@ -1,79 +1,44 @@
-"""Exact order statistics of histograms of any size.
+"""Exact order statistics of histograms of any size, with one shuffle.
 
-Input is a histogram (key, value, count). Each round counts the values of a target's interval
-in BINS bins and keeps the bin holding the wanted rank, whose smallest and largest member are
-the next interval. The first round bins on a logarithmic scale, later ones linearly, so an
-interval shrinks to a single double in a handful of rounds, whatever the distribution. Per round
-the driver sees one row per target, and the shuffle holds at most BINS rows per target.
+The values of a histogram are dealt out by ranges of key and value and stored, each row with the
+number of its range. A range's total is one row per key, so running totals over the ranges say which
+range holds a wanted rank and how many values come before it. The rank is then found within that one
+range. Whatever the distribution, it takes the job that stores the ranges and the one that reads them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BINS = 4096
+from ..plans.materialize import materialize
 
+RANGE = "value_range"
 
-def _log_scale(v: Column) -> Column:
-    """Order-preserving map of any double, infinities included, to -1024..1024."""
-    size = F.least(F.log1p(F.abs(v)), F.lit(1024.0))
-    return F.when(v < 0, -size).otherwise(size)
 
+def in_ranges(values: DataFrame, *order: str) -> DataFrame:
+    """A stored copy of a histogram, dealt out by ranges of ``order``, with the number of each row's range.
 
-def value_bin(v: Column, low: Column, high: Column) -> Column:
-    """Bin 0..BINS-1 of v between low and high; a bin never decreases as v grows."""
-    width = high - low
-    place = F.when(width > 0, F.floor((v - low) / F.when(width > 0, width).otherwise(1.0) * F.lit(float(BINS))))
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.coalesce(place, F.lit(0)))).cast("int")
+    Rows that are equal in ``order`` are in one range. AQE is not asked to merge ranges: their number sets their size.
+    """
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(values.repartitionByRange(ranges, *order).withColumn(RANGE, F.spark_partition_id()))
 
 
-def order_statistics(
-    values: DataFrame, targets: list[tuple[int, int]], ends: dict[int, tuple[float, float]]
-) -> dict[tuple[int, int], float]:
-    """The value at each (key, rank from 0) target of a (key, value, count) histogram, given each key's smallest and largest value.
+def order_statistics(ranged: DataFrame, targets: list[tuple[int, int]]) -> DataFrame:
+    """(key, rank, value): the value at each (key, rank from 0) target of a (key, value, count, value_range) histogram stored by ``in_ranges``.
 
-    The last job sorts what is left of an interval once that is no more than BINS values.
+    Nulls, ranks beyond the last value and keys without values have no row. Targets are a few per column.
     """
-    spark = values.sparkSession
-    # target -> (interval, number of values below the interval, distinct values in it)
-    open_targets = {(key, rank): (*ends[key], 0, None) for key, rank in set(targets)}
-    done: dict[tuple[int, int], float] = {}
-    log_round = True
-    running = Window.partitionBy("key", "rank")
-    while True:
-        for target, (low, high, _, _) in list(open_targets.items()):
-            if low == high:
-                done[target] = low
-                del open_targets[target]
-        if not open_targets:
-            return done
-        last = all(distinct is not None and distinct <= BINS for *_, distinct in open_targets.values())
-        # A few numbers per target, so the join side is bounded by the number of columns.
-        bounds = spark.createDataFrame(
-            [(key, rank, low, high, below) for (key, rank), (low, high, below, _) in open_targets.items()],
-            "key int, rank bigint, low double, high double, below bigint",
-        )
-        inside = values.join(F.broadcast(bounds), "key").filter(F.col("value").between(F.col("low"), F.col("high")))
-        if last:
-            upto = F.col("below") + F.sum("count").over(running.orderBy("value"))
-            # whole numbers beyond 2^53 can be one double
-            once = inside.groupBy("key", "rank", "below", "value").agg(F.sum("count").alias("count"))
-            found = once.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
-            done.update({(r["key"], r["rank"]): r["value"] for r in found.select("key", "rank", "value").collect()})
-            return done
-        scale = _log_scale if log_round else (lambda v: v)
-        binned = inside.groupBy(
-            "key", "rank", "below",
-            value_bin(scale(F.col("value")), scale(F.col("low")), scale(F.col("high"))).alias("bin"),
-        ).agg(F.sum("count").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("distinct"))
-        upto = F.col("below") + F.sum("n").over(running.orderBy("bin"))
-        picked = (
-            binned.withColumn("upto", upto)
-            .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-            .select("key", "rank", "low", "high", (F.col("upto") - F.col("n")).alias("below"), "distinct")
-            .collect()
-        )
-        open_targets = {(r["key"], r["rank"]): (r["low"], r["high"], r["below"], r["distinct"]) for r in picked}
-        log_round = False
+    wanted = F.broadcast(ranged.sparkSession.createDataFrame(sorted(set(targets)), "key int, rank bigint"))
+    # one row per key and range
+    totals = ranged.groupBy("key", RANGE).agg(F.sum("count").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy(RANGE)) - F.col("n")
+    holding = totals.withColumn("before", before).join(wanted, "key").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+    inside = ranged.join(F.broadcast(holding.select("key", RANGE, "rank", "before")), ["key", RANGE])  # a row per target
+    # whole numbers beyond 2^53 can be one double
+    once = inside.groupBy("key", "rank", "before", "value").agg(F.sum("count").alias("count"))
+    upto = F.col("before") + F.sum("count").over(Window.partitionBy("key", "rank").orderBy("value"))
+    found = once.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
+    return found.select("key", "rank", "value")

@@ -1,8 +1,9 @@
 """Missing-value tokens and the semantic type of each column.
 
 All evidence for typing a table comes from aggregates over the whole table: no head samples,
-so the answer does not depend on row order. One row per column comes back to the driver,
-whatever the table's size; the type rules then run on those rows.
+so the answer does not depend on row order. One scan turns every row into a cell per column, and one
+aggregate by column combines the cells in each task before the shuffle. One row per column comes back
+to the driver, whatever the table's size; the type rules then run on those rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,6 @@ from ..functions.fixed_values import (
 )
 from ..functions.text import NUMBER_PATTERN, SPACE_CLASS, number_sql, text_start, whole_text
 
-# Columns handled by one aggregate of the evidence job.
-COLUMNS_PER_BRANCH = {"number": 4, "text": 2, "plain": 32, "sketch": 100}
-
 # The rules only ask whether a column has more than DISCRETE_LIMIT distinct values.
 DISCRETE_LIMIT = 10
 
@@ -105,7 +103,6 @@ class ColumnEvidence:
     kind: str
     total: int
     filled: int
-    approx_distinct: int
     flags: int
     all_whole: bool
     all_zero_one: bool
@@ -181,6 +178,9 @@ class ColumnEvidence:
         return F.expr(self.double_sql())
 
 
+_STARTS_LIKE_A_NUMBER = rf"^{SPACE_CLASS}*[+\-.\diI]"
+
+
 def _text_flags(c: str) -> str:
     """One bit per rule a text meets; bit_and over a column leaves the rules all texts meet.
 
@@ -206,153 +206,91 @@ def _text_flags(c: str) -> str:
     longest = max(len(word) for word in every_word)
     return (
         f"CASE WHEN {c} IS NOT NULL THEN {bit(f'{c} IN {word_list(BOOLEAN_WORDS)}', _BOOLEAN_BIT)}"
-        rf" | (CASE WHEN {c} RLIKE r'^{SPACE_CLASS}*[+\-.\diI]' THEN {forms} ELSE 0 END)"
+        rf" | (CASE WHEN {c} RLIKE r'{_STARTS_LIKE_A_NUMBER}' THEN {forms} ELSE 0 END)"
         f" | (CASE WHEN length({c}) <= {longest} AND lower({c}) IN {word_list(every_word)}"
         f" THEN {vocabularies} ELSE 0 END) END"
     )
 
 
-def moment_aggregates(x: str) -> dict[str, str]:
-    """SQL text of the moments of a double."""
-    return {
-        "low": f"min({x})", "high": f"max({x})", "mean": f"avg({x})",
-        "variance": f"var_samp({x})", "skew": f"skewness({x})", "kurt": f"kurtosis({x})",
-    }
-
-
-def _branch_columns(i: int, name: str, kind: str, moments: bool) -> tuple[list[str], str]:
-    """Aggregates of one column and the struct that carries them."""
-    c = present_sql(name, kind)
-    aggregates = {"filled": f"count({c})"}
-    if kind == "string":
-        aggregates["flags"] = f"bit_and({_text_flags(c)})"
-    elif kind in ("integer", "decimal", "float"):
-        x = f"CAST({c} AS DOUBLE)"
-        aggregates["zero_one"] = f"bool_and({x} IN (0D, 1D))"
-        if kind != "integer":
-            aggregates["whole"] = f"bool_and(({c}) % 1 = 0)"
-        if moments:
-            aggregates |= moment_aggregates(x)
-    parts = [f"{i} AS position"] + [
-        f"CAST({f'{field}_{i}' if field in aggregates else 'NULL'} AS {dtype}) AS {field}"
-        for field, dtype in BRANCH_FIELDS.items()
-    ]
-    return [f"{a} AS {field}_{i}" for field, a in aggregates.items()], f"struct({', '.join(parts)})"
-
-
 def aggregate(df: DataFrame, aggregates: list[str]) -> DataFrame:
     """One row of aggregates given as SQL text."""
     return df.agg(*[F.expr(a) for a in aggregates])
 
 
-BRANCH_FIELDS = {
-    "filled": "bigint", "flags": "int", "zero_one": "boolean", "whole": "boolean",
-    "low": "double", "high": "double", "mean": "double", "variance": "double", "skew": "double", "kurt": "double",
+#: Aggregates by column over cells. ``bits`` sets one bit of 64 per value by its hash: more bits than a limit prove more values.
+EVIDENCE = {
+    "total": "count(1)", "filled": "count_if(present)", "flags": "bit_and(flags)", "zero_one": "bool_and(x IN (0D, 1D))",
+    "whole": "bool_and(coalesce(whole, x - rint(x) = 0D))",
+    "bits": "bit_count(bit_or(CASE WHEN x IS NOT NULL THEN shiftleft(1L, CAST(xxhash64(x + 0D) & 63L AS INT)) END))",
 }
+MOMENTS = {"low": "min(x)", "high": "max(x)", "mean": "avg(x)", "variance": "var_samp(x)", "skew": "skewness(x)", "kurt": "kurtosis(x)"}
 
 
-def column_facts(df: DataFrame, moments: bool) -> tuple[int, dict[int, dict]]:
-    """Row count and the per-column aggregates, as one job.
+def cells(df: DataFrame, items: tuple[int, int] | None = None, part: str | None = None) -> DataFrame:
+    """(position, present, x, whole, flags): every cell of a table, from one scan.
 
-    The job is a union of small aggregates, a few columns each, because an aggregate over many
-    columns compiles to a method too large for the JIT. A branch reads only its own columns. The
-    distinct-value sketches, which do not compile into whole-stage code, have branches of their own.
+    ``x`` is the value as a number if it is one or reads as one, ``flags`` the rules a text meets; ``whole`` is set where
+    the number as a double may hide decimal places. Rows are turned into cells first and cells are judged afterwards,
+    so that the compiled code doesn't grow with the number of columns. ``items`` (longest text, characters kept) asks for
+    the value as a text besides: a longer one as its first characters and a digest of the whole. The last column is not a
+    cell but kept beside the cells where it is named as ``part``.
     """
-    groups: dict[str, list[int]] = {}
-    for i, field in enumerate(df.schema.fields):
+    values = []
+    fields = df.schema.fields[:-1] if part else df.schema.fields
+    kept = [named(part)] if part else []
+    for i, field in enumerate(fields):
         kind = kind_of(field.dataType)
-        group = {"string": "text", "integer": "number", "decimal": "number", "float": "number"}.get(kind, "plain")
-        groups.setdefault(group, []).append(i)
-
-    branches = []
-    for group, members in groups.items():
-        size = COLUMNS_PER_BRANCH[group]
-        for start in range(0, len(members), size):
-            aggregates, structs = [], []
-            for i in members[start : start + size]:
-                field = df.schema.fields[i]
-                a, struct = _branch_columns(i, field.name, kind_of(field.dataType), moments)
-                aggregates += a
-                structs.append(struct)
-            branches.append(aggregate(df, aggregates).selectExpr(f"inline(array({', '.join(structs)}))"))
-    sketched = [i for i, f in enumerate(df.schema.fields) if kind_of(f.dataType) != "complex"]
-    size = COLUMNS_PER_BRANCH["sketch"]
-    sketches = []
-    for start in range(0, len(sketched), size):
-        members = sketched[start : start + size]
-        counts = [
-            f"approx_count_distinct({present_sql(df.columns[i], kind_of(df.schema[i].dataType))}) AS d_{i}"
-            for i in members
-        ]
-        pairs = ", ".join(f"struct({i} AS position, d_{i} AS distinct)" for i in members)
-        sketches.append(aggregate(df, counts).selectExpr(f"inline(array({pairs}))"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(-1).alias("position"), F.col("total").alias("distinct"))
-
-    everything = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), [*branches, *sketches, total]
-    )
-    found: dict[int, dict] = {}
-    for row in everything.collect():
-        values = {k: v for k, v in row.asDict().items() if v is not None}
-        found.setdefault(row["position"], {}).update(values)
-    return found.pop(-1)["distinct"], found
+        c = present_sql(field.name, kind)
+        number = f"CAST({c} AS DOUBLE)" if kind in ("integer", "decimal", "float") else "NULL"
+        values += [str(i), f"{c} IS NOT NULL", number, f"({c}) % 1 = 0" if kind == "decimal" else "NULL", c if kind == "string" else "NULL"]
+        if items:
+            other = f"initcap(CAST({c} AS STRING))" if kind == "boolean" else f"CAST({c} + 0 AS STRING)" if kind == "float" else f"CAST({c} AS STRING)"
+            values.append("NULL" if kind in ("string", "complex") else other)
+    typed = ["CAST(NULL AS INT)", "CAST(NULL AS BOOLEAN)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BOOLEAN)", "CAST(NULL AS STRING)"]
+    names = "position, present, number, whole, text"
+    if items:
+        typed, names = [*typed, "CAST(NULL AS STRING)"], f"{names}, other"
+    turned = df.selectExpr(*kept, f"stack({len(fields) + 1}, {', '.join(typed + values)}) AS ({names})").filter("position IS NOT NULL")
+    x = f"CASE WHEN text IS NULL THEN number WHEN text RLIKE r'{_STARTS_LIKE_A_NUMBER}' THEN {number_sql('text')} END"
+    judged = ["position", "present", f"{x} AS x", "whole", f"{_text_flags('text')} AS flags"]
+    if items:
+        longest, first = items
+        judged.append(f"CASE WHEN length(text) > {longest} THEN concat(left(text, {first}), '...', sha2(text, 256)) ELSE coalesce(text, other) END AS item")
+    return turned.selectExpr(*kept, *judged)
+
+
+def evidence_of(position: int, name: str, kind: str, values: dict, few: int | None = None) -> ColumnEvidence:
+    """The evidence that the aggregates of a column's cells give."""
+    return ColumnEvidence(
+        position, name, kind, values.get("total") or 0, values.get("filled") or 0, values.get("flags") or 0,
+        kind == "integer" if values.get("whole") is None else values["whole"], bool(values.get("zero_one")), few,
+    )
 
 
 def column_evidence(df: DataFrame, moments: bool = False) -> tuple[list[ColumnEvidence], dict[int, dict]]:
-    """Evidence for every column and its raw aggregates; ``moments`` adds those of numeric columns."""
-    total, facts = column_facts(df, moments)
-    found = []
-    for i, field in enumerate(df.schema.fields):
-        values = facts.get(i, {})
-        kind = kind_of(field.dataType)
-        found.append(
-            ColumnEvidence(
-                position=i,
-                name=field.name,
-                kind=kind,
-                total=total,
-                filled=values.get("filled", 0),
-                approx_distinct=values.get("distinct", 0),
-                flags=values.get("flags", 0),
-                all_whole=values.get("whole", kind == "integer"),
-                all_zero_one=values.get("zero_one", False),
-            )
-        )
-    return _with_exact_details(df, found), facts
+    """Evidence for every column and its raw aggregates; ``moments`` adds those of numbers and numeric texts.
+
+    One scan; a second one, over these columns alone, counts the values of decimal numbers and numeric texts of which the
+    first did not prove that there are more than DISCRETE_LIMIT.
+    """
+    if not df.columns:
+        return [], {}
+    wanted = EVIDENCE | (MOMENTS if moments else {})
+    facts = {r["position"]: r.asDict() for r in cells(df).groupBy("position").agg(*[F.expr(a).alias(n) for n, a in wanted.items()]).collect()}
+    found = [evidence_of(i, f.name, kind_of(f.dataType), facts.get(i, {})) for i, f in enumerate(df.schema.fields)]
+    few = [e for e in found if e.filled and (e.is_numeric_text or e.kind in ("decimal", "float")) and facts[e.position]["bits"] <= DISCRETE_LIMIT]
+    if few:
+        values = ", ".join(f"{e.position}, {e.double_sql()} + 0D" for e in few)
+        counted = df.selectExpr(f"stack({len(few)}, {values}) AS (position, x)").groupBy("position").agg(F.count_distinct("x").alias("n")).collect()
+        exact = {r["position"]: r["n"] for r in counted}
+        found = [replace(e, exact_distinct=exact.get(e.position)) for e in found]
+    return found, facts
 
 
 def declared_columns(df: DataFrame) -> list[ColumnEvidence]:
     """Columns by declared type alone, without reading the table."""
     return [
-        ColumnEvidence(i, f.name, kind_of(f.dataType), 0, 0, 0, 0, False, False) for i, f in enumerate(df.schema.fields)
-    ]
-
-
-def _with_exact_details(df: DataFrame, found: list[ColumnEvidence]) -> list[ColumnEvidence]:
-    """Further passes over only the columns the first one left open (floats, decimals, numeric texts).
-
-    Whether a column has more than DISCRETE_LIMIT values: each value sets one bit of 64 by its hash, and
-    more bits than the limit prove more values. Only the columns with fewer bits have their values collected.
-    """
-    left = [e for e in found if e.filled and (e.is_numeric_text or e.kind in ("decimal", "float"))]
-    if not left:
-        return found
-    bits = {e.position: f"bit_or(shiftleft(1L, CAST(pmod(xxhash64({e.double_sql()} + 0D), 64) AS INT)))" for e in left}
-    first = [
-        aggregate(df, [f"bool_and({e.double_sql()} % 1 = 0) AS whole", f"bit_count({bits[e.position]}) AS bits"]).selectExpr(f"{e.position} AS position", "*")
-        for e in left
-    ]
-    details = {row["position"]: row for row in reduce(DataFrame.unionByName, first).collect()}
-    few = [e for e in left if details[e.position]["bits"] <= DISCRETE_LIMIT]
-    counted = {}
-    if few:
-        exact = [aggregate(df, [f"size(collect_set({e.double_sql()} + 0D)) AS distinct"]).selectExpr(f"{e.position} AS position", "*") for e in few]
-        counted = {row["position"]: row["distinct"] for row in reduce(DataFrame.unionByName, exact).collect()}
-    return [
-        replace(e, all_whole=bool(details[e.position]["whole"]) if e.is_numeric_text else e.all_whole, exact_distinct=counted.get(e.position))
-        if e.position in details
-        else e
-        for e in found
+        ColumnEvidence(i, f.name, kind_of(f.dataType), 0, 0, 0, False, False) for i, f in enumerate(df.schema.fields)
     ]
 
 

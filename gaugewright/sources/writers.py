@@ -25,7 +25,7 @@ def write_output(df: DataFrame, source: str, requested: str | None = None) -> st
     if form == "csv":
         writer.option("header", "true").csv(path)
     elif form == "json":
-        writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").json(path)
+        writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     else:
         writer.parquet(path)
     return path

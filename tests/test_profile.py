@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugewright.functions.fixed_values import MISSING_TOKENS, ORDINAL_WORDS
 from gaugewright.operators import profile as P
 from gaugewright.operators import semantics as S
-from gaugewright.operators.quantiles import order_statistics
+from gaugewright.operators.quantiles import in_ranges, order_statistics
 
 
 def types(df):
@@ -170,20 +170,26 @@ def test_order_statistics_of_extreme_values(spark):
     )
     ordered = sorted(values)
     ranks = [0, 1, 5, 200, 405, 600, len(values) - 2, len(values) - 1]
-    ends = {0: (ordered[0], ordered[-1])}
-    assert order_statistics(histogram, [(0, r) for r in ranks], ends) == {(0, r): ordered[r] for r in ranks}
-
-
-@pytest.mark.parametrize("bins", [4, 4096])
-def test_quartiles_do_not_depend_on_the_bins(spark, monkeypatch, bins):
-    from gaugewright.operators import quantiles
-
-    monkeypatch.setattr(quantiles, "BINS", bins)
-    df = spark.range(5000).select((F.col("id") * F.col("id") * 0.5).alias("sq"), F.exp(F.col("id") / 200).alias("ex"))
-    values = {r["column_name"]: r["raw"] for r in P.full_profile(df).collect()}
-    for name in ("sq", "ex"):
-        ordered = sorted(r[name] for r in df.collect())
-        assert values[name]["median"] == pytest.approx((ordered[2499] + ordered[2500]) / 2, rel=1e-12)
+    ranged = in_ranges(histogram, "key", "value")
+    assert {(r["key"], r["rank"]): r["value"] for r in order_statistics(ranged, [(0, r) for r in ranks]).collect()} == {(0, r): ordered[r] for r in ranks}
+    assert order_statistics(ranged, [(0, len(values)), (1, 0)]).count() == 0
+
+
+@pytest.mark.parametrize("ranges", ["1", "3", "64"])
+def test_ranks_do_not_depend_on_the_ranges(spark, ranges):
+    """A value that holds most rows, several keys, and more ranges than values."""
+    rng = random.Random(9)
+    rows = [(k, v) for k in range(3) for v in [float(rng.randint(-20, 20)) for _ in range(400)] + [7.0] * (3000 if k == 1 else 1)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        histogram = spark.createDataFrame(rows, "key int, value double").groupBy("key", "value").agg(F.count(F.lit(1)).alias("count"))
+        targets = [(k, r) for k in range(3) for r in (0, 1, 99, 200, 399, 400)] + [(1, 3399)]
+        found = {(r["key"], r["rank"]): r["value"] for r in order_statistics(in_ranges(histogram, "key", "value"), targets).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ordered = {k: sorted(v for key, v in rows if key == k) for k in range(3)}
+    assert found == {(k, r): ordered[k][r] for k, r in targets}
 
 
 def test_numeric_texts_and_any_column_name(rows):
