@@ -25,7 +25,7 @@ from .text import code_points, mix, slices
 ORDER = 4
 HASHES = 3
 #: An n-gram belongs to a language if it makes up this share of the language's n-grams at least, and
-#: its rate there is this part of its rates in all languages together at least.
+#: its rate there is this part of its highest rate in any language at least; so one that is common to all is in all.
 LEAST_RATE, LEAST_PART = 1e-6, 0.1
 MOST_LANGUAGES = 64
 UNKNOWN = "und"
@@ -158,8 +158,8 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         rate = F.when(F.col("lang") == lang, F.col("n") / float(totals[lang])).otherwise(rate)
         number = F.when(F.col("lang") == lang, k).otherwise(number)
     rated = counted.select("gram", number.alias("k"), rate.alias("rate"))
-    all_rates = rated.groupBy("gram").agg(F.sum("rate").alias("all"))
-    members = rated.where(F.col("rate") >= LEAST_RATE).join(all_rates, "gram").where(F.col("rate") >= F.col("all") * LEAST_PART)
+    highest = rated.groupBy("gram").agg(F.max("rate").alias("highest"))
+    members = rated.where(F.col("rate") >= LEAST_RATE).join(highest, "gram").where(F.col("rate") >= F.col("highest") * LEAST_PART)
     table = members.groupBy("gram").agg(F.sum(F.pow(F.lit(2.0), F.col("k") % 32).cast("bigint") * (F.col("k") < 32).cast("int")).alias("low"), F.sum(F.pow(F.lit(2.0), F.col("k") % 32).cast("bigint") * (F.col("k") >= 32).cast("int")).alias("high")).toArrow()
     hashes = table["gram"].to_numpy().view(np.uint64)
     bits = table["low"].to_numpy().astype(np.uint64) | table["high"].to_numpy().astype(np.uint64) << np.uint64(32)

@@ -40,13 +40,36 @@ def test_pipeline(spark, folder):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
 
 
+CAT = "the cat sat on the mat with the hat"
+
+
 def test_stages_take_nulls_and_nothing(spark, frame, folder):
     schema = read(spark, folder, "documents").schema
-    rows = [(1, "the cat sat on the mat with the hat", "en", "a", 36), (1, "the cat sat on the mat with the hat", "en", "a", 36), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "the cat sat on the mat with the dog", None, None, 1), (4, "1234", "en", "c", 4)]
+    rows = [(1, CAT, "en", "a", 36), (1, CAT, "en", "a", 36), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "the cat sat on the mat with the dog", None, None, 1), (4, "1234", "en", "c", 4), (5, "the dog and the cat sat on a hat", None, None, 9)]
     for start in (rows, []):
         docs = spark.createDataFrame(start, schema)
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = spark.createDataFrame(stage(spark, docs, folder).collect(), schema)
-        assert sorted((r.doc_id or 0) for r in docs.collect()) == ([0, 1, 1] if start else [])
+        assert sorted((r.doc_id or 0) for r in docs.collect()) == ([0, 1, 5] if start else [])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == (3 if start else 0)
     assert language_id.UNKNOWN == "und"
+
+
+def test_stages_judge_rows_without_an_id_and_under_a_shared_one(spark, folder):
+    item = read(spark, folder, "benchmark").first().text
+    other = "one two three four five six seven eight nine ten"
+    rows = [(None, CAT), (None, CAT), (7, CAT), (7, other), (9, other), (None, f"before it {item} after it"), (8, f"{item}"), (8, "clean words that stand here alone without any item")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect())
+    assert [r for r in kept if item not in r[1]] == [(7, other), (7, CAT), (8, rows[-1][1])]
+    left = corpus_pipeline.decontamination(spark, docs, folder).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, t) for i, t in rows if item not in t)
+
+
+def test_stages_keep_columns_of_clashing_names(spark, folder):
+    names = ["score", "lang_pred", "n_lines", "n_removed", "n_links", "group_id", "row_0", "kept"]
+    docs = spark.createDataFrame([(k, CAT, "en", "a", *[f"{n}{k}" for n in names]) for k in (1, 2)], f"doc_id bigint, text string, lang string, source string, {', '.join(f'{n} string' for n in names)}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert sorted(tuple(r)[4:] for r in out.collect())[0] == tuple(f"{n}1" for n in names)

@@ -46,6 +46,16 @@ def test_filter_returns_all_languages_of_a_gram(frame):
     assert (model.lookup(hashes) == 3).sum() >= 3
 
 
+def test_an_ngram_of_twelve_languages_is_in_all(frame):
+    own = ["zug", "pfad", "moth", "quiz", "vlak", "bryn", "kjos", "wxyz", "gnu", "fjord", "lodz", "cwm"]
+    docs = frame([(k, "shared word " + f"{w} " * 3, f"l{k:02}") for k, w in enumerate(own)], "id int, text string, lang string")
+    model = language_id.train(docs)
+    hashes, _, _ = language_id.grams(["shared"], model.order)
+    assert len(model.languages) == 12 and (model.lookup(hashes) == (1 << 12) - 1).sum() >= 4
+    asked = frame([(k, f"{w} {w}") for k, w in enumerate(own)], "id int, text string")
+    assert {r.id: r.lang_pred for r in language_id.identify(asked, model).collect()} == {k: f"l{k:02}" for k in range(12)}
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
