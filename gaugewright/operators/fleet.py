@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 from typing import Callable
 
 from pyspark.sql import DataFrame
 
+from ..plans.materialize import materialize
 from . import catalogue as C
 from . import kpi as K
 from . import operations as O
@@ -14,6 +16,7 @@ from . import relations as L
 from . import sessions as N
 from . import storage as G
 from . import workload as M
+from .snapshots import SNAPSHOT, current, history
 
 # name -> (operator, facts it reads)
 REPORTS: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {
@@ -97,14 +100,32 @@ REPORTS: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {
 }
 
 
-def reports(facts: dict[str, DataFrame], as_of: str | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """The reports the given facts suffice for, each as a function without arguments.
+#: Facts that are histories: reports read all their records.
+HISTORIES = ["backups", "job_runs"]
+
+
+def stored_states(facts: dict[str, DataFrame], threads: int = 4) -> dict[str, DataFrame]:
+    """Each fact as it stands now, stored once, for many reports to read.
+
+    Which snapshots count and which keys are missing is worked out here once per fact; reports on the result find no snapshot times to look at.
+    """
+
+    def store(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
+        name, fact = item
+        return name, materialize(history(fact) if name in HISTORIES else current(fact).drop(SNAPSHOT))
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return dict(pool.map(store, facts.items()))
+
+
+def reports(facts: dict[str, DataFrame], as_of: str | None = None, settings: dict[str, dict] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The reports the given facts suffice for, each as a function without arguments. ``settings`` has named arguments by report.
 
     Reports that need a moment in time are left out without ``as_of``. Pass the result to
     ``sources.bulk.collect_all`` to write them all, each on its own.
     """
     ready = {
-        name: partial(run, *[facts[f] for f in needed])
+        name: partial(run, *[facts[f] for f in needed], **(settings or {}).get(name, {}))
         for name, (run, needed) in REPORTS.items()
         if all(f in facts for f in needed)
     }

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.fixed_values import RANGE_MINUTES
 from ..functions.status import is_user_table, status_band
 from ..functions.text import footprint_text, ratio, rounded, short_count
+from .peaks import peaks
 from .storage import total_bytes
 from .snapshots import current, on_current
 from .trends import metric_trend
@@ -138,11 +139,11 @@ def storage_growth(snapshots: DataFrame, time: str = "snapshot_ts") -> DataFrame
     return snapshots.select(*keys, time, "bytes", "table_count", (F.col("bytes") - before).alias("growth_bytes"))
 
 
-def blocked_kpi(locks: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
-    """Waiting locks per server now, and at most over the period where ``peaks`` (server, peak) has it."""
+def blocked_kpi(locks: DataFrame, most: DataFrame | None = None) -> DataFrame:
+    """Waiting locks per server now, and at most over the period where ``most`` (server, peak) has it."""
     now = current(locks).groupBy("server").agg(F.count_if(F.upper("lock_status") == "WAITING").alias("blocked"))
-    if peaks is not None:
-        now = now.join(peaks.select("server", F.col("peak").alias("__peak")), "server", "left")
+    if most is not None:
+        now = now.join(most.select("server", F.col("peak").alias("__peak")), "server", "left")
         peak = F.greatest("blocked", F.col("__peak").cast("bigint"))
     else:
         peak = F.col("blocked")
@@ -152,6 +153,15 @@ def blocked_kpi(locks: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
     )
 
 
+def blocked_over_period(locks: DataFrame, waits: DataFrame, since: str, until: str) -> DataFrame:
+    """``blocked_kpi`` with the most sessions that waited at once in ``[since, until)`` and the first time they did.
+
+    ``waits`` has a row per wait (server, start_ts, end_ts); one that goes on has no end.
+    """
+    most = peaks(waits, ["server"], "start_ts", "end_ts", since, until)
+    return blocked_kpi(locks, most).join(most.select("server", "peak_at"), "server", "left")
+
+
 @on_current
 def deadlock_kpi(counters: DataFrame, metric: str = "deadlocks") -> DataFrame:
     """Deadlocks per server; any at all is critical."""

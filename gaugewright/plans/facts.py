@@ -170,6 +170,10 @@ SELECT {_SERVER.format('user_id')} AS server, {_DATABASE.format('user_id')} AS d
  CASE WHEN event_id % 23 = 0 THEN 'WAITING' ELSE 'GRANTED' END AS lock_status,
  CASE WHEN event_id % 5 = 0 THEN 'pg_catalog' ELSE 's1' END AS schema_name,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('t', CAST(event_id % 97 AS string)) END AS object_name FROM events""",
+    "waiting_times": f"""
+SELECT {_SERVER.format('user_id')} AS server, event_id AS lock_id, ts AS start_ts,
+ CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ts WHEN 2 THEN ts + INTERVAL 7 MINUTE WHEN 3 THEN ts + INTERVAL 95 MINUTE ELSE ts + INTERVAL 31 HOUR END AS end_ts
+ FROM events WHERE event_id % 3 <> 0""",
     "metric_samples": f"""
 SELECT {_SERVER.format('user_id')} AS server, ts, event_type AS metric, value FROM events""",
     "counters": f"""
@@ -235,7 +239,7 @@ SELECT {_SERVER.format('o_custkey')} AS server, {_DATABASE.format('o_custkey')}
 
 
 #: Facts that are a history in themselves.
-SERIES = ["metric_samples", "storage_snapshots"]
+SERIES = ["metric_samples", "storage_snapshots", "waiting_times"]
 #: Histories of records that every snapshot repeats.
 RECORDS = ["backups", "job_runs"]
 #: Whether derived facts carry older snapshots.

@@ -324,6 +324,21 @@ def kpi_blocked(spark, folder):
     return K.blocked_kpi(derived(spark, folder, "locks"))
 
 
+_PERIOD = "TIMESTAMP '2024-01-05 00:00:00'", f"TIMESTAMP '{AS_OF}'"
+
+
+@query("kpi_blocked_peak", "P6 N6", f"""
+WITH w AS (
+ SELECT server, greatest(start_ts, {_PERIOD[0]}) AS s, end_ts AS e FROM fact_waiting_times
+ WHERE (end_ts IS NULL OR end_ts > start_ts) AND (end_ts IS NULL OR end_ts > {_PERIOD[0]}) AND start_ts < {_PERIOD[1]}),
+ c AS (SELECT a.server, a.s, count(*) AS n FROM (SELECT DISTINCT server, s FROM w) a JOIN w b ON a.server = b.server AND b.s <= a.s AND (b.e IS NULL OR b.e > a.s) GROUP BY a.server, a.s),
+ m AS (SELECT server, max(n) AS n, arg_min(s, struct_pack(a := -n, b := s)) AS first_at FROM c GROUP BY server)
+SELECT server, blocked, greatest(blocked, coalesce(n, 0)) AS peak, first_at AS peak_at, CASE WHEN blocked = 0 THEN 'No Blocking' ELSE blocked || ' Sessions Blocked' END AS status_text,
+ CASE WHEN blocked = 0 THEN 'Normal' WHEN blocked <= 5 THEN 'Elevated' ELSE 'Critical' END AS status FROM {_BLOCKED} b LEFT JOIN m USING (server)""")
+def kpi_blocked_peak(spark, folder):
+    return K.blocked_over_period(derived(spark, folder, "locks"), derived(spark, folder, "waiting_times"), "2024-01-05 00:00:00", AS_OF)
+
+
 @query("kpi_deadlocks", "P7", f"""
 SELECT server, d AS deadlocks, CASE WHEN d = 0 THEN 'Normal' ELSE 'Critical' END AS status, CASE WHEN d = 0 THEN 'Zero Contention' ELSE d || ' Deadlock Event(s)' END AS status_text
  FROM (SELECT server, {big("coalesce(sum(value) FILTER (WHERE metric = 'deadlocks'), 0)")} AS d FROM fact_counters GROUP BY server) c""")

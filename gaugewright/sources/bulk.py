@@ -102,16 +102,19 @@ def cached_profile(spark: SparkSession, key: TableKey, folder: str) -> DataFrame
 def collect_all(
     spark: SparkSession, reports: dict[str, Callable[[], DataFrame]], folder: str, threads: int = 4
 ) -> DataFrame:
-    """Write each report to ``folder/<name>``; a failing report becomes a row with an error."""
+    """Write each report to ``folder/<name>``; (report, row_count, error), a failing report being a row with an error.
 
-    def run(item: tuple[str, Callable[[], DataFrame]]) -> tuple[str, str | None]:
+    Rows are counted from the footers of what was written.
+    """
+
+    def run(item: tuple[str, Callable[[], DataFrame]]) -> tuple[str, int | None, str | None]:
         name, report = item
         try:
             report().write.mode("overwrite").parquet(f"{folder}/{name}")
-            return name, None
+            return name, spark.read.parquet(f"{folder}/{name}").count(), None
         except Exception as error:  # one report must not stop the others
-            return name, str(error).splitlines()[0]
+            return name, None, str(error).splitlines()[0]
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         rows = list(pool.map(run, reports.items()))
-    return spark.createDataFrame(rows, "report string, error string")
+    return spark.createDataFrame(rows, "report string, row_count bigint, error string")
