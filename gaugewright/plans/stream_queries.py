@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.counters import counter_totals, latest_rates, run_counters
 from ..streaming.monitors import run_to_end, stream_quality, stream_trend
 from .facts import source
+from .materialize import shared_folder
 from .registry import pct, query, rnd
 
 
@@ -65,3 +69,22 @@ def quality_on_stream(spark, folder):
 
     found = to_end(spark, folder, report)
     return found.withColumn("window_start", utc_text("yyyy-MM-dd"))
+
+
+@query("stream_qps", "P4 R2", f"""
+SELECT server, CAST(sum(step) AS DOUBLE) AS increase, CAST(date_sub('second', min(ts), max(ts)) AS BIGINT) AS seconds, {rnd("sum(step) / greatest(1, date_sub('second', min(ts), max(ts)))", 1)} AS qps FROM
+ (SELECT server, ts, CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END AS step FROM
+ (SELECT 'srv' || CAST(user_id % 4 AS VARCHAR) AS server, ts, CAST(round(value * 1000) AS BIGINT) AS v,
+ lag(CAST(round(value * 1000) AS BIGINT)) OVER (PARTITION BY user_id % 4 ORDER BY ts, value) AS before FROM events WHERE event_type = 'click') a) b GROUP BY server""")
+def qps_on_stream(spark, folder):
+    """A query counter as a stream that is stopped half way and goes on from its checkpoint."""
+    place = f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}"
+    server = F.concat(F.lit("srv"), (F.col("user_id") % 4).cast("string"))
+    events = source(spark, folder, "events").filter("event_type = 'click'")
+    samples = events.select(server.alias("server"), F.col("event_type").alias("metric"), "ts", F.round(F.col("value") * 1000).cast("double").alias("value"))
+    middle = samples.agg(F.expr("percentile_approx(ts, 0.5)").alias("m")).first()["m"]
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
+        samples.filter(half).write.mode("append").parquet(f"{place}/in")
+        totals = counter_totals(spark.readStream.schema(samples.schema).parquet(f"{place}/in"))
+        found = run_counters(totals, f"{place}/out", f"{place}/progress")
+    return latest_rates(found).select("server", "increase", "seconds", F.col("rate").alias("qps"))

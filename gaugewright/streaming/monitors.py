@@ -22,13 +22,18 @@ from ..plans.materialize import shared_folder
 SERIES = ["server", "metric"]
 
 
-def windowed(df: DataFrame, time: str, width: str, watermark: str) -> DataFrame:
-    """Add a tumbling ``window``; watermarks need an instant, so times without a zone are taken as UTC."""
+def instants(df: DataFrame, time: str) -> DataFrame:
+    """Watermarks need an instant: times without a zone are taken as UTC."""
     instant = F.col(time).cast("timestamp")
     if isinstance(df.schema[time].dataType, TimestampNTZType):
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(time)))
-    stamped = df.withColumn(time, instant)
+    return df.withColumn(time, instant)
+
+
+def windowed(df: DataFrame, time: str, width: str, watermark: str) -> DataFrame:
+    """Add a tumbling ``window``."""
+    stamped = instants(df, time)
     return stamped.withWatermark(time, watermark).withColumn("window", F.window(time, width))
 
 
