@@ -36,7 +36,7 @@ TOP_WAITS = "Most of the waiting over {period} was on '{first}' ({first_share}%)
 TOP_WAIT = "All waiting over {period} was on '{first}' ({first_share}%)."
 TOP_NO_WAIT = "There was no waiting worth mention over {period}."
 TOP_CACHE = "Of the reads on {server}, {hit}% came from the cache and {miss}% from disk."
-TOP_TABLE = "'{table}' is the largest table, with {size}."
+TOP_TABLE = "Of all tables '{table}' takes the most room: {size}."
 
 
 def parts(template: str) -> list[tuple[str, bool]]:

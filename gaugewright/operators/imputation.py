@@ -93,13 +93,14 @@ def apply_imputation(
     A method is mean, median, mode or constant; where none is given, the recommended one applies.
     A fill value is one literal per column, so nothing is joined. A column keeps its type: a mean or
     median is unrounded in a column of floats, and in whole numbers and decimals rounded half to even
-    to what the type can hold. Values that are not missing stay exactly as they are.
+    to what the type can hold. Values that are not missing stay exactly as they are. A column without
+    any value has no mean, median or mode: it takes its constant where one is given and stays empty otherwise.
     """
     clean = normalize_missing(df)
     stats = {
         r["column_name"]: r
         for r in recommend(full_profile(clean.select([F.col(named(c)) for c in columns])))
-        .select("column_name", "missing_count", "recommended_method", "raw")
+        .select("column_name", "missing_count", "non_null_count", "recommended_method", "raw")
         .collect()
     }
     fills: dict[str, Column] = {}
@@ -112,6 +113,10 @@ def apply_imputation(
             continue
         dtype = df.schema[name].dataType
         value = present(name, kind_of(dtype))
+        if found["non_null_count"] == 0 and method != "constant":
+            if name not in (constants or {}):
+                continue
+            method = "constant"
         if method in ("mean", "median"):
             if found["raw"] is None:
                 raise ValueError(f"column {name} has no {method}")

@@ -207,3 +207,9 @@ def test_rows_a_microsecond_apart_are_no_duplicates(rows):
 def test_places_of_nulls_and_borders_of_texts_count(rows):
     df = rows([(None, "a", "bc"), ("a", None, "bc"), ("ab", "c", None), ("a", "bc", None), (None, "a", "bc")], "x string, y string, z string")
     assert [tuple(r)[1:] for r in Q.duplicate_groups(df).collect()] == [(None, "a", "bc", 2)]
+
+
+def test_columns_without_any_value_stay_empty_or_take_a_constant(rows):
+    df = rows([(None, None, 1), (None, "N/A", 2)], "x double, t string, n int")
+    assert [tuple(r) for r in I.apply_imputation(df, ["x", "t"]).orderBy("n").collect()] == [(None, None, 1), (None, None, 2)]
+    assert [tuple(r) for r in I.apply_imputation(df, ["x", "t"], {"x": "mean"}, {"x": 1.5, "t": "u"}).orderBy("n").collect()] == [(1.5, "u", 1), (1.5, "u", 2)]
