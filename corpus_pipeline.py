@@ -28,12 +28,23 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents, stored with a number of its own for every row, and that column's name.
+    """The documents with a number for every row, and that column's name.
 
-    So rows with a null id, and different texts under one id, are told apart and each is judged.
+    So rows with a null id, and different texts under one id, are told apart and each is judged. An id that stands once is
+    its row's number. Only the other rows, if there are any, are stored, with numbers below all ids.
     """
     name = next(n for n in (f"row_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id())), name
+    own = docs.withColumn(name, F.col("doc_id").cast("bigint"))
+    counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialize(counted.where((F.col("n") > 1) | F.col("doc_id").isNull()).select("doc_id"))
+    if shared.isEmpty():
+        return own, name
+    least = docs.agg(F.coalesce(F.min(F.col("doc_id").cast("bigint")), F.lit(0)).alias("least")).first()["least"]
+    ids = shared.where(F.col("doc_id").isNotNull())
+    several = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(ids, "doc_id", "left_semi").select(*docs.columns))
+    stored = materialize(several.withColumn(name, F.lit(least - 1) - F.monotonically_increasing_id()))
+    once = own.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_anti")
+    return once.select(*stored.columns).unionByName(stored), name
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
