@@ -34,7 +34,7 @@ latest_backups:ops_latest_backups database_flags:ops_database_flags cpu_kpi:kpi_
 
 def _counts() -> str:
     names = {report: QUERY_OF.get(report, f"rel_{report}") for report in REPORTS}
-    return " UNION ALL ".join(f"SELECT '{r}' AS report, (SELECT count(*) FROM ({QUERIES[q].sql}) counted) AS row_count, NULL AS error" for r, q in names.items())
+    return " UNION ALL ".join(f"SELECT '{r}' AS report, (SELECT count(*) FROM ({QUERIES[q].sql}) counted) AS row_count, CAST(NULL AS VARCHAR) AS error" for r, q in names.items())
 
 
 @query("bulk_all_reports", "R11", _counts())
