@@ -101,3 +101,15 @@ def test_names_with_separators_do_not_collide(rows):
     columns = rows([("s", "d", "p", "t", "i1", "a, b", 1), ("s", "d", "p", "t", "i2", "a", 1), ("s", "d", "p", "t", "i2", "b", 2), ("s", "d", "p", "t", "i3", "a", 1)], index)
     assert [(r.kind, r.column_list, r.index_count) for r in L.duplicate_indexes(columns).collect()] == [("prefix overlap", "a", 1)]
     assert L.duplicate_index_names(columns).count() == 0
+
+
+def test_a_fact_is_not_shuffled_by_its_few_databases(spark, rows):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = rows([("s", "a", at(0), 1), ("s", "a", at(0, -1), 2), ("s", "b", at(5), 3)], FACT)
+        plan = current(fact)._jdf.queryExecution().executedPlan().toString()
+        assert found(current(fact)) == [("s", "a", 1), ("s", "b", 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
