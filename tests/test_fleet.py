@@ -1,6 +1,6 @@
 """Catalogue and telemetry operators on small cases, hot keys included."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +213,31 @@ def test_a_waiter_is_not_its_own_holder(rows):
     schema = "server string, id1 bigint, id2 bigint, lock_id bigint, session_id bigint, lock_status string"
     locks = rows([("s", 1, None, 1, 7, "GRANTED"), ("s", 1, None, 2, 7, "WAITING"), ("s", 1, None, 3, 9, "GRANTED"), ("s", 2, 1, 4, 7, "GRANTED"), ("s", 2, 1, 5, 7, "WAITING")], schema)
     assert [(r["lock_id"], r["holder_count"], r["first_holder"]) for r in N.lock_waits(locks).collect()] == [(2, 1, 9)]
+
+
+def test_reports_of_stored_states_shuffle_no_rows_of_their_bucket_keys(spark):
+    from gaugewright.operators.fleet import reports, stored_states
+
+    keys = spark.createDataFrame(
+        [("s", None, None, f"t{k % 3}", f"fk{k}", 1, f"c{k}", None, f"p{k % 2}", "id") for k in range(12)] * 2,
+        "server string, database_name string, child_schema string, child_table string, constraint_name string, position int, child_column string, parent_schema string, parent_table string, parent_column string",
+    )
+    ready = reports(stored_states({"fk_columns": keys}), stored=True)
+    for name in ("foreign_keys", "fk_graph", "many_foreign_keys"):
+        assert "Exchange hashpartitioning" not in ready[name]()._jdf.queryExecution().executedPlan().toString(), name
+    for name, run in reports({"fk_columns": keys}).items():
+        assert sorted(map(repr, run().collect())) == sorted(map(repr, ready[name]().collect())) != [], name
+    assert {(r.parent_table, r.child_count, r.fk_count) for r in ready["parent_tables"]().collect()} == {("p0", 3, 6), ("p1", 3, 6)}
+
+
+def test_older_snapshots_come_from_one_reading_of_a_fact(spark, rows):
+    from gaugewright.plans.facts import with_history
+
+    fact = rows([("s", f"d{k}", k * 2, "on") for k in range(40)], "server string, database_name string, n int, state string").distinct()
+    every = with_history(fact)
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = every.collect()
+    now = {r.database_name: r.snapshot_ts for r in got if r.state == "on" and r.n == 2 * int(r.database_name[1:] if r.database_name != "gone" else -1) and r.n}
+    assert len([r for r in got if r.state == "old"]) == 40 and len(now) >= 39
+    assert 0 < len([r for r in got if r.database_name == "gone"]) < 40
+    assert all(r.snapshot_ts == now[r.database_name] - timedelta(hours=48) for r in got if r.state == "old" and r.database_name in now)
