@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from ..functions.text import plain_number
 from .profile import KEPT_CHARACTERS, LONGEST_VALUE, QUARTILES, TOP_VALUES, EmptyTableError, _moment_fields, _moments, _profile_columns, type_label
@@ -32,12 +33,15 @@ SKETCHES = {"ranks": "kll_merge_agg_double(ranks)", "items": "hll_union_agg(item
 
 
 PART = "__part"
+#: A day and a column as one number: the column in the low bits. No day is -2^31 - 1, which no date has.
+CELL_KEY, COLUMN_BITS, NO_DAY = "__key", 20, -(1 << 31) - 1
 
 
 def states(df: DataFrame, part: Column | None = None) -> DataFrame:
     """One row per column of a part of a table, from one scan. No rows, or no columns, give no rows.
 
-    ``part`` (a day, a source) gives the states of every part in the same scan, with a column ``part``.
+    ``part`` (a day, a source) gives the states of every part in the same scan, with a column ``part``. Many parts are sorted
+    before they are combined; parts that are dates are sorted as numbers, several times faster than texts.
     """
     clean = normalize_missing(df)
     kinds = [(i, f.name, kind_of(f.dataType)) for i, f in enumerate(clean.schema.fields)]
@@ -49,9 +53,17 @@ def states(df: DataFrame, part: Column | None = None) -> DataFrame:
         "frequent": f"approx_top_k_accumulate(item, {TRACKED}) FILTER (WHERE item IS NOT NULL)",
     }
     by = [PART] if part is not None else []
-    own = clean.withColumn(PART, part) if by else clean
+    # cells in order of their parts lie together when they are combined
+    own = clean.withColumn(PART, part).sortWithinPartitions(PART) if by else clean
     every = cells(own, items=(LONGEST_VALUE, KEPT_CHARACTERS), part=PART if by else None)
-    found = every.groupBy(*by, "position").agg(*[F.expr(a).alias(n) for n, a in made.items()])
+    combined = [F.expr(a).alias(n) for n, a in made.items()]
+    if by and isinstance(own.schema[PART].dataType, DateType) and len(kinds) < 1 << COLUMN_BITS:
+        day, column = F.coalesce(F.unix_date(PART).cast("bigint"), F.lit(NO_DAY)), F.col(CELL_KEY).bitwiseAND(F.lit((1 << COLUMN_BITS) - 1))
+        found = every.withColumn(CELL_KEY, F.shiftleft(day, COLUMN_BITS).bitwiseOR(F.col("position").cast("bigint"))).groupBy(CELL_KEY).agg(*combined)
+        day = F.shiftright(CELL_KEY, COLUMN_BITS)
+        found = found.withColumns({"position": column.cast("int"), PART: F.when(day != NO_DAY, F.date_from_unix_date(day.cast("int")))})
+    else:
+        found = every.groupBy(*by, "position").agg(*combined)
     n, spread = F.col("numbers"), F.col("variance") * (F.col("numbers") - 1)
     m2 = F.when(n > 1, spread).when(n == 1, 0.0)
     scaled = F.sqrt(m2 / n)

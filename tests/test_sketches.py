@@ -47,6 +47,42 @@ def test_merged_parts_are_the_profile_of_the_whole(table):
                     assert low - 1e-4 <= got["statistics"][s] <= high + 1e-4, (name, s)
 
 
+def test_merging_months_reads_the_table_once(spark, tmp_path):
+    """profile_merged read and turned it a second time, for the means."""
+    from gaugewright.plans.registry import QUERIES
+
+    days = spark.range(900).selectExpr(
+        "id", "CAST(id % 7 AS INT) l_linenumber", "CAST(id % 50 AS DOUBLE) l_quantity", "id % 3 / 100D l_discount", "0.5D l_tax", "IF(id % 5 = 0, NULL, 'R') l_returnflag", "'O' l_linestatus",
+        "IF(id % 9 = 0, NULL, timestampadd(DAY, CAST(id AS INT), TIMESTAMP '1968-06-01 10:00:00')) l_shipdate",
+    )
+    days.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    taken = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    read = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("gaugewright.plans.profile_queries.source", lambda *_: read.mapInArrow(counted, read.schema))
+        found = {r.column_name: r for r in QUERIES["profile_merged"].run(spark, str(tmp_path)).collect()}
+    assert taken.value == 900
+    assert (found["l_quantity"].mean, found["l_quantity"].unique_count, found["l_quantity"].top_count) == (24.5, 50, 18)
+    assert (found["l_returnflag"].non_null_count, found["l_returnflag"].top_count, found["l_discount"].max) == (720, 720, 0.02)
+
+
+def test_states_by_dates_are_those_by_texts(rows):
+    """Dates of any age, and none, are parts of their own, and are grouped by one number: a sort of texts took long."""
+    days = ["0001-01-01", "1969-12-31", "1970-01-01", "9999-12-31", None, "1970-01-01"]
+    df = rows([(d, k, "ab"[k % 2]) for k, d in enumerate(days)], "d string, k int, t string")
+    shown = lambda part: K.states(df, part).select(F.col("part").cast("string"), *K.KEYS, *K.EXACT, "mean", "m2")
+    by_date = K.states(df, F.to_date("d"))
+    assert sorted(map(repr, shown(F.to_date("d")).collect())) == sorted(map(repr, shown(F.col("d")).collect()))
+    assert by_date.schema["part"].dataType.typeName() == "date" and by_date.count() == 15
+    assert f"keys=[{K.CELL_KEY}" in by_date._jdf.queryExecution().toString()
+
+
 def test_long_texts_with_one_beginning_stay_apart(rows):
     start = "s" * 97
     df = rows([(start + "abcdef",)] * 3 + [(start + "abcdeg",)] * 2, "t string")
